@@ -1,0 +1,302 @@
+"""Secrets in texts: three fixed patterns, and a linear-chain conditional random field.
+
+The field tags tokens (runs without white space) as begin, inside or outside of a secret from
+their shape, the neighbouring words and features of the whole text, and is decoded by Viterbi.
+By construction of the model a plain token -- one without a digit, =, _ and not at or just
+behind a secret's usual name -- is always outside, so that the chain falls apart into short
+runs that are decoded exactly, each between two outside tags.
+
+It is trained here, by gradient ascent on the regularised likelihood, from the runs of a bounded
+sample of documents (SAMPLE, chosen by a hash of doc_id) that are tagged by the fixed patterns.
+Its spans are added where they touch no span of a pattern.
+
+Defined results: a null or empty text has no spans; texts are scanned whole; repeated rows give
+equal results; an empty table gives no rows, and without a single pattern match in the sample
+the field adds nothing; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_texts
+
+COLUMNS = [("doc_id", "long"), ("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"),
+           ("spans", "string"), ("n_tagged", "long")]
+KINDS = ("assign", "access", "hex", "tagged")
+NAMES = ("passw", "secret", "token", "api")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this drops exactly the shorter ones
+LEAST_VALUE, LEAST_ACCESS = 12, 18
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+TELLING = re.compile(r"[0-9=_]")
+NAMED = re.compile(r"passw|secret|token|api_?key|bearer|credential", re.IGNORECASE | re.ASCII)
+#: Tokens behind a name that may belong to its value.
+REACH = 3
+BLANK = " \t\n\v\f\r"
+OUT, BEGIN, INSIDE = 0, 1, 2
+
+#: Most documents and most different runs that the field is trained on.
+SAMPLE, RUNS = 4000, 4000
+EPOCHS, RATE, PENALTY = 40, 0.5, 1e-4
+
+Span = tuple[int, int, int]  # start, number of the kind, end
+
+
+def base_spans(text: str) -> list[Span]:
+    """Matches of the fixed patterns, in code points, by start and then kind."""
+    found = []
+    low = text.lower()
+    if any(name in low for name in NAMES):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(found)
+
+
+def written(spans: list[Span]) -> str:
+    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
+
+
+def runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Start and end of each token of each maximal run of tokens that are not plain."""
+    marks = {m.start() for m in TELLING.finditer(text)}
+    names = [m.start() for m in NAMED.finditer(text)] if any(n in text.lower() for n in (*NAMES, "bearer", "credential")) else []
+    tokens: dict[int, int] = {}
+    last = -1
+    for at in sorted(marks.union(names)):
+        if at < last:
+            continue
+        start = at
+        while start and text[start - 1] not in BLANK:
+            start -= 1
+        last = TOKEN.match(text, start).end()
+        tokens[start] = last
+    for at in names:
+        for k, m in enumerate(TOKEN.finditer(text, at)):
+            if k:
+                tokens[m.start()] = m.end()
+            if k == REACH:
+                break
+    run: list[tuple[int, int]] = []
+    for start, end in sorted(tokens.items()):
+        if run and text[run[-1][1] : start].strip(BLANK):
+            yield run
+            run = []
+        run.append((start, end))
+    if run:
+        yield run
+
+
+_CLASSES = str.maketrans({c: k for cs, k in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), ("ghijklmnopqrstuvwxyz", "a"), ("abcdef", "f"), ("0123456789", "0")) for c in cs})
+_REPEATED = re.compile(r"(.)\1+")
+_MIXED = re.compile(r"[f0]*0[f0]*f[f0]*|[f0]*f[f0]*0[f0]*")
+
+
+def shape(token: str) -> str:
+    """Letters, digits and marks in classes, runs written once: hexadecimal text h, other lower case a, capitals and digits X."""
+    t = _MIXED.sub("h", token[:200].translate(_CLASSES))
+    t = re.sub(r"[A0]*A[A0]*0[A0]*|[A0]*0[A0]*A[A0]*", "X", t)
+    return _REPEATED.sub(r"\1", t.replace("f", "a"))[:12]
+
+
+def word(text: str, start: int, end: int) -> str:
+    w = text[start:end].strip("\"'.,;:").lower()
+    return w if len(w) < 16 and not TELLING.search(w) else shape(text[start:end])
+
+
+def described(text: str, run: list[tuple[int, int]]) -> list[tuple[str, ...]]:
+    """The features of each token of a run."""
+    size = f"file length {len(text).bit_length() // 3}"
+    before = text[max(0, run[0][0] - 80) : run[0][0]].split()[-1:]
+    after = text[run[-1][1] : run[-1][1] + 80].split()[:1]
+    known = lambda w: "name" if NAMED.search(w) else "end" if w[-1:] in ".!?" else "word"
+    words = [known(before[0]) if before else "none", *(word(text, *t) for t in run), known(after[0]) if after else "none"]
+    out = []
+    for k, (start, end) in enumerate(run):
+        token = text[start:end]
+        out.append((
+            f"shape {shape(token)}", f"length {min(8, (end - start).bit_length())} {shape(token)}", f"length {min(40, end - start)}",
+            f"name {bool(NAMED.search(token))} {'=' in token or ':' in token}", f"before {words[k]}", f"after {words[k + 2]}", size, "token",
+        ))
+    return out
+
+
+def tags(run: list[tuple[int, int]], spans: list[Span]) -> list[int]:
+    """Begin, inside or outside for each token, from spans."""
+    out, open_until = [], -1
+    for start, end in run:
+        touching = [s for s in spans if s[0] < end and s[2] > start]
+        out.append(OUT if not touching else INSIDE if start < open_until else BEGIN)
+        open_until = max([open_until, *(s[2] for s in touching)])
+    return out
+
+
+class Field:
+    """Weights of features for the three tags, and of transitions; a run begins and ends next to an outside tag."""
+
+    def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
+        self.weights, self.moves = weights, moves
+
+    def emissions(self, run: list[tuple[str, ...]]) -> np.ndarray:
+        none = np.zeros(3)
+        return np.array([sum((self.weights.get(f, none) for f in token), none) for token in run])
+
+    def decode(self, run: list[tuple[str, ...]]) -> list[int]:
+        e = self.emissions(run)
+        best, back = e[0] + self.moves[OUT], []
+        for k in range(1, len(e)):
+            through = best[:, None] + self.moves
+            back.append(through.argmax(0))
+            best = through.max(0) + e[k]
+        at = int((best + self.moves[:, OUT]).argmax())
+        path = [at]
+        for step in reversed(back):
+            at = int(step[at])
+            path.append(at)
+        return path[::-1]
+
+    @classmethod
+    def trained(cls, runs: list[tuple[list[tuple[str, ...]], list[int], int]]) -> Field:
+        """By AdaGrad on the likelihood of (features, tags, times) with an L2 penalty."""
+        weights = {f: np.zeros(3) for run, _, _ in runs for token in run for f in token}
+        moves = np.zeros((3, 3))
+        moves[OUT, INSIDE] = -20.0  # inside never follows outside
+        fixed = moves.copy()
+        seen = {f: np.full(3, 1e-6) for f in weights}
+        seen_moves = np.full((3, 3), 1e-6)
+        field = cls(weights, moves)
+        for _ in range(EPOCHS):
+            for run, gold, times in runs:
+                e = field.emissions(run)
+                n = len(e)
+                ahead, behind = np.zeros((n, 3)), np.zeros((n, 3))
+                ahead[0] = e[0] + moves[OUT]
+                for k in range(1, n):
+                    ahead[k] = np.logaddexp.reduce(ahead[k - 1][:, None] + moves, axis=0) + e[k]
+                behind[-1] = moves[:, OUT]
+                for k in range(n - 2, -1, -1):
+                    behind[k] = np.logaddexp.reduce(moves + (e[k + 1] + behind[k + 1])[None, :], axis=1)
+                total = np.logaddexp.reduce(ahead[-1] + behind[-1])
+                share = np.exp(ahead + behind - total)
+                weight = 1.0 + np.log(times)
+                slope = np.zeros((3, 3))
+                slope[OUT] -= share[0]
+                slope[:, OUT] -= share[-1]
+                slope[OUT, gold[0]] += 1
+                slope[gold[-1], OUT] += 1
+                for k in range(1, n):
+                    slope -= np.exp(ahead[k - 1][:, None] + moves + (e[k] + behind[k])[None, :] - total)
+                    slope[gold[k - 1], gold[k]] += 1
+                slope = weight * slope - PENALTY * (moves - fixed)
+                seen_moves += slope**2
+                moves += RATE * slope / np.sqrt(seen_moves)
+                np.minimum(moves, np.where(fixed < 0, fixed, np.inf), out=moves)
+                for k, token in enumerate(run):
+                    error = -share[k]
+                    error[gold[k]] += 1
+                    for f in token:
+                        g = weight * error - PENALTY * weights[f]
+                        seen[f] += g**2
+                        weights[f] += RATE * g / np.sqrt(seen[f])
+        return field
+
+
+def trained_field(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+
+    def make():
+        def work(_, data: bytes):
+            text = data.decode()
+            spans = base_spans(text)
+            return ("\n".join(["\t".join("\x1f".join(token) for token in described(text, run)) + "\v" + "".join(map(str, tags(run, spans))) for run in runs(text)]),)
+
+        return work
+
+    found = map_texts(texts, make, [("doc_id", "long"), ("runs", "string")])
+    rows = (found.select(F.explode(F.split("runs", "\n")).alias("run")).where("run != ''").groupBy("run").count()
+            .orderBy(F.desc(F.col("run").rlike("\x0b.*[12]")), F.desc("count"), "run").limit(RUNS).collect())
+    parsed = []
+    for row in rows:
+        features, _, gold = row["run"].rpartition("\v")
+        parsed.append(([tuple(token.split("\x1f")) for token in features.split("\t")], list(map(int, gold)), row["count"]))
+    if not any(any(gold) for _, gold, _ in parsed):
+        return None
+    np.random.default_rng(5).shuffle(order := np.arange(len(parsed)))
+    return Field.trained([parsed[k] for k in order])
+
+
+def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
+    """Spans of the patterns, and these with the field's."""
+    base = base_spans(text)
+    if field is None:
+        return base, base
+    added = []
+    for run in runs(text):
+        if len(run) == 1 and any(s[0] < run[0][1] and s[2] > run[0][0] for s in base):
+            continue  # its only token is found already
+        path = field.decode(described(text, run))
+        k = 0
+        while k < len(path):
+            if path[k] == OUT:
+                k += 1
+                continue
+            first = k
+            k += 1
+            while k < len(path) and path[k] == INSIDE:
+                k += 1
+            start, end = run[first][0], run[k - 1][1]
+            while end > start and text[end - 1] in ".,;\"'":
+                end -= 1
+            while start < end and text[start] in "\"'":
+                start += 1
+            if start < end and not any(s[0] < end and s[2] > start for s in base):
+                added.append((start, 3, end))
+    return base, sorted(base + added)
+
+
+def scanned(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """One row for each row of docs (doc_id, text)."""
+    field = trained_field(docs, sample)
+
+    def make():
+        def work(_, data: bytes):
+            base, spans = all_spans(data.decode(), field)
+            counts = [sum(s[1] == k for s in spans) for k in range(4)]
+            return *counts[:3], sha256(written(base).encode()).hexdigest(), written(spans), counts[3]
+
+        return work
+
+    return map_texts(docs, make, COLUMNS)
+
+
+def redacted_text(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
+    """The text with each maximal union of overlapping spans replaced by the mark."""
+    out, at, reach = [], 0, -1
+    for start, _, end in sorted(spans):
+        if start >= reach:
+            out += [text[at:start], mark]
+        reach = max(reach, end)
+        at = reach
+    return "".join(out) + text[at:]
+
+
+def redacted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs with secrets replaced in `text`; the columns stay, n_chars (where it exists) is counted again."""
+    field = trained_field(docs, sample)
+
+    @F.pandas_udf("string")
+    def cleaned(texts):
+        return texts.map(lambda t: t and redacted_text(t, all_spans(t, field)[1]))
+
+    out = docs.withColumn("text", cleaned("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

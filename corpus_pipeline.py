@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import packing, quality, secrets
+from keyspan.llm import ngram_join, packing, quality, secret_scan, substring
 from keyspan.llm.common import table
 from keyspan.llm.queries import WORD_TOKENIZER
 
@@ -20,9 +20,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word n-grams, similarity 0.8 or more) the document with the smallest doc_id."""
+    return ngram_join.one_of_each(docs, size=5, percent=80)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has."""
+    return substring.cleaned(docs)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced by a mark."""
-    return secrets.redacted(docs)
+    return secret_scan.redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.packed(docs, WORD_TOKENIZER)
 
 
-STAGES = [("quality", quality_stage), ("secrets", secret_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near_copies", near_copy_stage), ("passages", passage_stage), ("secrets", secret_stage), ("packing", packing_stage)]
 #: SQL can express neither the forest nor the field nor the packing.
 ORACLE_SQL = None
 

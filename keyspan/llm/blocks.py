@@ -9,6 +9,7 @@ and answers are compact arrays instead of rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ COLUMNS = [("block", "long"), ("ids", "binary"), ("sizes", "binary"), ("texts",
 ASKED = [("part", "long"), ("block", "long"), ("body", "binary")]
 #: Words of all documents for each part of a hash space.
 PART_WORDS = 3_000_000
+NULL_ID = -(1 << 63)
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -35,13 +37,20 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and stored in the shared folder."""
+    """df, computed and stored in the shared folder.
+
+    What df was made from can go then; the driver's collector is asked to notice, as shuffle
+    files stay on the executors' disks until it does.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    stored = df.checkpoint()
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return stored
 
 
 def in_blocks(docs: DataFrame, docs_most: int = BLOCK_DOCS, bytes_most: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of docs (doc_id, text), without a shuffle; rows with a null doc_id are left out."""
+    """Blocks of docs (doc_id, text), without a shuffle; NULL_ID stands for a null doc_id."""
     schema = arrow_schema(COLUMNS)
 
     def run(batches):
@@ -57,7 +66,7 @@ def in_blocks(docs: DataFrame, docs_most: int = BLOCK_DOCS, bytes_most: int = BL
 
         for part in slices(batches):
             for key, text in zip(part.column(0).to_pylist(), raw(part.column(1))):
-                ids.append(key)
+                ids.append(NULL_ID if key is None else key)
                 texts.append(text)
                 size += len(text)
                 if len(ids) >= docs_most or size >= bytes_most:
@@ -66,7 +75,7 @@ def in_blocks(docs: DataFrame, docs_most: int = BLOCK_DOCS, bytes_most: int = BL
         if ids:
             yield block()
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, ddl(COLUMNS))
+    return docs.select("doc_id", "text").mapInArrow(run, ddl(COLUMNS))
 
 
 def opened(ids: bytes, sizes: bytes, texts: bytes) -> tuple[np.ndarray, list[bytes]]:

@@ -267,7 +267,7 @@ def counted_pairs(doc, kind, length, shares, index, levels, group, percent):
 
 def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc, n and component for each row of docs (doc_id, text) with an id."""
-    found = B.cut(B.in_blocks(docs))
+    found = B.cut(B.in_blocks(docs.where("doc_id is not null")))
     profiled = B.cut(profiles(found, size))
     documents = profiled.where("kind = 0").drop("kind", "body")
     same = documents.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("doc", "block", "n", "keys")).alias("r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, html_text, packing, quality, secrets
+from . import byte_bpe, chat_format, html_text, language_model, ngram_join, packing, quality, secret_scan, substring
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,7 +24,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scanned(table(spark, sf_dir, "documents"))
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_byte_bpe, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_text, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_byte_bpe, op7_substring_dedup, op8_ngram_join, op9_language_model, op10_packing)
+}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
@@ -59,4 +74,34 @@ ORACLE_SQL = {
             cast(sum(body + case when before is null or before <> role then 12 + head + 1 else 10 end
                 + case when after is null or after <> role then 11 else 0 end) as bigint) as formatted_chars
         from sized group by conv_id""",
+    "op7_substring_dedup": r"""
+        with w as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents),
+        v as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13),
+        k as (select doc_id, i, md5(array_to_string(words[i : i + 12], ' ')) as key from v),
+        f as (select doc_id, i, min(doc_id) over (partition by key) as first_doc from k),
+        gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 13)) as p from f where first_doc < doc_id)),
+        flat as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from w),
+        kept as (select flat.*, gone.p is not null as goes from flat left join gone using (doc_id, p)),
+        digests as (
+            select doc_id, sum(cast(goes as integer)) as n_removed, sha256(coalesce(string_agg(case when not goes then word end, ' ' order by p), '')) as kept_sha256
+            from kept group by doc_id)
+        select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256
+        from w left join digests using (doc_id)""",
+    "op8_ngram_join": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as words
+            from documents),
+        g as (
+            select distinct doc_id, md5(array_to_string(words[i : i + 3], ' ')) as gram from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) as i from w where len(words) > 0)),
+        sizes as (select doc_id, count(*) as n from g group by doc_id),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as both from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2),
+        links as (
+            select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+        reach(doc_id, other) as (
+            select doc_id, doc_id from w
+            union
+            select reach.doc_id, links.b from reach join links on links.a = reach.other)
+        select w.doc_id, coalesce(n, 0) as n_shingles, c.component_id
+        from w left join sizes using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)""",
 }

@@ -182,7 +182,7 @@ def removed_words(words: Words, ids: np.ndarray, answers: list, parts: int) -> n
 
 def kept_rows(docs: DataFrame, columns: list[tuple[str, str]], make) -> DataFrame:
     """make()(doc_id, text, for each word whether it goes) for each document with an id."""
-    found = B.cut(B.in_blocks(docs))
+    found = B.cut(B.in_blocks(docs.where("doc_id is not null")))
     parts = B.parts_for(found)
 
     def make_block():

@@ -18,7 +18,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat_format.END}{chat_format.START}assistant ok"
-    probe = spark.range(1).selectExpr("inline(array(struct(-1L as conv_id, 0L as turn, 'user' as role), struct(-1L, 1L, 'assistant')))").selectExpr("*", f"'{said}' as text")
+    probe = spark.range(1).selectExpr("stack(2, -1L, 0L, 'user', -1L, 1L, 'assistant') as (conv_id, turn, role)").selectExpr("*", f"'{said}' as text")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_format.digest(chat_format.formatted(turns))
 

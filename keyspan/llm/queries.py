@@ -76,7 +76,7 @@ ORACLE_SQL = {
         from sized group by conv_id""",
     "op7_substring_dedup": r"""
         with w as (
-            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents),
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
         v as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13),
         k as (select doc_id, i, md5(array_to_string(words[i : i + 12], ' ')) as key from v),
         f as (select doc_id, i, min(doc_id) over (partition by key) as first_doc from k),
@@ -90,14 +90,14 @@ ORACLE_SQL = {
         from w left join digests using (doc_id)""",
     "op8_ngram_join": r"""
         with recursive w as (
-            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as words
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
             from documents),
         g as (
             select distinct doc_id, md5(array_to_string(words[i : i + 3], ' ')) as gram from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) as i from w where len(words) > 0)),
         sizes as (select doc_id, count(*) as n from g group by doc_id),
-        shared as (select a.doc_id as a, b.doc_id as b, count(*) as both from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as common from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2),
         links as (
-            select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+            select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)),
         reach(doc_id, other) as (
             select doc_id, doc_id from w
             union

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, html_text, language_model, ngram_join, packing, quality, secret_scan, substring
+from . import byte_bpe, chat_format, html_text, language_model, ngram_join, packing, quality, secret_scan, substring, vector_dups
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_equal(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat_format.END}{chat_format.START}assistant ok"
     probe = spark.range(1).selectExpr("stack(2, -1L, 0L, 'user', -1L, 1L, 'assistant') as (conv_id, turn, role)").selectExpr("*", f"'{said}' as text")
@@ -53,10 +57,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_text, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_byte_bpe, op7_substring_dedup, op8_ngram_join, op9_language_model, op10_packing)
+    for f in (op1_html_text, op2_vector_dups, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_byte_bpe, op7_substring_dedup, op8_ngram_join, op9_language_model, op10_packing)
 }
 
 ORACLE_SQL = {
+    "op2_vector_dups": r"""
+        with recursive v as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+            where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as (
+            select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(vec_id, other) as (
+            select vec_id, vec_id from embeddings
+            union
+            select reach.vec_id, links.b from reach join links on links.a = reach.other),
+        n as (select a, count(*) as n from links group by a)
+        select vec_id, coalesce(n, 0) as n_links, min(other) as component_id, vec_id = min(other) as kept
+        from reach left join n on n.a = vec_id group by vec_id, n""",
     "op3_chat_format": r"""
         with rows_ as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -13,6 +13,8 @@ times 2**40 plus a counter, so a task that runs again gives the same ids.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -126,62 +128,52 @@ class Packer:
 class WordTokenizer:
     """Ids of a text from the ids of its words: the tokenizer drops white space and never joins across it.
 
-    Words of letters alone are encoded many at a time, parted again behind the ids that end a
-    word; a full stop or comma behind letters is a piece of its own.  Any other word is encoded
-    alone.
+    The tokenizer lowers letters, so A-Z are lowered first, and a comma or full stop between a
+    letter a-z and white space is a word of its own, as it is to the tokenizer.  Words of letters
+    alone are encoded many at a time, parted again behind the ids that end a word; any other
+    word is encoded alone.
     """
 
+    MARK = re.compile(rb"(?<=[a-z])[,.](?=[\x20\x09-\x0D])")
+
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.end = Tokenizer.from_file(path), {}, array("I", [end_id]).tobytes()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.mark = {m: array("I", self.tokenizer.encode(m.decode(), add_special_tokens=False).ids).tobytes() for m in (b",", b".")}
 
-    def together(self, words: list[bytes]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+    def words(self, text: bytes) -> list[bytes]:
+        return self.MARK.sub(rb" \g<0>", text.lower()).split()
+
+    def together(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words):
-            data, at = ids.tobytes(), 0
-            for w, end in zip(words, (4 * cuts).tolist()):
-                self.cache[w] = data[at:end]
-                at = end
+            data, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.cache.update(zip(map(str.encode, words), map(data.__getitem__, map(slice, [0, *ends], ends))))
         else:
             self.alone(words)
 
-    def alone(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self.cache[w] = array("I", e.ids).tobytes()
-
-    def fill(self, words: list[bytes]) -> None:
-        cache = self.cache
-        if len(cache) > WORDS:
-            cache.clear()
-        plain, marked, other = set(), [], []
-        for w in set(words):
-            if w not in cache:
-                body = w[:-1] if w[-1:] in self.mark else w
-                low = body.lower()
-                if not body.decode(errors="replace").isalpha():
-                    other.append(w)
-                    continue
-                if low != w:
-                    marked.append((w, low, self.mark.get(w[len(body) :], b"")))
-                if low not in cache:
-                    plain.add(low)
-        plain = list(plain)
+    def alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.cache[w.encode()] = array("I", e.ids).tobytes()
+
+    def fill(self, texts: list[list[bytes]]) -> None:
+        if len(self.cache) > WORDS:
+            self.cache.clear()
+        new = [w.decode() for w in set().union(*texts).difference(self.cache)]
+        plain, other = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
         for at in range(0, len(plain), 1024):
             self.together(plain[at : at + 1024])
         for at in range(0, len(other), 4096):
             self.alone(other[at : at + 4096])
-        for w, low, mark in marked:
-            cache[w] = cache[low] + mark
 
     def ids(self, words: list[bytes]) -> bytes:
         """Little-endian unsigned 32-bit ids, the end id last."""
-        return b"".join([*map(self.cache.__getitem__, words), self.end])
+        return b"".join(map(self.cache.__getitem__, words)) + self.end
 
 
 def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -195,8 +187,8 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     def run(batches):
         tokens, packer = WordTokenizer(tokenizer_path, end_id), Packer(window, TaskContext.get().partitionId() << 40)
         for part in slices(batches):
-            words = [t.split() for t in raw(part.column(1))]
-            tokens.fill([w for ws in words for w in ws])
+            words = list(map(tokens.words, raw(part.column(1))))
+            tokens.fill(words)
             for doc, ws in zip(part.column(0).to_pylist(), words):
                 packer.add(doc, tokens.ids(ws))
             yield from frames(packer)

@@ -68,22 +68,35 @@ def map_texts(docs: DataFrame, make: Callable, columns: list[tuple[str, str]], k
     return map_batches(docs, make_batch, columns, key, text)
 
 
+class Numbered(dict):
+    """Numbers for words, given as they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 def word_hasher() -> Callable[[list[bytes]], np.ndarray]:
     """A function from words to an array of shape (words, 2): 128-bit hashes as two unsigned halves."""
-    cache: dict[bytes, tuple[int, int]] = {}
-    low = (1 << 64) - 1
+    numbers, table, filled = Numbered(), np.empty((1 << 16, 2), np.uint64), 0
 
     def hashes(words: list[bytes]) -> np.ndarray:
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                h = xxhash.xxh3_128_intdigest(w)
-                cache[w] = (h & low, h >> 64)
-        out = np.empty((len(words), 2), np.uint64)
-        if words:
-            out[:] = np.array([cache[w] for w in words], np.uint64)
-        return out
+        nonlocal numbers, table, filled
+        if len(numbers) > CACHE:
+            numbers, filled = Numbered(), 0
+        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if new := numbers.new:
+            while len(table) < filled + len(new):
+                table = np.concatenate([table, np.empty_like(table)])
+            table[filled : filled + len(new)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), np.uint64).reshape(-1, 2)[:, ::-1]
+            filled += len(new)
+            new.clear()
+        return table[at]
 
     return hashes
 

@@ -123,7 +123,7 @@ def window_keys(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_windows(found: DataFrame, parts: int) -> DataFrame:
     """Blocks with the answers from which `removed_words` tells what goes."""
-    anchors = B.with_answers(found, shared_anchors(found, parts), "anchors")
+    with_anchors = B.with_answers(found, B.cut(shared_anchors(found, parts)), "anchors")
 
     def make():
         hashes = word_hasher()
@@ -131,9 +131,6 @@ def with_windows(found: DataFrame, parts: int) -> DataFrame:
         def work(block, ids, texts, answers):
             words = Words(hashes, texts)
             at = candidate_windows(words, answers, parts)
-            mask = np.zeros(len(words.doc), bool)
-            mask[at] = True
-            yield -1, block, B.packed_bits(mask)
             keys, inverse = window_keys(words, at)
             least = np.full(len(keys), np.iinfo(np.int64).max)
             np.minimum.at(least, inverse, ids[words.doc[at]])
@@ -142,8 +139,6 @@ def with_windows(found: DataFrame, parts: int) -> DataFrame:
 
         return work
 
-    asked = B.cut(B.over_blocks(anchors, make, B.ASKED, "anchors"))
-
     def answer(part, blocks, bodies):
         sizes = [int.from_bytes(b[:8], "little") for b in bodies]
         keys = np.concatenate([np.frombuffer(b[8 : 8 + 16 * n], np.uint64) for b, n in zip(bodies, sizes)]).reshape(-1, 2)
@@ -157,21 +152,19 @@ def with_windows(found: DataFrame, parts: int) -> DataFrame:
         for block, bits in zip(blocks, np.split(earlier, np.cumsum(sizes)[:-1])):
             yield block, part, B.packed_bits(bits)
 
-    answers = B.answered(asked.where("part >= 0"), parts, answer)
-    masks = asked.where("part < 0").select("block", "part", F.col("body").alias("answer"))
-    return B.with_answers(found, answers.unionByName(masks), "windows")
+    answers = B.answered(B.over_blocks(with_anchors, make, B.ASKED, "anchors"), parts, answer)
+    return B.with_answers(with_anchors, answers, "windows")
 
 
-def removed_words(words: Words, ids: np.ndarray, answers: list, parts: int) -> np.ndarray:
+def removed_words(words: Words, ids: np.ndarray, anchors: list, answers: list, parts: int) -> np.ndarray:
     """For each word of the block, whether a window that an earlier document has covers it."""
-    mask, *bits = B.in_order(answers)
-    at = np.flatnonzero(B.bits_of(mask, len(words.doc)))
+    at = candidate_windows(words, anchors, parts)
     keys, inverse = window_keys(words, at)
     docs = ids[words.doc[at]]
     least = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, docs)
     earlier = np.zeros(len(keys), bool)
-    for (_, k), b in zip(B.split_by((keys[:, 0] % np.uint64(parts)).astype(np.int64), parts), bits):
+    for (_, k), b in zip(B.split_by((keys[:, 0] % np.uint64(parts)).astype(np.int64), parts), B.in_order(answers)):
         earlier[k] = B.bits_of(b, len(k))
     goes = at[earlier[inverse] | (least[inverse] < docs)]
     cover = np.zeros(len(words.doc) + 1, np.int64)
@@ -188,15 +181,15 @@ def kept_rows(docs: DataFrame, columns: list[tuple[str, str]], make) -> DataFram
     def make_block():
         hashes, work = word_hasher(), make()
 
-        def rows(block, ids, texts, answers):
+        def rows(block, ids, texts, anchors, answers):
             words = Words(hashes, texts)
-            gone = removed_words(words, ids, answers, parts)
+            gone = removed_words(words, ids, anchors, answers, parts)
             for doc, text, start, size in zip(ids.tolist(), texts, words.starts.tolist(), words.sizes.tolist()):
                 yield doc, *work(text, gone[start : start + size])
 
         return rows
 
-    return B.over_blocks(with_windows(found, parts), make_block, columns, "windows")
+    return B.over_blocks(with_windows(found, parts), make_block, columns, "anchors", "windows")
 
 
 def digest(text: bytes, gone: np.ndarray) -> tuple[int, int, str]:

@@ -8,7 +8,8 @@ runs that are decoded exactly, each between two outside tags.
 
 It is trained here, by gradient ascent on the regularised likelihood, from the runs of a bounded
 sample of documents (SAMPLE, chosen by a hash of doc_id) that are tagged by the fixed patterns.
-Its spans are added where they touch no span of a pattern.
+Its spans are added where they have at least LEAST_VALUE characters and touch no span of a
+pattern.
 
 Defined results: a null or empty text has no spans; texts are scanned whole; repeated rows give
 equal results; an empty table gives no rows, and without a single pattern match in the sample
@@ -124,7 +125,7 @@ def described(text: str, run: list[tuple[int, int]]) -> list[tuple[str, ...]]:
     for k, (start, end) in enumerate(run):
         token = text[start:end]
         out.append((
-            f"shape {shape(token)}", f"length {min(8, (end - start).bit_length())} {shape(token)}", f"length {min(40, end - start)}",
+            f"length {min(8, (end - start).bit_length())} {shape(token)}", f"length {min(40, end - start)}",
             f"name {bool(NAMED.search(token))} {'=' in token or ':' in token}", f"before {words[k]}", f"after {words[k + 2]}", size, "token",
         ))
     return out
@@ -259,7 +260,7 @@ def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
                 end -= 1
             while start < end and text[start] in "\"'":
                 start += 1
-            if start < end and not any(s[0] < end and s[2] > start for s in base):
+            if end - start >= LEAST_VALUE and not any(s[0] < end and s[2] > start for s in base):
                 added.append((start, 3, end))
     return base, sorted(base + added)
 

@@ -188,7 +188,7 @@ def test_streams_equal_batches(spark, tmp_path):
     for n in range(3):
         df.where(f"pmod(hash(id), 3) = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = feeds.event_stream(spark, str(tmp_path / "in"), "id string, ts timestamp, event_type string", 1)
-    feeds.run_available(feeds.deduplicated_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    feeds.run_available(feeds.deduplicated_stream(stream, late="2 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
     closed = feeds.closed_timestamps(stream.select(F.lit(1).cast("long").alias("range_id"), F.lit(1).cast("long").alias("lease_seq"), F.minute("ts").cast("long").alias("candidate")))
     q = closed.writeStream.format("memory").queryName("closed").outputMode("update").option("checkpointLocation", str(tmp_path / "closed")).trigger(availableNow=True).start()

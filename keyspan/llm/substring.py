@@ -229,9 +229,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     changed = kept_rows(docs, [("doc_id", "long"), ("new_text", "string"), ("change", "int")], lambda: lambda t, g: ((new := without_passages(t, g)) and new.decode(), int(g.any())))
     changed = changed.where("change = 1").groupBy(F.col("doc_id").alias("changed_id")).agg(F.min("new_text").alias("new_text"))
     joined = docs.join(changed, docs.doc_id == changed.changed_id, "left")
-    touched = F.col("changed_id").isNotNull()
-    kept = joined.where(~touched | F.col("new_text").isNotNull())
-    values = {"text": F.when(touched, F.col("new_text")).otherwise(docs.text)}
+    touched, text = changed["changed_id"].isNotNull(), changed["new_text"]  # by table, as docs may have such columns
+    kept = joined.where(~touched | text.isNotNull())
+    values = {"text": F.when(touched, text).otherwise(docs.text)}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(touched, F.length("new_text").cast("long")).otherwise(docs.n_chars)
+        values["n_chars"] = F.when(touched, F.length(text).cast("long")).otherwise(docs.n_chars)
     return kept.select(*(values[c].alias(c) if c in values else docs[c] for c in docs.columns))

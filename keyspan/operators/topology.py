@@ -74,3 +74,19 @@ def scenario(manifest: DataFrame, nodes: DataFrame, ranges: DataFrame) -> tuple[
     wanted = manifest.select("node_id").distinct()
     touched = ranges.join(edges(ranges).join(wanted, "node_id", "left_semi").select("range_id").distinct(), "range_id", "left_semi")
     return nodes.join(wanted, "node_id", "left_semi"), wanted.join(nodes, "node_id", "left_anti"), touched
+
+
+def next_range_id(ranges: DataFrame) -> DataFrame:
+    """The id after the largest one; 1 if there are no ranges."""
+    return ranges.agg((F.coalesce(F.max("range_id"), F.lit(0)) + 1).cast("long").alias("next_id"))
+
+
+def shard_labels(counts: DataFrame) -> DataFrame:
+    """Each range with the name of its first table, and how many tables it has (range_id, table_id, table_name)."""
+    return counts.groupBy("range_id").agg(F.min_by("table_name", "table_id").alias("label"), F.count_distinct("table_id").alias("tables"))
+
+
+def totals(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row for a cluster: its nodes, ranges, replicas and rows."""
+    r = ranges.agg(F.count("*").alias("ranges"), F.coalesce(F.sum(F.size("replicas")), F.lit(0)).cast("long").alias("replicas"), F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("rows"))
+    return r.join(nodes.agg(F.count("*").alias("nodes")))  # one row each

@@ -762,3 +762,105 @@ def event_stream_available_now(t):
 def replica_log_fold(t):
     log = t.events.select((F.col("user_id") % 40).alias("range_id"), F.col("event_id").alias("log_index"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), (F.col("event_id") % 100).cast("string").alias("key"), F.col("event_type").alias("value"), F.lit(1).alias("generation"))
     return feeds.applied_log(log)
+
+
+# Further decisions
+
+
+@query("select max(c_custkey // 3) + 1 as next_id from customer")
+def next_range_id(t):
+    return topology.next_range_id(replicas(t).select("range_id"))
+
+
+@query("select o_custkey % 50 as range_id, min_by(o_orderstatus, o_orderkey) as label, count(distinct o_orderkey) as tables from orders group by 1")
+def shard_label_first_of_group(t):
+    return topology.shard_labels(t.orders.select((F.col("o_custkey") % 50).alias("range_id"), F.col("o_orderkey").alias("table_id"), F.col("o_orderstatus").alias("table_name")))
+
+
+@query(f"select txn_id, 'PENDING' as status, epoch + 1 as epoch, greatest(c, 700) as read_ts, greatest(write_ts, 700) as write_ts from (select *, cast(txn_id as bigint) as c from {RECORDS}) where status in ('PENDING', 'STAGING')")
+def txn_restart(t):
+    return transactions.restarted(records(t), F.lit(700).cast("long")).select("txn_id", "status", "epoch", "read_ts", "write_ts")
+
+
+@query("select c_custkey, case when c_custkey % 5 = 0 then 'id' when c_custkey % 7 = 0 then 'status' when c_custkey % 11 = 0 then 'write before read' when c_custkey % 2 = 0 and c_custkey % 3 = 0 then 'no anchor' end as rule from customer where c_custkey % 5 = 0 or c_custkey % 7 = 0 or c_custkey % 11 = 0 or c_custkey % 6 = 0")
+def invalid_records(t):
+    k = F.col("c_custkey")
+    r = t.customer.select(k, F.when(k % 5 != 0, k.cast("string")).alias("txn_id"), F.when(k % 7 == 0, "LOST").when(k % 2 == 0, "STAGING").otherwise("PENDING").alias("status"), F.lit(5).alias("read_ts"), F.when(k % 11 == 0, 4).otherwise(6).alias("write_ts"), F.when(k % 3 != 0, 1).alias("anchor_range"))
+    return transactions.invalid_records(r).select("c_custkey", "rule")
+
+
+@query("select cast(user_id as varchar) as txn_id, cast(event_id % 40 as varchar) as key, count(*) as reports, count(distinct event_id % 3) as ranges from events group by 1, 2 having count(*) > 1 or count(distinct event_id % 3) > 1")
+def doubled_observations(t):
+    return transactions.doubled_observations(t.events.select(F.col("user_id").cast("string").alias("txn_id"), (F.col("event_id") % 40).cast("string").alias("key"), (F.col("event_id") % 3).alias("range_id")))
+
+
+@query("select o_orderkey, case when o_orderkey % 6 = 0 then 'equal ids' when o_orderkey % 5 = 0 then 'generation does not rise' when o_orderkey % 4 = 0 then 'halves do not meet' when o_orderkey % 7 = 0 then 'outside' end as rule from orders where o_orderkey % 6 = 0 or o_orderkey % 5 = 0 or o_orderkey % 4 = 0 or o_orderkey % 7 = 0")
+def split_validation(t):
+    k, at = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, 10).otherwise(50)
+    s = t.orders.select(
+        k, F.lit(1).alias("old_id"), F.lit(1).alias("left_id"), F.when(k % 6 == 0, 1).otherwise(2).alias("right_id"), F.lit(4).alias("old_generation"), F.lit(5).alias("left_generation"), F.when(k % 5 == 0, 4).otherwise(5).alias("right_generation"),
+        F.lit(10).alias("old_start"), F.lit(10).alias("left_start"), F.lit(90).alias("old_end"), F.lit(90).alias("right_end"), at.alias("split_key"), at.alias("left_end"), F.when(k % 4 == 0, 51).otherwise(at).alias("right_start"))
+    return placement.split_faults(s).select("o_orderkey", "rule")
+
+
+@query("select c_custkey, case when w > 0 or l >= 20 or s >= 10 or p >= 536870912 then 'critical' when l >= 8 or s >= 4 or p >= 67108864 then 'normal' else 'background' end as priority from (select c_custkey, c_custkey % 25 as l, c_custkey % 12 as s, c_custkey * 1000000 as p, case when c_custkey % 31 = 0 then 1 else 0 end as w from customer)")
+def compaction_priority(t):
+    k = F.col("c_custkey")
+    stores = t.customer.select(k, (k % 25).alias("l0_files"), (k % 12).alias("l0_sublevels"), (k * 1_000_000).alias("pending_bytes"), F.when(k % 31 == 0, 1).otherwise(0).alias("write_stalls"))
+    return placement.compaction_priority(stores).select("c_custkey", "priority")
+
+
+@query("select time_bucket(interval '1 hour', ts) as bucket, event_type, count(*) / 3600.0 as rate from events group by 1, 2")
+def dashboard_rate(t):
+    found = workload.rate(t.events, "ts", 3600, ["event_type"])
+    return found.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", F.col("rate").cast("double").alias("rate"))
+
+
+@query("""with h as (select event_type, count(*) filter (where value <= 10) as a, count(*) filter (where value <= 50) as b, count(*) filter (where value <= 1000) as c from events group by 1)
+    select event_type, round(case when a >= c * 0.5 then 10 * (c * 0.5) / a when b >= c * 0.5 then 10 + 40 * (c * 0.5 - a) / (b - a) else 50 + 950 * (c * 0.5 - b) / (c - b) end, 6) as p50 from h""")
+def dashboard_quantile(t):
+    h = workload.histogram(t.events, "value", [10, 50, 1000], ["event_type"])
+    return h.select("event_type", F.round(workload.bucket_quantile([10, 50, 1000], [F.col("le_0"), F.col("le_1"), F.col("le_2")], 0.5), 6).alias("p50"))
+
+
+@query(f"select range_id, replica_id, region from {REPLICAS} left join (select node_id, region from {NODES} where node_id < 20) using (node_id)")
+def range_detail(t):
+    return topology.range_detail(ranges_of(t), nodes(t).where("node_id < 20").select("node_id", F.lower("region").alias("region"))).select("range_id", "replica_id", "region")
+
+
+@query("select node_id from (select distinct c_nationkey + 10 as node_id from customer where c_custkey < 40) where node_id not in (select n_nationkey from nation)")
+def scenario_missing_nodes(t):
+    return topology.scenario(t.customer.where("c_custkey < 40").select((F.col("c_nationkey") + 10).alias("node_id")), nodes(t), ranges_of(t))[1]
+
+
+@query(f"select distinct range_id from {REPLICAS} where node_id in (1, 2)")
+def scenario_ranges(t):
+    manifest = t._spark.range(1, 3).select(F.col("id").cast("int").alias("node_id"))
+    return topology.scenario(manifest, nodes(t), ranges_of(t))[2].select("range_id")
+
+
+@query("select (select count(*) from nation) as nodes, count(distinct c_custkey // 3) as ranges, count(*) as replicas, cast(sum(c_custkey % 3) as bigint) as rows from customer")
+def cluster_totals(t):
+    r = ranges_of(t).withColumn("row_count", F.aggregate("replicas", F.lit(0).cast("long"), lambda a, x: a + x["replica_id"] % 3))
+    return topology.totals(r, nodes(t)).select("nodes", "ranges", "replicas", "rows")
+
+
+@query("select c_custkey as range_id, case when c_custkey % 2 = 0 then 3 else 2 end as n_replicas, case when c_custkey % 2 = 0 then 8 else 7 end as generation from customer")
+def replica_change_add(t):
+    k = F.col("c_custkey")
+    r = t.customer.select(k.alias("range_id"), F.lit(7).alias("generation"), F.lit(1).alias("leaseholder"), F.array(*(F.struct(F.lit(i).alias("replica_id"), F.lit(i).alias("node_id"), F.lit("VOTER").alias("role")) for i in (1, 2))).alias("replicas"))
+    new = F.struct(F.lit(9).alias("replica_id"), F.when(F.col("range_id") % 2 == 0, 9).otherwise(2).alias("node_id"))
+    return placement.changed_replicas(r, "add", new).select("range_id", F.size("replicas").alias("n_replicas"), "generation")
+
+
+@query("select event_id % 300 as range_id, event_id, value from (select *, row_number() over (partition by event_id % 300 order by ts desc, event_id desc) as rn from events) where rn = 1")
+def latest_of_each(t):
+    return mvcc.latest(t.events.select((F.col("event_id") % 300).alias("range_id"), "ts", "event_id", "value", F.lit(False).alias("tombstone")), ["range_id"], ["ts", "event_id"]).select("range_id", "event_id", "value")
+
+
+@query("select a.c_custkey as left_key, b.c_custkey as right_key, greatest(a.c_custkey, b.c_custkey) as start_key, least(a.c_custkey + 3, b.c_custkey + 3) as end_key from customer a join customer b on a.c_custkey < b.c_custkey + 3 and b.c_custkey < a.c_custkey + 3 where a.c_custkey < 200 and b.c_custkey < 200")
+def span_overlap(t):
+    a = t.customer.where("c_custkey < 200").select(F.col("c_custkey").alias("left_key"), F.col("c_custkey").alias("sa"), (F.col("c_custkey") + 3).alias("ea"))
+    b = t.customer.where("c_custkey < 200").select(F.col("c_custkey").alias("right_key"), F.col("c_custkey").alias("sb"), (F.col("c_custkey") + 3).alias("eb"))
+    start, end = relational.intersection(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb"))
+    return a.join(b, relational.overlaps(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb"))).select("left_key", "right_key", start.alias("start_key"), end.alias("end_key"))

@@ -1,16 +1,21 @@
 """Documents whose sets of word n-grams are alike, by adaptive multi-match prefixes.
 
 All sets are sorted by one order: estimated frequency, rarest first, then hash.  The estimate
-comes from a sketch of fixed size over all n-grams.  If two sets of sizes m and n are alike, the
-first m - o + l n-grams of one and the first n - o' + l of the other share at least l, where o
-and o' are the least overlaps the sizes allow.  Each document picks its own l: a longer prefix
-costs more reading, but a pair then needs l shared n-grams before it is verified, so that at
-most 1/l as many pairs are.  A pair is held to the smaller of its two l.
+comes from a sketch of fixed size over all n-grams.  A document's prefix has the n-grams that
+some one partner must share, and l - 1 more.  Each document picks its l: a longer prefix costs
+more reading, but its pairs then need l - 1 more shared prefix n-grams before they are verified.
+Exactly, a pair whose sizes ask for an overlap of o needs o - r of them, where r is the larger
+number of n-grams that either document has behind its prefix.  The smaller of two documents must
+share more of its own n-grams, so that they meet within a shorter prefix of it, its index.
+
+First, documents only ask which n-grams of their prefixes any other class has.  Those that none
+has can be in no overlap, which bounds the sizes of possible partners; most documents have none
+left.  Then the shared n-grams of the others meet, pairs of different classes are counted, and
+those with enough of them are verified by their whole sets.
 
 What could be quadratic is linked first, linearly.  Equal sets are one class from the start.
 Then documents with equal minimal hashes (four keys of two) are each verified against the
-smallest document of their key, and linked classes are contracted; this repeats with other
-representatives.  The prefix join only looks for pairs between different classes, so a large
+first document of their key, and linked classes are contracted; this repeats with other firsts.  The prefix join only looks for pairs between different classes, so a large
 group of near copies, whose members are in one class by then, gives no pairs.  No link is lost
 by this, as any two members of a class are connected already.
 
@@ -37,6 +42,8 @@ SIZE, PERCENT = 4, 85
 CELLS, PIECES = 1 << 20, 32
 #: Longest prefix extension, and what verifying a pair costs in n-grams read.
 MOST_SHARED, VERIFY_COST = 4, 30
+#: Pairs that are counted at once.
+AT_ONCE = 1_000_000
 #: Keys of minimal hashes; rounds of linking by them.
 KEYS, ROUNDS = 4, 2
 #: Pairs of one representative that a task verifies.
@@ -175,94 +182,202 @@ def key_pairs(reps: DataFrame, classes: DataFrame | None, turn: int) -> DataFram
     return now.join(first, "key").where("class <> bc").select(F.col("doc").alias("a"), "b", "n", "bn").distinct()
 
 
-def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Pairs of documents of different classes whose prefixes share enough; reps has doc, block, class."""
-    parts = B.parts_for(found)
+def needed_overlap(m, n, percent: int):
+    """n-grams that sets of m and n share at least if they are alike."""
+    return -(-percent * (m + n) // (100 + percent))
+
+
+PREFIXES = [("block", "long"), ("docs", "binary"), ("body", "binary")]
+
+
+def prefixes(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Of each block its documents (rows of id, class, set size, prefix size), and the n-grams of their prefixes by document."""
     listed = reps.groupBy("block").agg(F.collect_list(F.struct("doc", "class")).alias("reps"))
-    context = found.sparkSession.sparkContext
-    shared = context.broadcast(counters)
+    shared = found.sparkSession.sparkContext.broadcast(counters)  # CELLS numbers
     usual = float(np.median(counters))
 
     def make():
         hashes, cells = word_hasher(), shared.value
 
         def work(block, ids, texts, reps):
-            classes = {r["doc"]: r["class"] for r in reps or []}
-            docs, tokens, levels, which = [], [], [], []
+            classes = {r["doc"]: r["class"] for r in reps}
+            docs, tokens = [], []
             for doc, s in zip(ids.tolist(), Sets(hashes, texts, size).sets):
                 if not len(s) or doc not in classes:
                     continue
                 n, least = len(s), least_overlap(len(s), percent)
                 seen = cells[(s >> np.uint64(44)).astype(np.int64)]
-                order = np.lexsort((s, seen))[: n - least + MOST_SHARED]
-                others = np.maximum(seen[order].astype(float) - usual, 0)
-                sums = np.cumsum(others)
-                best, best_cost = 1, None
-                for shares in range(1, min(MOST_SHARED, least) + 1):
-                    end = n - least + shares
-                    cost = end + sums[end - 1] + VERIFY_COST * sums[end - 1] / shares
-                    if best_cost is None or cost < best_cost:
-                        best, best_cost = shares, cost
-                end = n - least + best
+                # the hash breaks ties, and s is sorted by it
+                order = np.argsort(seen, kind="stable")[: n - least + MOST_SHARED]
+                sums = np.cumsum(np.maximum(seen[order].astype(float) - usual, 0))
+                shares = np.arange(1, min(MOST_SHARED, least) + 1)
+                end = n - least + shares
+                best = int(end[np.argmin(end + sums[end - 1] * (1 + VERIFY_COST / shares))])
                 docs.append((doc, classes.pop(doc), n, best))
-                tokens.append(s[order[:end]])
-                levels.append(np.maximum(np.arange(1, end + 1) - (n - least), 1).astype(np.uint8))
-                which.append(np.full(end, len(docs) - 1, np.uint32))
-            if not docs:
-                return
-            docs, tokens, levels, which = np.array(docs, np.int64), np.concatenate(tokens), np.concatenate(levels), np.concatenate(which)
-            for p, k in B.split_by((mixed(tokens) >> np.uint64(40)).astype(np.int64) % parts, parts):
-                k = k[np.argsort(tokens[k], kind="stable")]
-                own, index = np.unique(which[k], return_inverse=True)
-                head = B.packed(docs[own].T.tobytes())
-                body = len(own).to_bytes(4, "little") + len(k).to_bytes(4, "little") + len(head).to_bytes(4, "little") + head
-                yield p, block, body + B.six_bytes(tokens[k]) + B.packed(index.astype(np.uint16).tobytes() + levels[k].tobytes())
+                tokens.append(s[order[:best]])
+            if docs:
+                yield block, B.packed(np.array(docs, np.int64).tobytes()), np.concatenate(tokens).tobytes()
 
         return work
 
+    return B.over_blocks(found.join(listed, "block"), make, PREFIXES, "reps")
+
+
+class Prefixes:
+    """The prefixes of a block, as `prefixes` wrote them, dealt to the parts."""
+
+    def __init__(self, docs: bytes, body: bytes, parts: int):
+        self.docs = np.frombuffer(B.unpacked(docs), np.int64).reshape(-1, 4)
+        self.tokens = np.frombuffer(body, np.uint64)
+        self.which = np.repeat(np.arange(len(self.docs)), self.docs[:, 3])
+        self.place = np.arange(len(self.which)) - (np.cumsum(self.docs[:, 3]) - self.docs[:, 3])[self.which]
+        self.keys, self.inverse = np.unique(self.tokens, return_inverse=True)
+        self.parts = list(B.split_by((mixed(self.keys) >> np.uint64(40)).astype(np.int64) % parts, parts))
+
+
+def over_prefixes(stored: DataFrame, work, columns: list[tuple[str, str]], *more: str) -> DataFrame:
+    """Rows that work(block, docs, body, *more) yields for each stored block."""
+    schema = arrow_schema(columns)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = list(work(*(c[k].as_py() for c in batch.columns)))
+                for at in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows[at : at + 1000]), schema)], schema=schema)
+
+    return stored.select("block", "docs", "body", *more).mapInArrow(run, ddl(columns))
+
+
+def shared_tokens(stored: DataFrame, parts: int) -> DataFrame:
+    """Per block and part, a bit for each distinct n-gram of its prefixes: whether another class has it too."""
+
+    def ask(block, docs, body):
+        p = Prefixes(docs, body, parts)
+        classes, index = np.unique(p.docs[:, 1], return_inverse=True)
+        low, high = np.full(len(p.keys), len(classes), np.int64), np.full(len(p.keys), -1)
+        np.minimum.at(low, p.inverse, index[p.which])
+        np.maximum.at(high, p.inverse, index[p.which])
+        for part, k in p.parts:
+            # of an n-gram that two classes of the block have, any class will do
+            own, place = np.unique(low[k], return_inverse=True)
+            head = B.packed(classes[own].tobytes() + place.astype(np.uint16).tobytes() + np.packbits(low[k] < high[k]).tobytes())
+            yield part, block, len(k).to_bytes(4, "little") + len(own).to_bytes(4, "little") + B.six_bytes(p.keys[k]) + head
+
+    def answer(part, blocks, bodies):
+        keys, classes, many, sizes = [], [], [], []
+        for body in bodies:
+            n, d = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little")
+            keys.append(B.from_six(body[8 : 8 + 6 * n]))
+            rest = B.unpacked(body[8 + 6 * n :])
+            classes.append(np.frombuffer(rest[: 8 * d], np.int64)[np.frombuffer(rest[8 * d : 8 * d + 2 * n], np.uint16)])
+            many.append(np.unpackbits(np.frombuffer(rest[8 * d + 2 * n :], np.uint8))[:n].astype(bool))
+            sizes.append(n)
+        keys, classes, many = np.concatenate(keys), np.concatenate(classes), np.concatenate(many)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        low, high, shared = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min), np.zeros(len(distinct), bool)
+        np.minimum.at(low, inverse, classes)
+        np.maximum.at(high, inverse, classes)
+        shared[inverse[many]] = True
+        shared |= low < high
+        for block, bits in zip(blocks, np.split(shared[inverse], np.cumsum(sizes)[:-1])):
+            yield block, part, B.packed_bits(bits)
+
+    return B.answered(over_prefixes(stored, ask, B.ASKED), parts, answer)
+
+
+def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Pairs of documents of different classes whose prefixes share enough; reps has doc, block, class."""
+    parts = B.parts_for(found)
+    stored = B.cut(prefixes(found, reps, counters, size, percent))
+    answered = B.with_answers(stored, B.cut(shared_tokens(stored, parts)), "shared")
+
+    def send(block, docs, body, answers):
+        p = Prefixes(docs, body, parts)
+        shared = np.zeros(len(p.keys), bool)
+        for (_, k), bits in zip(p.parts, B.in_order(answers)):
+            shared[k] = B.bits_of(bits, len(k))
+        n, prefix = p.docs[:, 2], p.docs[:, 3]
+        index_size = prefix - (n - -(-percent * n // 100)) + n - needed_overlap(n, n, percent)
+        # what can be in an overlap at all, and the largest partner that it suffices for
+        able = n - prefix + np.bincount(p.which, shared[p.inverse], len(n)).astype(np.int64)
+        largest = able * (100 + percent) // percent - n
+        goes = shared[p.inverse] & (largest >= -(-percent * n // 100))[p.which]
+        head = np.concatenate([p.docs, able[:, None], index_size[:, None]], axis=1)
+        indexed = p.place < index_size[p.which]
+        lists = [B.six_bytes(x) for x in np.split(p.tokens[goes], np.cumsum(np.bincount(p.which[goes], minlength=len(n)))[:-1])]
+        for part, k in p.parts:
+            inside = np.zeros(len(p.keys), bool)
+            inside[k] = True
+            own = np.flatnonzero(goes & inside[p.inverse])
+            if len(own):
+                docs_here, index = np.unique(p.which[own], return_inverse=True)
+                whole = [lists[d] for d in docs_here.tolist()]
+                sizes = np.array([len(x) // 6 for x in whole], np.uint32)
+                packed = B.packed(head[docs_here].tobytes() + sizes.tobytes() + index.astype(np.uint16).tobytes() + np.packbits(indexed[own]).tobytes())
+                sizes_of = (len(docs_here), len(own), len(packed))
+                yield part, block, b"".join(x.to_bytes(4, "little") for x in sizes_of) + packed + B.six_bytes(p.tokens[own]) + b"".join(whole)
+
     def answer(part, blocks, bodies):
-        docs, tokens, index, levels, n = [], [], [], [], 0
+        docs, tokens, index, indexed, whole, n = [], [], [], [], [], 0
         for body in bodies:
-            d, k, h = (int.from_bytes(body[i : i + 4], "little") for i in (0, 4, 8))
-            docs.append(np.frombuffer(B.unpacked(body[12 : 12 + h]), np.int64).reshape(4, d))
+            d, k, h = (int.from_bytes(body[x : x + 4], "little") for x in (0, 4, 8))
+            rest, at = B.unpacked(body[12 : 12 + h]), 52 * d
+            docs.append(np.frombuffer(rest[: 48 * d], np.int64).reshape(d, 6))
+            sizes = np.frombuffer(rest[48 * d : at], np.uint32)
+            index.append(np.frombuffer(rest[at : at + 2 * k], np.uint16).astype(np.int64) + n)
+            indexed.append(np.unpackbits(np.frombuffer(rest[at + 2 * k :], np.uint8))[:k].astype(bool))
             tokens.append(B.from_six(body[12 + h : 12 + h + 6 * k]))
-            rest = B.unpacked(body[12 + h + 6 * k :])
-            index.append(np.frombuffer(rest[: 2 * k], np.uint16).astype(np.int64) + n)
-            levels.append(np.frombuffer(rest[2 * k :], np.uint8))
+            whole += np.split(B.from_six(body[12 + h + 6 * k :]), np.cumsum(sizes)[:-1])
             n += d
-        docs, tokens, index, levels = np.concatenate(docs, axis=1), np.concatenate(tokens), np.concatenate(index), np.concatenate(levels).astype(np.int64)
-        doc, kind, length, shares = docs
-        order = np.lexsort((length[index], tokens))  # by size within an n-gram
-        tokens, index, levels = tokens[order], index[order], levels[order]
-        edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        group = np.repeat(edge, np.diff(np.append(edge, len(tokens))))
-        yield from counted_pairs(doc, kind, length, shares, index, levels, group, percent)
+        yield from candidates(np.concatenate(docs).T, np.concatenate(tokens), np.concatenate(index), np.concatenate(indexed), whole, percent)
 
-    asked = B.over_blocks(found.join(listed, "block"), make, B.ASKED, "reps")
-    pairs = B.answered(asked, parts, answer, [("a", "long"), ("b", "long"), ("n", "long"), ("need", "long")])
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    asked = over_prefixes(answered, send, B.ASKED, "shared")
+    return B.answered(asked, parts, answer, [("a", "long"), ("b", "long")]).distinct()
 
 
-def counted_pairs(doc, kind, length, shares, index, levels, group, percent):
-    """(smaller doc, larger doc, shared n-grams that count, needed ones) of one part.
+def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed: np.ndarray, whole: list[np.ndarray], percent: int):
+    """Pairs (a, b) of one part whose shared prefixes have enough n-grams in common.
 
-    Entries are sorted by n-gram and size; step d pairs each entry with the d-th one behind it,
-    so memory is a few arrays as long as the entries, and ends where no sizes fit any more.
+    Entries are sorted by n-gram and class, and each meets those of later classes of its n-gram,
+    the smaller document's within its index; what is formed at a time is bounded by AT_ONCE.
     """
-    total: dict[tuple[int, int], list[int]] = {}
-    at, step = np.arange(len(index)), 1
-    while len(at := at[at + step < len(index)]):
-        to = at + step
-        i, j = index[at], index[to]
-        near = (group[at] == group[to]) & (100 * length[i] >= percent * length[j])
-        at, to, i, j = at[near], to[near], i[near], j[near]
-        need = np.minimum(shares[i], shares[j])
-        counts = (kind[i] != kind[j]) & (np.maximum(levels[at], levels[to]) <= need)
-        for x, y, n in zip(doc[i[counts]].tolist(), doc[j[counts]].tolist(), need[counts].tolist()):
-            total.setdefault((x, y) if x < y else (y, x), [0, n])[0] += 1
-        step += 1
-    for (a, b), (n, need) in total.items():
-        yield a, b, n, need
+    doc, kind, size, prefix, able, _ = docs
+    order = np.lexsort((kind[index], tokens))
+    tokens, index, indexed = tokens[order], index[order], indexed[order]
+    group = np.append(True, tokens[1:] != tokens[:-1])
+    run = group | np.append(True, kind[index[1:]] != kind[index[:-1]])
+    # for each entry, where the next class of its n-gram begins, and where its n-gram ends
+    run_ends, group_ends = np.append(np.flatnonzero(run)[1:], len(tokens)), np.append(np.flatnonzero(group)[1:], len(tokens))
+    start, end = run_ends[np.cumsum(run) - 1], group_ends[np.cumsum(group) - 1]
+    meets = np.cumsum(end - start)
+    sets: dict[int, frozenset] = {}
+    seen: set[int] = set()
+    at = 0
+    while at < len(tokens):
+        to = max(at + 1, int(np.searchsorted(meets, (meets[at - 1] if at else 0) + AT_ONCE, "right")))
+        times = end[at:to] - start[at:to]
+        left = np.repeat(np.arange(at, to), times)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[at:to], times)
+        i, j = index[left], index[right]
+        # i becomes the smaller one; of equal ones, the one with the smaller id
+        turn = (size[i] > size[j]) | ((size[i] == size[j]) & (doc[i] > doc[j]))
+        i, j, known = np.where(turn, j, i), np.where(turn, i, j), np.where(turn, indexed[right], indexed[left])
+        i, j = i[known], j[known]
+        overlap = needed_overlap(size[i], size[j], percent)
+        fits = overlap <= np.minimum(np.minimum(able[i], able[j]), size[i])
+        keys, first = np.unique(i[fits] * len(doc) + j[fits], return_index=True)
+        need = np.maximum(overlap - np.maximum(size[i] - prefix[i], size[j] - prefix[j]), 1)[fits][first]
+        for key, least in zip(keys.tolist(), need.tolist()):
+            if key not in seen:
+                seen.add(key)
+                x, y = divmod(key, len(doc))
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = frozenset(whole[k].tolist())
+                if len(sets[x] & sets[y]) >= least:
+                    yield min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))
+        at = to
 
 
 def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

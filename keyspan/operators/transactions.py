@@ -137,13 +137,21 @@ def lock_table(log: DataFrame) -> DataFrame:
     return log.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(fold, LOCK_LOG)
 
 
-def refresh_conflicts(spans: DataFrame, writes: DataFrame) -> DataFrame:
+def refresh_conflicts(spans: DataFrame, writes: DataFrame, bin_width: int | None = None) -> DataFrame:
     """Transactions (txn_id, start, end, read_ts, refresh_ts) a write (key, commit_ts) of the window between their times falls into.
 
     A point read is the span [k, k + one zero byte), so writes are points and a span holds them.
+    With a bin width, for numeric keys and closed spans, spans and writes meet by equal bins, so
+    that the join is dealt by key; a span takes part in each bin it touches.  Without one every
+    span is compared with every write.
     """
-    inside = (writes.key >= spans.start) & (spans.end.isNull() | (writes.key < spans.end)) & (writes.commit_ts > spans.read_ts) & (writes.commit_ts <= spans.refresh_ts)
-    return spans.join(writes, inside, "left_semi").select("txn_id").distinct()
+    inside = (F.col("key") >= F.col("start")) & (F.col("end").isNull() | (F.col("key") < F.col("end"))) & (F.col("commit_ts") > F.col("read_ts")) & (F.col("commit_ts") <= F.col("refresh_ts"))
+    if bin_width is None:
+        return spans.join(writes.select("key", "commit_ts"), inside, "left_semi").select("txn_id").distinct()
+    bins = F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("end") - 1) / bin_width))
+    dealt = spans.where("end > start").withColumn("_bin", F.explode(bins))
+    points = writes.select("key", "commit_ts", F.floor(F.col("key") / bin_width).alias("_bin"))
+    return dealt.alias("s").join(points.alias("w"), (F.col("s._bin") == F.col("w._bin")) & inside, "left_semi").select("txn_id").distinct()
 
 
 def one_phase(writes: DataFrame, records: DataFrame) -> DataFrame:

@@ -444,7 +444,7 @@ def lock_table_fold(t):
 def refresh_conflicts(t):
     spans = t.customer.select(F.col("c_custkey").cast("string").alias("txn_id"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 5).alias("end"), F.col("c_custkey").alias("read_ts"), (F.col("c_custkey") + 40).alias("refresh_ts"))
     writes = t.orders.where("o_orderkey < 2000").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("commit_ts"))
-    return transactions.refresh_conflicts(spans, writes)
+    return transactions.refresh_conflicts(spans, writes, bin_width=64)
 
 
 @query(f"""select txn_id, coalesce(n, 0) as ranges, status = 'PENDING' and coalesce(n, 0) = 1 as eligible, greatest(write_ts, min_commit_ts) as commit_ts

@@ -84,6 +84,9 @@ def test_refresh_and_one_phase(spark):
     spans = spark.createDataFrame([("t", "a", "m", 10, 20)], "txn_id string, start string, end string, read_ts int, refresh_ts int")
     hit = lambda key, ts: transactions.refresh_conflicts(spans, spark.createDataFrame([(key, ts)], "key string, commit_ts int")).count()
     assert (hit("b", 15), hit("z", 15), hit("b", 9), hit("m", 15), hit("b", 20), hit("b", 10)) == (1, 0, 0, 0, 1, 0)
+    numbers = spark.createDataFrame([(f"t{k}", k * 7, k * 7 + k, 10, 20) for k in range(50)], "txn_id string, start int, end int, read_ts int, refresh_ts int")
+    points = spark.createDataFrame([(k * 5, 10 + k % 12) for k in range(90)], "key int, commit_ts int")
+    assert rows(transactions.refresh_conflicts(numbers, points, 16)) == rows(transactions.refresh_conflicts(numbers, points))
     records = spark.createDataFrame([("t", "PENDING", 5, 9), ("u", "PENDING", 5, 1), ("v", "COMMITTED", 5, 1)], "txn_id string, status string, write_ts int, min_commit_ts int")
     writes = spark.createDataFrame([("t", 1), ("t", 1), ("u", 1), ("u", 2), ("v", 1)], "txn_id string, range_id int")
     assert rows(transactions.one_phase(writes, records)) == [("t", 1, True, 9), ("u", 2, False, 5), ("v", 1, False, 5)]

@@ -41,6 +41,8 @@ NOISE = re.compile(
     r"sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|tracking|widget|complementary|contentinfo|alert|alertdialog|header|site-header|page-header)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that have such a word and yet are the article's or the page's.
+NOT_NOISE = re.compile(r"(?:article|entry|post|content|story|main|page)[_-]?header|(?:has|with|no|without)[_-]\w+", re.IGNORECASE)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b|\baria-hidden\s*=\s*["']?true)""", re.IGNORECASE)
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[a-zA-Z/][^>]*(?:>|\Z)""",
@@ -63,11 +65,11 @@ def noisy(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    return any(m[4] or NOISE.search(m[1] or m[2] or m[3] or "") for m in NAMES.finditer(attributes))
+    return any(m[4] or NOISE.search(NOT_NOISE.sub("", m[1] or m[2] or m[3] or "")) for m in NAMES.finditer(attributes))
 
 
-def parsed(page: str) -> Node:
-    """The tree below body, without what is left out."""
+def parsed(page: str, by_name: bool = True) -> Node:
+    """The tree below body, without what is left out; by_name: also for a class, id or role."""
     root = at = Node("body", None)
     skipping, depth, position = "", 0, 0  # inside an element that is left out
 
@@ -123,7 +125,7 @@ def parsed(page: str) -> Node:
                         close(names.split(), stops.split())
                 if tag in ("html", "body"):
                     continue
-                if noisy(tag, attributes) and not (tag == "header" and within_article(at)):
+                if noisy(tag, attributes if by_name else "") and not (tag == "header" and within_article(at)):
                     skipping, depth = tag, 1
                     at.children.append(Node("gap", at))
                     continue
@@ -223,7 +225,11 @@ def main_text(page: str) -> str:
     """Blocks of the main text, one a line, in page order."""
     if not page.strip():
         return ""
-    root = parsed(page)
+    # a page whose whole content has such a name is read without regard to names
+    return text_of(parsed(page)) or text_of(parsed(page, by_name=False))
+
+
+def text_of(root: Node) -> str:
     kept = kept_nodes(root)
     blocks: list[str] = []
     line: list[str] = []

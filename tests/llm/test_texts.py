@@ -41,6 +41,8 @@ def page(body, tail=True):
     ("<article><p>cut &am</p><p>off", "cut &am\noff"),
     ("<article><p title=\"a > b\">one<!-- no <p> --> two</p><table><tr><td>c1</td><td>c2</td></tr></table></article>", "one two\nc1\nc2"),
     ("<p>only</p>", "only"), ("", ""),
+    ('<div class="layout has-sidebar"><div class="entry-header"><h1>T</h1></div><p>One.</p><div class="reader-comments">no</div></div>', "T\nOne."),
+    ('<div class="widget"><p>All of it is in here.</p><nav>menu</nav></div>', "All of it is in here."),
 ])
 def test_main_text(body, text):
     assert html_text.main_text(page(body)) == text

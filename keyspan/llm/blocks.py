@@ -163,3 +163,12 @@ def from_six(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view("<u8")
+
+
+def planed(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed: upper bytes that are zero cost next to nothing."""
+    return packed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8").astype(np.int64)

@@ -7,12 +7,13 @@ moves: a customer leaves and takes a seat again, at a table of its word or at a
 predictive probabilities are averages over samples; they are linear in the numbers of tables,
 of which means are kept.
 
-Blocks of documents (see blocks.py) ask parts of a hash space: first for the count of each of
-their words, then for each pair (a context's pairs are in one part, unless it has more
-customers than a part should: then they are spread, and its totals, a bounded list, are sent to
-all), then for each word's seats in the parent restaurant.  A child restaurant's seating uses a
-parent probability rounded to an eighth of an octave.  All counts cover all training texts; no
-word or pair is left out.  Words are told apart by 64-bit hashes, following words by 48 bits.
+Blocks of documents (see blocks.py) ask parts of a hash space: first for the count and the
+number of each of their words, then for each pair of numbers (a context's pairs are in one part,
+unless it has more customers than a part should: then they are spread), then for what all parts
+found of each word: its seats in the parent restaurant and the tables of its own.  Numbers are
+given by frequency, so that what is sent is small.  A child restaurant's seating uses a parent
+probability rounded to an eighth of an octave.  All counts cover all training texts; no word or
+pair is left out.  Words are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is its end alone; a null doc_id is held out and scored;
 texts are read whole; rows that share a doc_id each count; an empty table gives no rows; with
@@ -39,14 +40,13 @@ DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
 #: Gibbs moves of each word in each restaurant: before the first sample, between samples; samples.
 BURN_IN, BETWEEN, SAMPLES = 12, 4, 3
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def held_out(doc: int) -> bool:
     return doc == B.NULL_ID or zlib.crc32(str(doc).encode()) % FOLDS == 0
 
 
-def mean_tables(count, context, base, contexts: int, discount: float, strength: float, scale: float = 1.0, seed: int = 11) -> np.ndarray:
+def mean_tables(count, context, base, contexts: int, discount: float, strength: float, scale=1.0, seed: int = 11) -> np.ndarray:
     """Mean number of tables of each dish, by Gibbs sampling of the seating.
 
     count, context, base: customers, restaurant and parent probability of each dish.  A
@@ -123,23 +123,25 @@ class Tokens:
         self.doc = np.repeat(np.arange(len(ids)), self.sizes)
 
     def parts(self, parts: int) -> list[tuple[int, np.ndarray]]:
-        return list(B.split_by(((self.keys & LOW48) % np.uint64(parts)).astype(np.int64), parts))
+        return list(B.split_by((self.keys % np.uint64(parts)).astype(np.int64), parts))
 
-    def filled(self, parts: int, answers: list, kind: str) -> list[np.ndarray]:
-        """Arrays over the distinct words from the answers of all parts, each of which is arrays one after the other."""
-        out = None
+    def counted(self, parts: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
+        """The count and the number of each distinct word."""
+        out = np.zeros((2, len(self.keys)), np.int64)
         for (_, k), data in zip(self.parts(parts), B.in_order(answers)):
-            values = np.frombuffer(B.unpacked(data), kind).reshape(-1, len(k))
-            out = np.empty((len(values), len(self.keys)), kind) if out is None else out
-            out[:, k] = values
-        return list(out)
-
-    def pairs(self, parts: int, counts: np.ndarray, crowded: int):
-        """Distinct pairs by part: (part, places), and numbers of context and word, and for each token its pair."""
-        keys, inverse = np.unique(self.before * len(self.keys) + self.word, return_inverse=True)
-        context, word = np.divmod(keys, max(len(self.keys), 1))
-        spread = np.uint64(1) + (counts[context] // crowded).astype(np.uint64)
-        home = mixed(self.keys[context] + mixed(self.keys[word] & LOW48) % spread)
+            out[:, k] = [B.from_planes(section(data, 0)), B.from_planes(section(data, 1))]
+        return out[0], out[1]
+
+    def pairs(self, parts: int, counts: np.ndarray, numbers: np.ndarray, crowded: int):
+        """Distinct pairs, by number: their places in each part, contexts and words (places of distinct words), each token's pair, and by how many a context is spread."""
+        order = np.argsort(numbers)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        keys, inverse = np.unique(rank[self.before] * len(order) + rank[self.word], return_inverse=True)
+        context, word = np.divmod(keys, max(len(order), 1))
+        context, word = order[context], order[word]
+        spread = 1 + counts[context] // crowded
+        home = mixed(numbers[context].astype(np.uint64) + mixed(mixed(numbers[word].astype(np.uint64)) % spread.astype(np.uint64)))
         return list(B.split_by((home % np.uint64(parts)).astype(np.int64), parts)), context, word, inverse, spread
 
 
@@ -148,20 +150,36 @@ def runs_of(context: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
 
 
-def sections(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, each with its size and compressed."""
-    out = []
-    for a in arrays:
-        data = B.packed(a.tobytes())
-        out += [len(data).to_bytes(4, "little"), data]
-    return b"".join(out)
+def sections(*parts: bytes) -> bytes:
+    """Byte strings one after the other, each with its size."""
+    return b"".join(x for p in parts for x in (len(p).to_bytes(4, "little"), p))
 
 
 def section(body: bytes, number: int) -> bytes:
     at = 0
     for _ in range(number):
         at += 4 + int.from_bytes(body[at : at + 4], "little")
-    return B.unpacked(body[at + 4 : at + 4 + int.from_bytes(body[at : at + 4], "little")])
+    return body[at + 4 : at + 4 + int.from_bytes(body[at : at + 4], "little")]
+
+
+def floats(x: np.ndarray) -> bytes:
+    return B.packed(x.astype("<f4").tobytes())
+
+
+def from_floats(data: bytes) -> np.ndarray:
+    return np.frombuffer(B.unpacked(data), "<f4").astype(np.float64)
+
+
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences in rows that begin at the places `first`, each row's first value as it is."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return out
+
+
+def from_steps(out: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = np.cumsum(out)
+    return total - np.repeat(total[first] - out[first], lengths)
 
 
 def asked_words(found: DataFrame, parts: int) -> DataFrame:
@@ -172,43 +190,51 @@ def asked_words(found: DataFrame, parts: int) -> DataFrame:
 
         def work(block, ids, texts):
             tokens = Tokens(hashes, ids, texts)
-            counts = np.bincount(tokens.word[tokens.train], minlength=len(tokens.keys)).astype(np.uint32)
+            counts = np.bincount(tokens.word[tokens.train], minlength=len(tokens.keys))
             for p, k in tokens.parts(parts):
-                yield p, block, sections(tokens.keys[k], counts[k])
+                yield p, block, sections(tokens.keys[k].tobytes(), B.planed(counts[k]))
 
         return work
 
     return B.over_blocks(found, make, B.ASKED)
 
 
-def counted_words(part, blocks, bodies):
-    """The count of each word over all blocks; as block -1, the part's number of tokens and of words."""
-    keys = [np.frombuffer(section(b, 0), np.uint64) for b in bodies]
-    counts = np.concatenate([np.frombuffer(section(b, 1), np.uint32) for b in bodies])
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-    for block, values in zip(blocks, np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])):
-        yield block, part, B.packed(values.tobytes())
-    yield -1, part, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
+def counted_words(parts: int):
+    """The count of each word over all blocks and its number: its rank by count in the part, times the parts, plus the part; as block -1, the part's numbers of tokens and of words."""
+
+    def answer(part, blocks, bodies):
+        keys = [np.frombuffer(section(b, 0), np.uint64) for b in bodies]
+        counts = np.concatenate([B.from_planes(section(b, 1)) for b in bodies])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+        number = np.empty(len(distinct), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(distinct)) * parts + part
+        edges = np.cumsum([len(k) for k in keys])[:-1]
+        for block, n, m in zip(blocks, np.split(total[inverse], edges), np.split(number[inverse], edges)):
+            yield block, part, sections(B.planed(n), B.planed(m))
+        yield -1, part, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
+
+    return answer
 
 
 def asked_pairs(found: DataFrame, parts: int, crowded: int) -> DataFrame:
-    """Each block's distinct pairs, by context: its hash and number of pairs; of each pair the word, its count's octave and the pair's count."""
+    """Each block's distinct pairs, by context: its number and how many pairs it has; of each pair the word, its count's octave and the pair's count."""
 
     def make():
         hashes = word_hasher()
 
         def work(block, ids, texts, words):
             tokens = Tokens(hashes, ids, texts)
-            (counts,) = tokens.filled(parts, words, "<i8")
-            places, context, word, inverse, spread = tokens.pairs(parts, counts, crowded)
-            times = np.bincount(inverse[tokens.train], minlength=len(context)).astype(np.uint32)
+            counts, numbers = tokens.counted(parts, words)
+            places, context, word, inverse, spread = tokens.pairs(parts, counts, numbers, crowded)
+            times = np.bincount(inverse[tokens.train], minlength=len(context))
             octave = np.clip(np.rint(8 * np.log2(counts + 0.5)) + 8, 0, 255).astype(np.uint8)
             for p, k in places:
                 first = runs_of(context[k])
-                own = tokens.keys[context[k[first]]]
-                head = len(k).to_bytes(4, "little") + B.six_bytes(tokens.keys[word[k]])
-                yield p, block, head + sections(own, np.diff(np.append(first, len(k))).astype(np.uint32), octave[word[k]], times[k], spread[k[first]].astype(np.uint32))
+                own = numbers[context[k[first]]]
+                lengths = np.diff(np.append(first, len(k)))
+                yield p, block, sections(
+                    B.planed(np.diff(own, prepend=0)), B.planed(lengths), B.planed(spread[k[first]]), B.planed(steps(numbers[word[k]], first)), B.packed(octave[word[k]].tobytes()), B.planed(times[k]))
 
         return work
 
@@ -216,59 +242,61 @@ def asked_pairs(found: DataFrame, parts: int, crowded: int) -> DataFrame:
 
 
 def seated_pairs(parts: int, train_tokens: int):
-    """Answers to asked_pairs; also, as block -2, the totals of spread contexts, and as block -10 - q, the tables of the words of part q."""
+    """For each pair its count and tables; as block -10 - q, what word part q is to know: tables of its words in all contexts here, and of the contexts that they are."""
 
     def answer(part, blocks, bodies):
-        sizes = [int.from_bytes(b[:4], "little") for b in bodies]
-        word = np.concatenate([B.from_six(b[4 : 4 + 6 * n]) for b, n in zip(bodies, sizes)])
-        rest = [b[4 + 6 * n :] for b, n in zip(bodies, sizes)]
-        contexts = [np.frombuffer(section(r, 0), np.uint64) for r in rest]
-        lengths = np.concatenate([np.frombuffer(section(r, 1), np.uint32) for r in rest]).astype(np.int64)
-        octave = np.concatenate([np.frombuffer(section(r, 2), np.uint8) for r in rest])
-        times = np.concatenate([np.frombuffer(section(r, 3), np.uint32) for r in rest])
-        spread = np.concatenate([np.frombuffer(section(r, 4), np.uint32) for r in rest])
+        contexts = [np.cumsum(B.from_planes(section(b, 0))) for b in bodies]
+        lengths = [B.from_planes(section(b, 1)) for b in bodies]
+        spread = np.concatenate([B.from_planes(section(b, 2)) for b in bodies])
+        word = np.concatenate([from_steps(B.from_planes(section(b, 3)), np.cumsum(n) - n, n) for b, n in zip(bodies, lengths)])
+        octave = np.concatenate([np.frombuffer(B.unpacked(section(b, 4)), np.uint8) for b in bodies])
+        times = np.concatenate([B.from_planes(section(b, 5)) for b in bodies])
+        sizes = [int(n.sum()) for n in lengths]
         own, which = np.unique(np.concatenate(contexts), return_inverse=True)
         shares = np.ones(len(own))
         shares[which] = spread
-        _, first, inverse = np.unique(mixed(own[np.repeat(which, lengths)]) + word * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
-        context = np.repeat(which, lengths)[first]
+        every = np.repeat(which, np.concatenate(lengths))
+        _, first, inverse = np.unique(mixed(own.astype(np.uint64)[every]) + word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+        context = every[first]
+        del every
         count = np.bincount(inverse, times, len(first)).astype(np.int64)
-        base = np.maximum(2.0 ** ((octave[first] - 8) / 8) - 0.5, 0.1) / max(train_tokens, 1)
-        here = np.where(shares[context] > 1, 0.0, 1.0)  # a spread context's other tables are not here
-        scale = 1.0 if here.all() else shares
-        tables = mean_tables(count, context, base, len(own), DISCOUNT, STRENGTH, scale).astype(np.float32)
-        customers, rooms = np.bincount(context, count, len(own)), np.bincount(context, tables, len(own)).astype(np.float32)
+        base = np.maximum(2.0 ** ((octave[first].astype(float) - 8) / 8) - 0.5, 0.1) / max(train_tokens, 1)
+        # of a spread context only a share of the tables is here
+        tables = mean_tables(count, context, base, len(own), DISCOUNT, STRENGTH, shares).astype(np.float32)
         edges = np.cumsum(sizes)[:-1]
-        per_context = np.cumsum([len(c) for c in contexts])[:-1]
-        for block, n, t, w in zip(blocks, np.split(count[inverse].astype(np.uint32), edges), np.split(tables[inverse], edges), np.split(which, per_context)):
-            yield block, part, sections(n, t, customers[w].astype(np.uint32), rooms[w])
-        for k in np.flatnonzero(shares > 1):
-            yield -2, part, own[k].tobytes() + np.array([customers[k], rooms[k]]).tobytes()
+        for block, n, t in zip(blocks, np.split(count[inverse], edges), np.split(tables[inverse], edges)):
+            yield block, part, sections(B.planed(n), floats(t))
+        rooms = np.bincount(context, tables, len(own))
         seen = tables > 0
         dishes, place = np.unique(word[first][seen], return_inverse=True)
-        for q, k in B.split_by((dishes % np.uint64(parts)).astype(np.int64), parts):
-            yield -10 - q, part, sections(dishes[k], np.bincount(place, tables[seen], len(dishes))[k].astype(np.float32))
+        sums = np.bincount(place, tables[seen], len(dishes))
+        of_words, of_contexts = (dict(B.split_by(x % parts, parts)) for x in (dishes, own))
+        none = np.empty(0, np.int64)
+        for q in sorted(of_words.keys() | of_contexts.keys()):
+            w, c = of_words.get(q, none), of_contexts.get(q, none)
+            yield -10 - q, part, sections(B.planed(np.diff(dishes[w] // parts, prepend=0)), floats(sums[w]), B.planed(np.diff(own[c] // parts, prepend=0)), floats(rooms[c]))
 
     return answer
 
 
-def seated_words(uniform: float):
-    """For each word asked for, its customers and tables in the parent restaurant; as block -1, the part's totals."""
+def seated_words(parts: int, uniform: float):
+    """For each word of each block, its customers and tables in the parent restaurant, and the tables of its own; as block -1, the parent's totals here."""
 
     def answer(part, blocks, bodies):
         sent = [b for k, b in zip(blocks, bodies) if k <= -10]
-        wanted = [(k, np.frombuffer(section(b, 0), np.uint64) & LOW48) for k, b in zip(blocks, bodies) if k >= 0]
-        dishes = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(section(b, 0), np.uint64) for b in sent)])
-        tables = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(section(b, 1), np.float32) for b in sent)])
-        own, inverse = np.unique(dishes, return_inverse=True)
-        customers = np.maximum(np.rint(np.bincount(inverse, tables, len(own))), 1)
-        rooms = mean_tables(customers, np.zeros(len(own), np.int64), np.full(len(own), uniform), 1, PARENT_DISCOUNT, PARENT_STRENGTH)
+        wanted = [(k, B.from_planes(section(b, 1)) // parts) for k, b in zip(blocks, bodies) if k >= 0]
+        size = 1 + max([-1, *(int(r.max()) for _, r in wanted if len(r))])
+        customers, own = np.zeros(size), np.zeros(size)
+        for b in sent:
+            np.add.at(customers, np.cumsum(B.from_planes(section(b, 0))), from_floats(section(b, 1)))
+            np.add.at(own, np.cumsum(B.from_planes(section(b, 2))), from_floats(section(b, 3)))
+        customers = np.where(customers > 0, np.maximum(np.rint(customers), 1), 0)
+        known = np.flatnonzero(customers)
+        rooms = np.zeros(size)
+        rooms[known] = mean_tables(customers[known], np.zeros(len(known), np.int64), np.full(len(known), uniform), 1, PARENT_DISCOUNT, PARENT_STRENGTH, parts)
         yield -1, part, np.array([customers.sum(), rooms.sum()]).tobytes()
-        for block, keys in wanted:
-            at = np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))
-            known = own[at] == keys if len(own) else np.zeros(len(keys), bool)
-            values = [np.where(known, x[at] if len(own) else 0, 0).astype(np.float32) for x in (customers, rooms)]
-            yield block, part, B.packed(np.concatenate(values).tobytes())
+        for block, ranks in wanted:
+            yield block, part, sections(B.planed(customers[ranks].astype(np.int64)), floats(rooms[ranks]), floats(own[ranks]))
 
     return answer
 
@@ -277,8 +305,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text)."""
     found = B.cut(B.in_blocks(docs))
     parts, crowded = B.parts_for(found), B.PART_WORDS
-    asked = B.cut(asked_words(found, parts))
-    words = B.cut(B.answered(asked, parts, counted_words))
+    words = B.cut(B.answered(asked_words(found, parts), parts, counted_words(parts)))
     # what comes to the driver: two numbers for each part
     totals = [np.frombuffer(r["answer"], np.int64) for r in words.where("block = -1").collect()]
     train_tokens, vocabulary = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
@@ -286,12 +313,9 @@ def scored(docs: DataFrame) -> DataFrame:
 
     with_words = B.with_answers(found, words.where("block >= 0"), "counted")
     pairs = B.cut(B.answered(asked_pairs(with_words, parts, crowded), parts, seated_pairs(parts, train_tokens)))
-    large: dict[int, np.ndarray] = {}
-    for row in pairs.where("block = -2").collect():  # at most two rows for each part: contexts of over PART_WORDS customers
-        key = int(np.frombuffer(row["answer"][:8], np.uint64)[0])
-        large[key] = large.get(key, np.zeros(2)) + np.frombuffer(row["answer"][8:], np.float64)
     tables = pairs.where("block <= -10").select((-10 - F.col("block")).alias("part"), (-10 - F.col("part")).alias("block"), F.col("answer").alias("body"))
-    parent = B.cut(B.answered(asked.unionByName(tables), parts, seated_words(uniform)))
+    asked = words.where("block >= 0").select("part", "block", F.col("answer").alias("body"))
+    parent = B.cut(B.answered(asked.unionByName(tables), parts, seated_words(parts, uniform)))
     rooms = [np.frombuffer(r["answer"], np.float64) for r in parent.where("block = -1").collect()]
     customers_all, tables_all = np.sum(rooms, axis=0) if rooms else (0.0, 0.0)
 
@@ -300,22 +324,17 @@ def scored(docs: DataFrame) -> DataFrame:
 
         def work(block, ids, texts, words, pairs, parent):
             tokens = Tokens(hashes, ids, texts)
-            (counts,) = tokens.filled(parts, words, "<i8")
-            customers, tables = (x.astype(np.float64) for x in tokens.filled(parts, parent, "<f4"))
+            counts, numbers = tokens.counted(parts, words)
+            customers, tables, own = (np.zeros(len(counts)) for _ in range(3))
+            for (_, k), data in zip(tokens.parts(parts), B.in_order(parent)):
+                customers[k], tables[k], own[k] = B.from_planes(section(data, 0)), from_floats(section(data, 1)), from_floats(section(data, 2))
             above = (np.maximum(customers - PARENT_DISCOUNT * tables, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * tables_all) * uniform) / (PARENT_STRENGTH + customers_all)
-            places, context, word, inverse, _ = tokens.pairs(parts, counts, crowded)
-            n, t, m, r = (np.zeros(len(context)) for _ in range(4))
+            places, context, word, inverse, _ = tokens.pairs(parts, counts, numbers, crowded)
+            n, t = np.zeros(len(context)), np.zeros(len(context))
             for (_, k), data in zip(places, B.in_order(pairs)):
-                n[k], t[k] = np.frombuffer(section(data, 0), np.uint32), np.frombuffer(section(data, 1), np.float32)
-                first = runs_of(context[k])
-                again = np.diff(np.append(first, len(k)))
-                m[k] = np.repeat(np.frombuffer(section(data, 2), np.uint32), again)
-                r[k] = np.repeat(np.frombuffer(section(data, 3), np.float32), again)
-            for key, (customers_of, tables_of) in large.items():
-                at = context == np.searchsorted(tokens.keys, np.uint64(key))
-                at &= tokens.keys[context] == np.uint64(key)
-                m[at], r[at] = customers_of, tables_of
-            share = (np.maximum(n - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * r) * above[word]) / (STRENGTH + m)
+                n[k], t[k] = B.from_planes(section(data, 0)), from_floats(section(data, 1))
+            # a word is followed as often as it occurs, and an end as often as texts begin
+            share = (np.maximum(n - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * own[context]) * above[word]) / (STRENGTH + counts[context])
             score = np.bincount(tokens.doc, np.log10(share)[inverse], len(ids))
             base = np.log10((counts + ADDED) / (train_tokens + ADDED * (vocabulary + 1)))[tokens.word]
             base = np.bincount(tokens.doc, base, len(ids))

@@ -36,16 +36,24 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, forget: bool = False) -> DataFrame:
     """df, computed and stored in the shared folder.
 
     What df was made from can go then; the driver's collector is asked to notice, as shuffle
-    files stay on the executors' disks until it does.
+    files stay on the executors' disks until it does.  A checkpointed DataFrame still holds the
+    plan it came from, and so its shuffle files; with forget the result is made anew from the
+    checkpoint's rows alone, so that they go while it lives.
     """
-    shared_folder(df.sparkSession)
+    session = df.sparkSession
+    shared_folder(session)
     stored = df.checkpoint()
+    if forget:
+        java = stored._jdf
+        stored = type(df)(session._jsparkSession.internalCreateDataFrame(java.queryExecution().toRdd(), java.schema(), False), session)
+        del java
+    del df
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    session._jvm.System.gc()
     return stored
 
 

@@ -303,19 +303,19 @@ def seated_words(parts: int, uniform: float):
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text)."""
-    found = B.cut(B.in_blocks(docs))
+    found = B.cut(B.in_blocks(docs), forget=True)
     parts, crowded = B.parts_for(found), B.PART_WORDS
-    words = B.cut(B.answered(asked_words(found, parts), parts, counted_words(parts)))
+    words = B.cut(B.answered(asked_words(found, parts), parts, counted_words(parts)), forget=True)
     # what comes to the driver: two numbers for each part
     totals = [np.frombuffer(r["answer"], np.int64) for r in words.where("block = -1").collect()]
     train_tokens, vocabulary = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
     uniform = 1.0 / (vocabulary + 1)
 
     with_words = B.with_answers(found, words.where("block >= 0"), "counted")
-    pairs = B.cut(B.answered(asked_pairs(with_words, parts, crowded), parts, seated_pairs(parts, train_tokens)))
+    pairs = B.cut(B.answered(asked_pairs(with_words, parts, crowded), parts, seated_pairs(parts, train_tokens)), forget=True)
     tables = pairs.where("block <= -10").select((-10 - F.col("block")).alias("part"), (-10 - F.col("part")).alias("block"), F.col("answer").alias("body"))
     asked = words.where("block >= 0").select("part", "block", F.col("answer").alias("body"))
-    parent = B.cut(B.answered(asked.unionByName(tables), parts, seated_words(parts, uniform)))
+    parent = B.cut(B.answered(asked.unionByName(tables), parts, seated_words(parts, uniform)), forget=True)
     rooms = [np.frombuffer(r["answer"], np.float64) for r in parent.where("block = -1").collect()]
     customers_all, tables_all = np.sum(rooms, axis=0) if rooms else (0.0, 0.0)
 

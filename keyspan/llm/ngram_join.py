@@ -39,7 +39,7 @@ from .components import connected
 
 SIZE, PERCENT = 4, 85
 #: Counters of the sketch, and the pieces in which it is added up.
-CELLS, PIECES = 1 << 20, 32
+CELLS, PIECES = 1 << 20, 128
 #: Longest prefix extension, and what verifying a pair costs in n-grams read.
 MOST_SHARED, VERIFY_COST = 4, 30
 #: Pairs that are counted at once.
@@ -110,15 +110,24 @@ def profiles(found: DataFrame, size: int) -> DataFrame:
 
 
 def sketch(profiled: DataFrame) -> np.ndarray:
-    """The counters over all documents: CELLS numbers, whatever the size of the input."""
+    """The counters over all documents: CELLS numbers, whatever the size of the input.
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS // PIECES, np.uint64)
-        for body in table.column("body").to_pylist():
-            total += np.frombuffer(B.unpacked(body), np.uint32)
-        return pa.table({"doc": pa.array([table.column("doc")[0].as_py()], pa.int64()), "body": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    Each task's pieces are added as they are read, so that memory does not grow with the tasks.
+    """
+
+    schema = pa.schema([("doc", pa.int64()), ("body", pa.binary())])
 
-    pieces = profiled.where("kind = 1").select("doc", "body").groupBy("doc").applyInArrow(add, "doc long, body binary").collect()
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(B.unpacked(body), np.uint32)
+                total[piece] = total.get(piece, np.uint64(0)) + counts.astype(np.uint64)
+        if total:
+            bodies = [np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes() for t in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(bodies, pa.binary())], schema=schema)
+
+    pieces = profiled.where("kind = 1").select("doc", "body").repartition(PIECES, "doc").mapInArrow(add, "doc long, body binary").collect()
     return np.concatenate([np.frombuffer(p["body"], np.uint32) for p in sorted(pieces, key=lambda p: p["doc"])] or [np.zeros(CELLS, np.uint32)])
 
 

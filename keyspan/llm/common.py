@@ -85,7 +85,7 @@ def word_hasher() -> Callable[[list[bytes]], np.ndarray]:
     """A function from words to an array of shape (words, 2): 128-bit hashes as two unsigned halves."""
     numbers, table, filled = Numbered(), np.empty((1 << 16, 2), np.uint64), 0
 
-    def hashes(words: list[bytes]) -> np.ndarray:
+    def places(words: list[bytes]) -> np.ndarray:
         nonlocal numbers, table, filled
         if len(numbers) > CACHE:
             numbers, filled = Numbered(), 0
@@ -96,8 +96,24 @@ def word_hasher() -> Callable[[list[bytes]], np.ndarray]:
             table[filled : filled + len(new)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), np.uint64).reshape(-1, 2)[:, ::-1]
             filled += len(new)
             new.clear()
+        return at
+
+    def hashes(words: list[bytes]) -> np.ndarray:
+        at = places(words)  # may replace the table
         return table[at]
 
+    def distinct(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct 64-bit hashes, and for each word its place among them; only the distinct ones are sorted."""
+        at = places(words)
+        seen = np.zeros(filled, bool)
+        seen[at] = True
+        own = np.flatnonzero(seen)
+        order = np.argsort(table[own, 0])
+        rank = np.empty(filled, np.int64)
+        rank[own[order]] = np.arange(len(own))
+        return table[own[order], 0], rank[at]
+
+    hashes.distinct = distinct
     return hashes
 
 

@@ -112,11 +112,10 @@ class Tokens:
     def __init__(self, hashes, ids: np.ndarray, texts: list[bytes]):
         words = [t.lower().split() for t in texts]
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
-        h = hashes([w for ws in words for w in (*ws, END)])[:, 0]
-        self.keys, self.word = np.unique(h, return_inverse=True)
+        self.keys, self.word = hashes.distinct([w for ws in words for w in (*ws, END)])
         ends = np.cumsum(self.sizes)
-        self.end = int(np.searchsorted(self.keys, hashes([END])[0, 0])) if len(h) else 0
-        self.before = np.concatenate([[self.end], self.word[:-1]]) if len(h) else self.word
+        self.end = int(np.searchsorted(self.keys, hashes([END])[0, 0])) if len(self.word) else 0
+        self.before = np.concatenate([[self.end], self.word[:-1]]) if len(self.word) else self.word
         self.before[ends[:-1]] = self.end
         self.held = np.array([held_out(i) for i in ids.tolist()], bool)
         self.train = np.repeat(~self.held, self.sizes)

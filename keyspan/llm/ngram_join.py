@@ -8,10 +8,12 @@ Exactly, a pair whose sizes ask for an overlap of o needs o - r of them, where r
 number of n-grams that either document has behind its prefix.  The smaller of two documents must
 share more of its own n-grams, so that they meet within a shorter prefix of it, its index.
 
-First, documents only ask which n-grams of their prefixes any other class has.  Those that none
-has can be in no overlap, which bounds the sizes of possible partners; most documents have none
-left.  Then the shared n-grams of the others meet, pairs of different classes are counted, and
-those with enough of them are verified by their whole sets.
+First, documents only ask which n-grams of their prefixes are in a prefix of another class; the
+others are not sent.  Of a pair, the overlap within the prefix that ends first lies in both
+prefixes, so that this document's n-grams behind its prefix and its shared ones bound the overlap.
+Which one ends first is not known beforehand, so a pair goes by the larger bound: two documents
+that are both too low for any partner do not meet.  The others do, pairs of different classes are
+counted, and those with enough n-grams are verified by their whole sets.
 
 What could be quadratic is linked first, linearly.  Equal sets are one class from the start.
 Then documents with equal minimal hashes (four keys of two) are each verified against the
@@ -308,10 +310,9 @@ def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size:
             shared[k] = B.bits_of(bits, len(k))
         n, prefix = p.docs[:, 2], p.docs[:, 3]
         index_size = prefix - (n - -(-percent * n // 100)) + n - needed_overlap(n, n, percent)
-        # what can be in an overlap at all, and the largest partner that it suffices for
+        # what can be in an overlap with a document whose prefix does not end before
         able = n - prefix + np.bincount(p.which, shared[p.inverse], len(n)).astype(np.int64)
-        largest = able * (100 + percent) // percent - n
-        goes = shared[p.inverse] & (largest >= -(-percent * n // 100))[p.which]
+        goes = shared[p.inverse]
         head = np.concatenate([p.docs, able[:, None], index_size[:, None]], axis=1)
         indexed = p.place < index_size[p.which]
         lists = [B.six_bytes(x) for x in np.split(p.tokens[goes], np.cumsum(np.bincount(p.which[goes], minlength=len(n)))[:-1])]
@@ -348,33 +349,37 @@ def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size:
 def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed: np.ndarray, whole: list[np.ndarray], percent: int):
     """Pairs (a, b) of one part whose shared prefixes have enough n-grams in common.
 
-    Entries are sorted by n-gram and class, and each meets those of later classes of its n-gram,
-    the smaller document's within its index; what is formed at a time is bounded by AT_ONCE.
+    Entries are sorted by n-gram, then those of documents whose bound suffices for some partner,
+    then by class.  Each of these meets those of other classes behind it, the smaller document's
+    within its index; what is formed at a time is bounded by AT_ONCE.
     """
     doc, kind, size, prefix, able, _ = docs
-    order = np.lexsort((kind[index], tokens))
+    weak = able * (100 + percent) // percent - size < -(-percent * size // 100)
+    order = np.lexsort((kind[index], weak[index], tokens))
     tokens, index, indexed = tokens[order], index[order], indexed[order]
     group = np.append(True, tokens[1:] != tokens[:-1])
-    run = group | np.append(True, kind[index[1:]] != kind[index[:-1]])
+    run = group | np.append(True, (kind[index[1:]] != kind[index[:-1]]) | (weak[index[1:]] != weak[index[:-1]]))
     # for each entry, where the next class of its n-gram begins, and where its n-gram ends
     run_ends, group_ends = np.append(np.flatnonzero(run)[1:], len(tokens)), np.append(np.flatnonzero(group)[1:], len(tokens))
     start, end = run_ends[np.cumsum(run) - 1], group_ends[np.cumsum(group) - 1]
-    meets = np.cumsum(end - start)
+    partners = np.where(weak[index], 0, end - start)
+    meets = np.cumsum(partners)
     sets: dict[int, frozenset] = {}
     seen: set[int] = set()
     at = 0
     while at < len(tokens):
         to = max(at + 1, int(np.searchsorted(meets, (meets[at - 1] if at else 0) + AT_ONCE, "right")))
-        times = end[at:to] - start[at:to]
+        times = partners[at:to]
         left = np.repeat(np.arange(at, to), times)
         right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[at:to], times)
         i, j = index[left], index[right]
         # i becomes the smaller one; of equal ones, the one with the smaller id
         turn = (size[i] > size[j]) | ((size[i] == size[j]) & (doc[i] > doc[j]))
         i, j, known = np.where(turn, j, i), np.where(turn, i, j), np.where(turn, indexed[right], indexed[left])
+        known &= kind[i] != kind[j]
         i, j = i[known], j[known]
         overlap = needed_overlap(size[i], size[j], percent)
-        fits = overlap <= np.minimum(np.minimum(able[i], able[j]), size[i])
+        fits = overlap <= np.minimum(np.maximum(able[i], able[j]), size[i])
         keys, first = np.unique(i[fits] * len(doc) + j[fits], return_index=True)
         need = np.maximum(overlap - np.maximum(size[i] - prefix[i], size[j] - prefix[j]), 1)[fits][first]
         for key, least in zip(keys.tolist(), need.tolist()):

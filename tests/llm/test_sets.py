@@ -139,6 +139,21 @@ def test_join_near_the_threshold(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_classes(docs, 4, 85)
 
 
+def test_prefixes_of_unequal_sets_meet(spark):
+    """Every link of a document and its longer copy is a candidate, by prefixes alone."""
+    docs = []
+    for k in range(24):
+        words = [f"w{k}_{j}" for j in range(40 + 7 * k)]
+        docs += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words + [f"n{k}_{j}" for j in range(len(words) * (k % 5 + 13) // 100)])), (3 * k + 2, " ".join(words[5:]))]
+    found = ngram_join.B.in_blocks(spark.createDataFrame(docs, "doc_id long, text string")).cache()
+    profiled = ngram_join.profiles(found, 4).cache()
+    reps = profiled.where("kind = 0").selectExpr("doc", "block", "doc as class")
+    got = {(r["a"], r["b"]) for r in ngram_join.prefix_pairs(found, reps, ngram_join.sketch(profiled), 4, 85).collect()}
+    grams = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in docs)}
+    want = {(a, b) for a in grams for b in grams if a < b and 100 * len(grams[a] & grams[b]) >= 85 * len(grams[a] | grams[b])}
+    assert len(want) > 24 and want <= got
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(200)] + [(500, 1000), (1000, 700), (700, 700)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(path, "a long, b long").repartition(7)).collect()}

@@ -3,7 +3,7 @@
 Every word is a context with a restaurant, whose customers are the words that follow it in the
 training texts; the tables of all these restaurants are the customers of one parent restaurant,
 over a uniform distribution of all known words and one unknown.  Seating is sampled by Gibbs
-moves: a customer leaves and takes a seat again, at a table of its word or at a new one.  The
+moves: all customers of a word leave a restaurant and take tables again.  The
 predictive probabilities are averages over samples; they are linear in the numbers of tables,
 of which means are kept.
 
@@ -22,6 +22,7 @@ no training text all probabilities are uniform over the unknown word; other colu
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -40,6 +41,11 @@ DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
 #: Gibbs moves of each word in each restaurant: before the first sample, between samples; samples.
 BURN_IN, BETWEEN, SAMPLES = 12, 4, 3
+#: Customers of a word up to which its numbers of tables are weighed one by one.
+EXACT = 64
+#: Weight from which the numbers of tables of more customers are by the saddle point: against exact
+#: sums for 100, 600 and 5,000 customers, either way is within 4 % of the mean.
+WIDE = 30
 
 
 def held_out(doc: int) -> bool:
@@ -47,65 +53,111 @@ def held_out(doc: int) -> bool:
 
 
 def mean_tables(count, context, base, contexts: int, discount: float, strength: float, scale=1.0, seed: int = 11) -> np.ndarray:
-    """Mean number of tables of each dish, by Gibbs sampling of the seating.
+    """Mean number of tables of each dish, by Gibbs sampling of all dishes' tables.
 
     count, context, base: customers, restaurant and parent probability of each dish.  A
     restaurant of which only a share is here has scale times the tables that are seen.
+
+    Given a gamma variable of shape strength / discount + tables for each restaurant, the tables
+    of its dishes are independent: t of c customers with weight S(c, t) (discount * variable *
+    base) ** t, S being the generalized Stirling numbers.  So a move draws the tables of a dish
+    anew for all its customers at once, however many there are.
     """
     random = np.random.default_rng(seed)
     tables = (count > 0).astype(np.float64)
     many = np.flatnonzero(count >= 2)
     if not len(many):
         return tables
+    many = many[np.argsort(count[many], kind="stable")]
     c, ctx, p = count[many].astype(np.int64), context[many], base[many]
+    fixed = np.bincount(context, tables, contexts) - np.bincount(ctx, minlength=contexts)
     # begin near the expected number of tables: the mean of sequential seating, in growing steps
-    total = np.bincount(context, tables, contexts) * scale
-    pull, t, n = (strength + discount * total[ctx]) * p, np.ones(len(c)), np.ones(len(c))
+    t, n = np.ones(len(c)), np.ones(len(c))
     while (going := n < c).any():
-        step = np.minimum(np.maximum(1, n * 0.125), c - n) * going
+        total = (fixed + np.bincount(ctx, t, contexts)) * scale
+        pull, step = (strength + discount * total[ctx]) * p, np.minimum(np.maximum(1, n * 0.125), c - n) * going
         t += step * pull / (pull + n - discount * t)
         n += step
-    t = np.clip(np.rint(t), 1, c).astype(np.int64)
-    start = np.cumsum(c) - c
-    seats = int(c.sum())
-    dish = np.repeat(np.arange(len(c)), c)
-    place = np.arange(seats) - start[dish]
-    table = np.where(place < t[dish], place, (random.random(seats) * t[dish]).astype(np.int64)).astype(np.int32)
-    size = np.bincount(start[dish] + table, minlength=seats).astype(np.int64)
-    free = place.astype(np.int32)  # free[start + t:] are numbers of unused tables
-    del dish, place
     mean = np.zeros(len(c))
-    fixed = np.bincount(context, tables, contexts) - np.bincount(ctx, minlength=contexts)
     for move in range(BURN_IN + BETWEEN * SAMPLES):
-        who = (random.random(len(c)) * c).astype(np.int64)
-        old = table[start + who]
-        size[start + old] -= 1
-        emptied = size[start + old] == 0
-        t -= emptied
-        free[(start + t)[emptied]] = old[emptied]
         total = (fixed + np.bincount(ctx, t, contexts)) * scale
-        new = (strength + discount * total[ctx]) * p
-        opens = random.random(len(c)) * (new + c - 1 - discount * t) < new
-        seat = np.empty(len(c), np.int64)
-        seat[opens] = free[(start + t)[opens]]
-        left = np.flatnonzero(~opens)
-        while len(left):  # a table by its customers, accepted by the share the discount leaves
-            other = (random.random(len(left)) * (c[left] - 1)).astype(np.int64)
-            other += other >= who[left]
-            at = table[start[left] + other]
-            guests = size[start[left] + at]
-            taken = random.random(len(left)) * guests < guests - discount
-            seat[left[taken]] = at[taken]
-            left = left[~taken]
-        table[start + who] = seat
-        size[start + seat] += 1
-        t += opens
+        weight = discount * random.gamma(strength / discount + total)[ctx] * p
+        t = drawn_tables(c, weight, discount, random)
         if move >= BURN_IN and (move - BURN_IN) % BETWEEN == BETWEEN - 1:
             mean += t
     tables[many] = mean / SAMPLES
     return tables
 
 
+@functools.cache
+def stirling(discount: float) -> list[np.ndarray]:
+    """Logarithms of S(c, t) for t = 1 .. c, for each c up to EXACT."""
+    rows = [np.zeros(0), np.ones(1)]
+    for c in range(1, EXACT):
+        rows.append(np.append((c - discount * np.arange(1, c + 1)) * rows[c], 0) + np.append(0, rows[c]))
+    return [np.log(r) for r in rows]
+
+
+def drawn_tables(c: np.ndarray, weight: np.ndarray, discount: float, random) -> np.ndarray:
+    """A draw of t under S(c, t) weight ** t for each dish; c ascends.
+
+    Up to EXACT customers all t are weighed.  For more, a weight under WIDE lets mean and variance
+    follow their equations from there on as customers come, with the third cumulant that Poisson
+    and binomial numbers have; others are by the saddle point of the generating function
+    exp(weight / discount (1 - (1 - z) ** discount)).  The draw is then normal.
+    """
+    t, logs = np.empty(len(c)), np.log(weight)
+    sizes, first = np.unique(np.minimum(c, EXACT), return_index=True)
+    variance = np.zeros(len(c) - int(np.searchsorted(c, EXACT, "right")))
+    large, mean = len(c) - len(variance), np.zeros(len(variance))
+    for n, start, end in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(c)]):
+        places = np.arange(1.0, n + 1)  # no matrix products, whose library would take threads of its own
+        step = max(1, (1 << 17) // n)
+        for at in range(start, end, step):
+            k = slice(at, min(at + step, end))
+            shares = logs[k, None] * places + stirling(discount)[n]
+            shares = np.exp(shares - shares.max(1, keepdims=True))
+            up = np.cumsum(shares, 1)
+            t[k] = 1 + (up[:, :-1] < (random.random(len(up)) * up[:, -1])[:, None]).sum(1)
+            if k.stop > large:
+                late = max(large - at, 0)
+                own = slice(at + late - large, k.stop - large)
+                mean[own], squares = (np.einsum("ij,j->i", shares[late:], x) / up[late:, -1] for x in (places, places * places))
+                variance[own] = np.maximum(squares - mean[own] ** 2, 0)
+    if len(variance):
+        size, w, m, v, n = c[large:], weight[large:], mean, variance, np.full(len(variance), float(EXACT))
+
+        def slopes(n, m, v, w):
+            all_ = w + n - 0.5 - discount * m
+            up = (w - discount * v) / all_
+            third = v * (2 * v / np.maximum(m - 1, 1e-9) - 1)
+            return up, (w - discount * third) / all_ - up * up
+
+        at = 0
+        while at < len(size):
+            k = slice(at, None)
+            step = np.minimum(n[k] / 8, size[k] - n[k])
+            dm, dv = slopes(n[k], m[k], v[k], w[k])
+            dm, dv = slopes(n[k] + step / 2, m[k] + step / 2 * dm, np.maximum(v[k] + step / 2 * dv, 0), w[k])
+            m[k] += step * dm
+            v[k] = np.maximum(v[k] + step * dv, 0)
+            n[k] += step
+            at = int(np.searchsorted(size, n[-1], "right")) if n[-1] < size[-1] else len(size)
+        wide = np.flatnonzero(w >= WIDE)
+        low, high, x, y = np.full(len(wide), -40.0), np.full(len(wide), 40.0), np.log(w[wide]), np.log(size[wide])
+        for _ in range(40 if len(wide) else 0):
+            # z / (1 - z) = exp(mid)
+            mid = (low + high) / 2
+            over = x + mid - discount * np.logaddexp(0, mid) > y
+            low, high = np.where(over, low, mid), np.where(over, mid, high)
+        z, rest = 1 / (1 + np.exp(-low)), 1 / (1 + np.exp(low))
+        m[wide] = w[wide] / discount * -np.expm1(-discount * np.logaddexp(0, low))
+        v[wide] = np.maximum(m[wide] - size[wide] * rest / (1 - discount * z), 0)
+        m[wide] += (1 - discount) * z / (1 - discount * z) ** 2 / 2
+        t[large:] = np.clip(np.rint(random.normal(m, np.sqrt(v))), 1, size)
+    return t
+
+
 class Tokens:
     """The tokens of a block in one row: numbers of distinct words, with the one before each."""
 

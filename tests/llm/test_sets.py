@@ -273,6 +273,32 @@ def test_seating_gives_means_between_one_and_all():
     assert tables[0] == 0 and tables[1] == 1 and 1 <= tables[2] <= 2 and 1 < tables[3] < 50 and tables[3] < tables[4] < 3000
 
 
+def exact_tables(count, base, discount, strength):
+    """Mean tables of each dish of a restaurant, summed over all seatings for each value of the gamma variable."""
+    u, t = np.exp(np.linspace(-6, 6, 150)), np.arange(401.0)
+    weight, means = strength / discount * np.log(u) - u, []
+    for n, b in zip(count, base):
+        w = discount * u * b
+        shares = np.zeros((len(u), len(t)))
+        shares[:, 1], weight = 1, weight + np.log(w)
+        for c in range(1, n):
+            more = shares * np.maximum(c - discount * t, 0)
+            more[:, 1:] += shares[:, :-1] * w[:, None]
+            shares = more / more.sum(1, keepdims=True)
+            weight += np.log(more.sum(1))
+        means.append(np.einsum("ij,j->i", shares, t))
+    weight = np.exp(weight - weight.max())
+    return [float((weight * m).sum() / weight.sum()) for m in means]
+
+
+@pytest.mark.parametrize("discount, strength", [(0.8, 1.0), (0.6, 10.0)])
+def test_tables_are_those_of_the_model(discount, strength):
+    count, base = [1, 2, 5, 40, 300, 1500], [0.05, 0.1, 0.02, 0.1, 0.3, 0.2]
+    want = exact_tables(count, base, discount, strength)
+    got = np.mean([language_model.mean_tables(np.array(count), np.zeros(6, np.int64), np.array(base), 1, discount, strength, seed=s) for s in range(200)], 0)
+    assert np.allclose(got, want, rtol=0.08), (got, want)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = queries.op9_language_model(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert got[0] > got[1]

@@ -412,7 +412,7 @@ def intent_resolution(t):
 
 
 def lock_requests(t) -> DataFrame:
-    return t.events.where("event_id < 3000").select(
+    return t.events.select(
         (F.col("event_id") % 400).alias("key"), F.col("user_id").alias("txn_id"), F.col("ts").alias("read_ts"), F.when(F.col("event_type") == "view", "SHARED").otherwise("EXCLUSIVE").alias("strength"), (F.col("event_type") == "purchase").alias("held"))
 
 
@@ -443,7 +443,7 @@ def lock_table_fold(t):
     where w.key >= c_custkey and w.key < c_custkey + 5 and w.commit_ts > c_custkey and w.commit_ts <= c_custkey + 40)""")
 def refresh_conflicts(t):
     spans = t.customer.select(F.col("c_custkey").cast("string").alias("txn_id"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 5).alias("end"), F.col("c_custkey").alias("read_ts"), (F.col("c_custkey") + 40).alias("refresh_ts"))
-    writes = t.orders.where("o_orderkey < 2000").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("commit_ts"))
+    writes = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("commit_ts"))
     return transactions.refresh_conflicts(spans, writes, bin_width=64)
 
 

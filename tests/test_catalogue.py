@@ -77,3 +77,12 @@ def test_query_takes_all_rows(spark, name):
     result = con.execute(catalogue.ORACLE_SQL[name].replace(LIMITS[name], WHOLE.get(name, "")))
     names = [d[0] for d in result.description]
     assert found == collections.Counter(tuple(plain(v) for _, v in sorted(zip(names, r), key=lambda x: x[0])) for r in result.fetchall())
+
+
+def test_refresh_conflicts_with_late_writes(spark):
+    larger, con = SF.replace("0.001", "0.1"), duckdb.connect()
+    writes = dict(con.sql(f"select o_orderkey, o_custkey from '{larger}/orders.parquet'").fetchall())
+    keys = [k for k, in con.sql(f"select c_custkey from '{larger}/customer.parquet'").fetchall()]
+    want = {str(k) for k in keys if any(k < writes.get(x, k) <= k + 40 for x in range(k, k + 5))}
+    assert max(map(int, want)) >= 2000
+    assert {r["txn_id"] for r in catalogue.QUERIES["refresh_conflicts"](spark, larger).collect()} == want

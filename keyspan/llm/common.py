@@ -36,6 +36,20 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, size)
 
 
+def sized_slices(batches: Iterator[pa.RecordBatch], size: int = 2048, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of up to `size` rows and `most` bytes; a larger row is a slice of its own."""
+    todo = []
+    for part in slices(batches, size):
+        todo.append(part)
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,22 +1,24 @@
 """Packing of token ids into windows by the online sum-of-squares rule.
 
 Each task packs the documents it reads; no row moves between tasks.  A document's ids fill
-whole windows of their own first; what is left is placed into the fill level for which the sum
-of squared counts of partially filled windows becomes least, as the level array tells.  Windows
-that are still open when the task ends are joined: their pieces are cut again so that all but
-the last window are full, and that one is cut at powers of two, which need no padding.
-
-Defined results: a null or empty text gives the end id alone; equal texts are packed apart;
-an empty table gives no rows; other columns are not read.  sequence_id is the task's number
-times 2**40 plus a counter, so a task that runs again gives the same ids.
+whole windows of their own first; what is left is placed whole into the fill level for which the
+sum of squared counts of partially filled windows becomes least, as the level array tells.
+Windows that are still open when the task ends stay as they were packed, but for the emptiest
+ones: of these just as many are taken apart as it takes to fill the gaps of all others, and what
+then remains, less than a window, is cut at powers of two, which need no padding.  So there is no
+padding at all, and of a task with a thousand documents some 2 % of the ids are cut anew.
+
+Defined results: a null or empty text gives the end id alone; very long texts are read whole and
+give whole windows; equal texts are packed apart; of equally good levels the fullest is taken;
+rows with a null doc_id are packed, their pieces have a null doc_id; an empty table gives no
+rows; other columns are not read, whatever their names.  sequence_id is the task's number times
+2**40 plus a counter, so a task that runs again gives the same ids.  A task holds the ids of its
+open windows, two bytes an id: at most those of its own split, if no two documents fit together.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,158 +26,99 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, ddl, raw, slices
+from .common import arrow_schema, ddl, sized_slices
+from .word_bpe import WordTokenizer
 
 WINDOW = 4096
 END_ID = 2
 COLUMNS = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"),
            ("sequence_id", "long"), ("offset", "long")]
-#: Windows that may be open in a task; beyond it they are joined and closed, to bound memory.
-OPEN_LIMIT = 20_000
-#: Words whose ids a task remembers.
-WORDS = 500_000
 
 
 class Packer:
-    """Pieces are (document, first id, bytes of the ids, number of ids of the document)."""
+    """Pieces are (document, first id, ids, number of ids of the document)."""
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0, open_limit: int = OPEN_LIMIT):
-        self.window, self.sequence, self.open_limit = window, first_sequence, open_limit
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
+        self.window, self.sequence = window, first_sequence
         self.at: list[list[list]] = [[] for _ in range(window)]  # by fill level, the open windows
         self.count = np.zeros(window + 1, np.int64)
-        self.used: set[int] = set()  # levels with a count
-        self.opened = 0
         self.done: list[tuple] = []
+        self.placed = self.moved = 0  # ids placed by the rule, and of these cut anew in the end
 
     def close(self, pieces: list) -> None:
         offset = 0
         for doc, start, ids, total in pieces:
-            n = len(ids) // 4
-            self.done.append((doc, start, n, zlib.crc32(ids), total, self.sequence, offset))
-            offset += n
+            self.done.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4")), total, self.sequence, offset))
+            offset += len(ids)
         self.sequence += 1
 
     def level_for(self, size: int) -> int:
         """The level h (0: a new window) for which the sum of squares grows least when h becomes h + size."""
-        count, top = self.count, self.window - size
-        best, best_cost = 0, 2 * int(count[size]) + 1 if size < self.window else 0
-        if top > 0:
-            to = 2 * count[size + 1 :] + 1
-            to[-1] = 0  # a full window is closed and counts no more
-            cost = np.where(count[1 : top + 1] > 0, to + 1 - 2 * count[1 : top + 1], 1 << 40)
-            h = top - int(np.argmin(cost[::-1]))  # of equal ones the fullest
-            if cost[h - 1] <= best_cost:
-                best = h
+        count = self.count
+        best, least = 0, 2 * int(count[size]) + 1
+        levels = np.flatnonzero(count[1 : self.window - size + 1]) + 1
+        if len(levels):
+            to = 2 * count[levels + size] + 1
+            if levels[-1] == self.window - size:
+                to[-1] = 0  # a full window is closed and counts no more
+            cost = to + 1 - 2 * count[levels]
+            k = len(cost) - 1 - int(np.argmin(cost[::-1]))  # of equal ones the fullest
+            if cost[k] <= least:
+                best = int(levels[k])
         return best
 
-    def add(self, doc, ids: bytes) -> None:
-        total, step = len(ids) // 4, 4 * self.window
-        whole = len(ids) // step * step
-        for at in range(0, whole, step):
-            self.close([(doc, at // 4, ids[at : at + step], total)])
-        rest = ids[whole:]
-        if not rest:
+    def add(self, doc, ids: np.ndarray) -> None:
+        total = len(ids)
+        whole = total // self.window * self.window
+        for at in range(0, whole, self.window):
+            self.close([(doc, at, ids[at : at + self.window], total)])
+        if whole == total:
             return
-        size = len(rest) // 4
+        size = total - whole
+        self.placed += size
         level = self.level_for(size)
-        pieces = []
-        if level:
-            pieces = self.at[level].pop()
-            self.count[level] -= 1
-            self.opened -= 1
-            if not self.count[level]:
-                self.used.discard(level)
-        pieces.append((doc, whole // 4, rest, total))
+        pieces = self.at[level].pop() if level else []
+        self.count[level] -= level > 0
+        pieces.append((doc, whole, ids[whole:].copy(), total))  # not a view that keeps a whole slice's ids
         level += size
         if level == self.window:
             self.close(pieces)
-            return
-        self.at[level].append(pieces)
-        self.count[level] += 1
-        self.used.add(level)
-        self.opened += 1
-        if self.opened > self.open_limit:
-            self.join()
-
-    def join(self, last: bool = False) -> None:
-        """Cut the pieces of all open windows again into full windows; the remainder stays open, or is cut at powers of two."""
-        pieces = [p for level in sorted(self.used, reverse=True) for window in self.at[level] for p in window]
+        else:
+            self.at[level].append(pieces)
+            self.count[level] += 1
+
+    def finish(self) -> None:
+        """Close the open windows: the emptiest fill the gaps of the others, the remainder is cut at powers of two."""
+        fills = [(level, pieces) for level in range(1, self.window) for pieces in self.at[level]]
         self.at, self.count = [[] for _ in range(self.window)], np.zeros(self.window + 1, np.int64)
-        self.used, self.opened = set(), 0
-        room, current = self.window, []
-        left = sum(len(p[2]) // 4 for p in pieces)
-        for doc, start, ids, total in pieces:
-            while ids:
-                if not current:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1) if last else self.window
-                take = min(room, len(ids) // 4)
-                current.append((doc, start, ids[: 4 * take], total))
-                ids, start, room, left = ids[4 * take :], start + take, room - take, left - take
-                if not room:
-                    self.close(current)
-                    current = []
-        if current:
-            level = self.window - room
-            self.at[level].append(current)
-            self.count[level], self.opened = 1, 1
-            self.used.add(level)
+        gaps = sum(self.window - level for level, _ in fills)
+        apart = loose = 0
+        while apart < len(fills) and loose < gaps:
+            loose += fills[apart][0]
+            gaps -= self.window - fills[apart][0]
+            apart += 1
+        self.moved = loose
+        rest = [p for _, pieces in fills[:apart] for p in pieces][::-1]
+
+        def taken(room: int) -> Iterator[tuple]:
+            while room:
+                doc, start, ids, total = rest.pop()
+                if len(ids) > room:
+                    rest.append((doc, start + room, ids[room:], total))
+                    ids = ids[:room]
+                room -= len(ids)
+                yield doc, start, ids, total
+
+        for level, pieces in fills[apart:]:
+            self.close([*pieces, *taken(self.window - level)])
+        while left := sum(len(p[2]) for p in rest):
+            self.close(list(taken(1 << (left.bit_length() - 1))))
 
     def taken(self) -> list[tuple]:
         done, self.done = self.done, []
         return done
 
 
-class WordTokenizer:
-    """Ids of a text from the ids of its words: the tokenizer drops white space and never joins across it.
-
-    The tokenizer lowers letters, so A-Z are lowered first, and a comma or full stop between a
-    letter a-z and white space is a word of its own, as it is to the tokenizer.  Words of letters
-    alone are encoded many at a time, parted again behind the ids that end a word; any other
-    word is encoded alone.
-    """
-
-    MARK = re.compile(rb"(?<=[a-z])[,.](?=[\x20\x09-\x0D])")
-
-    def __init__(self, path: str, end_id: int = END_ID):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache, self.end = Tokenizer.from_file(path), {}, array("I", [end_id]).tobytes()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def words(self, text: bytes) -> list[bytes]:
-        return self.MARK.sub(rb" \g<0>", text.lower()).split()
-
-    def together(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words):
-            data, ends = ids.tobytes(), (4 * cuts).tolist()
-            self.cache.update(zip(map(str.encode, words), map(data.__getitem__, map(slice, [0, *ends], ends))))
-        else:
-            self.alone(words)
-
-    def alone(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.cache[w.encode()] = array("I", e.ids).tobytes()
-
-    def fill(self, texts: list[list[bytes]]) -> None:
-        if len(self.cache) > WORDS:
-            self.cache.clear()
-        new = [w.decode() for w in set().union(*texts).difference(self.cache)]
-        plain, other = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
-        for at in range(0, len(plain), 1024):
-            self.together(plain[at : at + 1024])
-        for at in range(0, len(other), 4096):
-            self.alone(other[at : at + 4096])
-
-    def ids(self, words: list[bytes]) -> bytes:
-        """Little-endian unsigned 32-bit ids, the end id last."""
-        return b"".join(map(self.cache.__getitem__, words)) + self.end
-
-
 def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of each row of docs (doc_id, text)."""
     schema = arrow_schema(COLUMNS)
@@ -186,13 +129,12 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
 
     def run(batches):
         tokens, packer = WordTokenizer(tokenizer_path, end_id), Packer(window, TaskContext.get().partitionId() << 40)
-        for part in slices(batches):
-            words = list(map(tokens.words, raw(part.column(1))))
-            tokens.fill(words)
-            for doc, ws in zip(part.column(0).to_pylist(), words):
-                packer.add(doc, tokens.ids(ws))
+        for part in sized_slices(batches):
+            ids, sizes = tokens(part.column(1))
+            for doc, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
+                packer.add(doc, own)
             yield from frames(packer)
-        packer.join(last=True)
+        packer.finish()
         yield from frames(packer)
 
     return docs.select("doc_id", "text").mapInArrow(run, ddl(COLUMNS))

@@ -55,10 +55,12 @@ def marker_kind(message: Column) -> Column:
 
 
 def marker_fields(message: Column) -> Column:
-    """`kind k=v k=v` as a map of its fields."""
+    """`kind k=v k=v` as a map of its fields; of a repeated field the last value."""
     rest = F.regexp_replace(message, r"^\S+\s*", "")
     pairs = F.filter(F.split(rest, r"\s+"), lambda p: F.contains(p, F.lit("=")))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, "^[^=]*=", "").alias("value"))))
+    entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, "^[^=]*=", "").alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(last)
 
 
 def command_tag(kind: str, rows: int) -> str:

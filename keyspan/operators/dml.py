@@ -37,11 +37,25 @@ def collisions(new: DataFrame, current: DataFrame, columns: Sequence[str]) -> Da
     return new.join(current.select(*columns).dropna(), list(columns), "left_semi")
 
 
-def check_unique(after: DataFrame, pk: Sequence[str], uniques: Mapping[str, Sequence[str]]) -> None:
-    """Raise if two rows with different keys share the values of a unique index; rows with a null there are free."""
+def violations(added: DataFrame, current: DataFrame, pk: Sequence[str], columns: Sequence[str], replaced: DataFrame | None = None) -> DataFrame:
+    """Values of the columns, all set, that an added row shares with a row of another key: an added one, or a current one that is not replaced.
+
+    The current table is only probed with the added rows' values, so it is not dealt anew where
+    these are few.
+    """
+    new = added.dropna(subset=list(columns))
+    inside = new.groupBy(*columns).agg(F.count_distinct(F.struct(*pk)).alias("_n")).where("_n > 1").select(*columns)
+    owner = new.select(*columns, F.struct(*pk).alias("_new"))
+    met = current.select(*columns, F.struct(*pk).alias("_old")).join(owner, list(columns)).where(F.col("_new") != F.col("_old"))
+    if replaced is not None:
+        met = met.join(replaced.select(F.struct(*pk).alias("_old")), "_old", "left_anti")
+    return inside.unionByName(met.select(*columns)).distinct()
+
+
+def check_unique(added: DataFrame, current: DataFrame, pk: Sequence[str], uniques: Mapping[str, Sequence[str]], replaced: DataFrame | None = None) -> None:
+    """Raise if added rows break a unique index; rows with a null there are free."""
     for name, columns in uniques.items():
-        clash = after.dropna(subset=list(columns)).groupBy(*columns).agg(F.count_distinct(F.struct(*pk)).alias("n")).where("n > 1")
-        if not clash.isEmpty():
+        if not violations(added, current, pk, columns, replaced).isEmpty():
             raise UniqueViolation(f"a row with this value of {name} exists", constraint=name)
 
 
@@ -55,7 +69,7 @@ def insert(current: DataFrame, new: DataFrame, pk: Sequence[str], uniques: Mappi
     check_not_null(new, [*pk, *required])
     if not duplicates(new, pk).isEmpty() or not collisions(new, current, pk).isEmpty():
         raise UniqueViolation(f"a row with this key of {table} exists", constraint=f"{table}_pkey")
-    check_unique(current.unionByName(new.select(*current.columns)), pk, uniques or {})
+    check_unique(new, current, pk, uniques or {})
     return _change("INSERT", new.select(*current.columns))
 
 
@@ -63,8 +77,7 @@ def upsert(current: DataFrame, new: DataFrame, pk: Sequence[str], uniques: Mappi
     """Whole rows replace those with their key or join them; columns that were not given are null."""
     check_not_null(new, pk)
     new = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns))
-    after = current.join(new.select(*pk), list(pk), "left_anti").select(*current.columns).unionByName(new)
-    check_unique(after, pk, uniques or {})
+    check_unique(new, current, pk, uniques or {}, replaced=new)
     return _change("UPSERT", new)
 
 
@@ -87,9 +100,8 @@ def on_conflict_do_update(current: DataFrame, new: DataFrame, target: Sequence[s
     """Rows that conflict update the current row, whose key stays; the others are inserted."""
     changed = merged(current, new, target, assign)
     free = new.join(current.select(*target).dropna(), list(target), "left_anti").select(*current.columns)
-    rest = current.join(changed.select(*pk), list(pk), "left_anti").select(*current.columns).unionByName(changed)
-    added = insert(rest, free, pk, uniques, table)
-    check_unique(rest, pk, uniques or {})
+    check_unique(free.unionByName(changed), current, pk, uniques or {}, replaced=changed)
+    added = insert(current, free, pk, None, table)
     return _change("INSERT", changed.unionByName(added.returning))
 
 
@@ -98,7 +110,7 @@ def update(current: DataFrame, where: Column, assign: Mapping[str, object], pk:
     hit = current.where(where)
     changed = hit.select(*((value(assign[c]).cast(current.schema[c].dataType) if c in assign else F.col(c)).alias(c) for c in current.columns))
     if uniques and any(set(cs) & set(assign) for cs in uniques.values()):
-        check_unique(current.join(hit.select(*pk), list(pk), "left_anti").select(*current.columns).unionByName(changed), pk, uniques)
+        check_unique(changed, current, pk, uniques, replaced=hit)
     return _change("UPDATE", changed)
 
 

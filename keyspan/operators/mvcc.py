@@ -31,10 +31,14 @@ def as_of(log: DataFrame, keys: Sequence[str], order: Sequence[str], until: Colu
 
 
 def exact(log: DataFrame, wanted: DataFrame, keys: Sequence[str], order: Sequence[str], tombstone: str = "tombstone") -> DataFrame:
-    """wanted (keys, order) with `status`: live, deleted, or missing where no version has exactly that time."""
-    found = log.groupBy(*keys, *order).agg(F.bool_or(tombstone).alias("_gone"))
+    """wanted (keys, order) with `status`: live, deleted, or missing where no version has exactly that time.
+
+    Only versions that are asked for are grouped: the log is cut down by a semi-join first.
+    """
+    on = [*keys, *order]
+    found = log.select(*on, tombstone).join(wanted.select(*on), on, "left_semi").groupBy(*on).agg(F.bool_or(tombstone).alias("_gone"))
     status = F.when(F.col("_gone").isNull(), "missing").when(F.col("_gone"), "deleted").otherwise("live")
-    return wanted.join(found, [*keys, *order], "left").select(*wanted.columns, status.alias("status"))
+    return wanted.join(found, on, "left").select(*wanted.columns, status.alias("status"))
 
 
 def overlay(base: DataFrame, pending: DataFrame, keys: Sequence[str], tombstone: str = "tombstone") -> DataFrame:
@@ -46,9 +50,17 @@ def version_counts(log: DataFrame, keys: Sequence[str], tombstone: str = "tombst
     return log.groupBy(*keys).agg(F.count("*").alias("versions"), F.count_if(F.col(tombstone)).alias("tombstones"))
 
 
-def gated_read(log: DataFrame, keys: Sequence[str], order: Sequence[str], read: Column, closed: Column, tombstone: str = "tombstone") -> DataFrame:
-    """The view at `read`, empty unless `read` is at or below the closed time."""
-    return as_of(log, keys, order, read, tombstone).where(read <= closed)
+def gated_read(log: DataFrame, wanted: DataFrame, closed: DataFrame, keys: Sequence[str], at: str, tombstone: str = "tombstone") -> DataFrame:
+    """Exact versions as a follower may read them.
+
+    wanted: range_id, keys, at, known_sequence.  closed: what each range has published, range_id,
+    lease_seq and closed.  `gate` is ok or why not: no_closed, lease_mismatch, too_fresh; `status`
+    as in `exact`, null unless the gate is ok.
+    """
+    both = wanted.join(closed.select("range_id", "lease_seq", "closed"), "range_id", "left")
+    gate = F.when(F.col("closed").isNull(), "no_closed").when(F.col("known_sequence") != F.col("lease_seq"), "lease_mismatch").when(F.col(at) > F.col("closed"), "too_fresh").otherwise("ok")
+    judged = exact(log, both.withColumn("gate", gate).drop("lease_seq", "closed"), keys, [at], tombstone)
+    return judged.withColumn("status", F.when(F.col("gate") == "ok", F.col("status")))
 
 
 def seek(table: DataFrame, key: str, at_least) -> DataFrame:

@@ -67,11 +67,28 @@ def compiled(policy: Policy) -> Placement:
 
 
 def policy_numbers(policies: DataFrame) -> DataFrame:
-    """Replica count and least regions for each of many policies (policy_id, mode, survival, preferred); null where invalid."""
-    survival = F.coalesce("survival", F.when(F.col("mode") == "REGIONAL", "ZONE_FAILURE").otherwise("REGION_FAILURE"))
-    n = F.size(F.array_distinct("preferred"))
-    valid = F.when(F.col("mode") == "REGIONAL", (survival == "ZONE_FAILURE") & (n == 1)).otherwise((survival == "REGION_FAILURE") & (n >= 3))
-    return policies.select("policy_id", F.when(valid, F.when(survival == "ZONE_FAILURE", 3).otherwise(5)).alias("replicas"), F.when(valid, F.when(survival == "ZONE_FAILURE", 1).otherwise(3)).alias("least_regions"))
+    """Replica count and least regions for each of many policies, and the fault of those that are invalid.
+
+    policies: policy_id, mode, survival (null: the mode's own), preferred (regions), home_region.
+    """
+    mode, home = F.col("mode"), F.coalesce(F.lower(F.trim("home_region")), F.lit(""))
+    named = F.coalesce(F.filter(F.array_distinct(F.transform("preferred", lambda r: F.lower(F.trim(r)))), lambda r: r != ""), F.array().cast("array<string>"))
+    with_home = F.when((mode == "HOME_REGION") & (home != "") & ~F.array_contains(named, home), F.concat(F.array(home), named)).otherwise(named)
+    survival = F.coalesce(F.nullif("survival", F.lit("")), F.when(mode == "REGIONAL", "ZONE_FAILURE").otherwise("REGION_FAILURE"))
+    n = F.size("_regions")
+    fault = (
+        F.when(mode.isNull() | ~mode.isin("REGIONAL", "HOME_REGION", "GLOBAL"), "mode")
+        .when((mode == "REGIONAL") & (n != 1), "one region")
+        .when((mode == "REGIONAL") & (F.col("_home") != ""), "no home region")
+        .when((mode == "HOME_REGION") & (F.col("_home") == ""), "home region")
+        .when((mode == "GLOBAL") & (n == 0), "regions")
+        .when(~F.col("_survival").isin(*SURVIVAL), "survival")
+        .when((F.col("_survival") == "ZONE_FAILURE") != (mode == "REGIONAL"), "survival of mode")
+        .when((F.col("_survival") == "REGION_FAILURE") & (n < 3), "three regions")
+    )
+    judged = policies.withColumns({"_home": home, "_regions": with_home, "_survival": survival}).withColumn("fault", fault)
+    number = lambda k: F.when(F.col("fault").isNull(), F.when(F.col("_survival") == "ZONE_FAILURE", SURVIVAL["ZONE_FAILURE"][k]).otherwise(SURVIVAL["REGION_FAILURE"][k]))
+    return judged.select("policy_id", number(0).alias("replicas"), number(1).alias("least_regions"), "fault")
 
 
 def leaseholders(replicas: DataFrame, preferences: Column) -> DataFrame:
@@ -140,31 +157,61 @@ def split(ranges: DataFrame, at: DataFrame, next_id: Column) -> DataFrame:
 
 
 def split_faults(splits: DataFrame) -> DataFrame:
-    """Splits (old_*, left_*, right_*, split_key) that break a rule, with the rule."""
+    """Splits that break a rule, with the first rule that they break.
+
+    splits: old, left and right, each a struct of range_id, generation, start_key, end_key (null:
+    open), replicas (structs) and leaseholder; expected_generation.
+    """
+    old, left, right = (F.col(c) for c in ("old", "left", "right"))
+    same = lambda a, b: F.array_sort(a["replicas"]).eqNullSafe(F.array_sort(b["replicas"]))
     rule = (
-        F.when((F.col("left_id") == 0) | (F.col("right_id") == 0), "zero id")
-        .when(F.col("left_id") == F.col("right_id"), "equal ids")
-        .when(F.col("left_id") != F.col("old_id"), "left keeps its id")
-        .when((F.col("left_generation") <= F.col("old_generation")) | (F.col("right_generation") <= F.col("old_generation")), "generation does not rise")
-        .when(~F.col("left_start").eqNullSafe(F.col("old_start")), "left start")
-        .when(~F.col("right_end").eqNullSafe(F.col("old_end")), "right end")
-        .when((F.col("left_end") != F.col("split_key")) | (F.col("right_start") != F.col("split_key")), "halves do not meet")
-        .when((F.col("split_key") <= F.col("old_start")) | (F.col("old_end").isNotNull() & (F.col("split_key") >= F.col("old_end"))), "outside")
+        F.when(F.col("expected_generation") != old["generation"], "expected generation")
+        .when(old["range_id"].isNull() | (old["range_id"] == 0), "no range")
+        .when(left["range_id"] != old["range_id"], "left keeps its id")
+        .when(right["range_id"] == old["range_id"], "equal ids")
+        .when(~left["start_key"].eqNullSafe(old["start_key"]), "left start")
+        .when(left["end_key"].isNull(), "no split key")
+        .when(~left["end_key"].eqNullSafe(right["start_key"]), "halves do not meet")
+        .when(~right["end_key"].eqNullSafe(old["end_key"]), "right end")
+        .when(left["generation"] <= old["generation"], "generation does not rise")
+        .when(~same(left, old), "left replicas")
+        .when(~same(right, old), "right replicas")
+        .when(~left["leaseholder"].eqNullSafe(old["leaseholder"]), "left leaseholder")
+        .when(~right["leaseholder"].eqNullSafe(old["leaseholder"]), "right leaseholder")
+        .when((right["range_id"] == 0) | (left["end_key"] <= old["start_key"]) | (old["end_key"].isNotNull() & (left["end_key"] >= old["end_key"])), "outside")
     )
     return splits.withColumn("rule", rule).where("rule is not null")
 
 
-def changed_replicas(ranges: DataFrame, op: str, replica: Column) -> DataFrame:
-    """ranges with a learner added, promoted to voter, or a replica removed; the leaseholder and the last voter stay."""
-    same = lambda r: r["replica_id"] == replica["replica_id"]
-    if op == "add":
-        value = F.when(~F.exists("replicas", lambda r: r["node_id"] == replica["node_id"]), F.concat("replicas", F.array(F.struct(replica["replica_id"].alias("replica_id"), replica["node_id"].alias("node_id"), F.lit("LEARNER").alias("role"))))).otherwise(F.col("replicas"))
-    elif op == "promote":
-        value = F.transform("replicas", lambda r: F.when(same(r), r.withField("role", F.lit("VOTER"))).otherwise(r))
-    else:
-        voters = F.size(F.filter("replicas", lambda r: (r["role"] == "VOTER") & ~same(r)))
-        value = F.when((F.col("leaseholder") != replica["replica_id"]) & (voters > 0), F.filter("replicas", lambda r: ~same(r))).otherwise(F.col("replicas"))
-    return ranges.withColumn("_new", value).withColumn("generation", F.col("generation") + (F.col("_new") != F.col("replicas")).cast("int")).withColumn("replicas", F.col("_new")).drop("_new")
+def changed_replicas(ranges: DataFrame) -> DataFrame:
+    """Each range after one replica change, or as it was with the fault for which the change is refused.
+
+    ranges: range_id, generation, leaseholder, replicas (structs of replica_id, node_id, role), op
+    (add, promote, remove), replica (a struct as in replicas), expected_generation.
+    """
+    new = F.col("replica")
+    is_it = lambda r: r["replica_id"] == new["replica_id"]
+    known, learner = F.exists("replicas", is_it), F.exists("replicas", lambda r: is_it(r) & (r["role"] == "LEARNER"))
+    after = (
+        F.when(F.col("op") == "add", F.concat("replicas", F.array(new)))
+        .when(F.col("op") == "promote", F.transform("replicas", lambda r: F.when(is_it(r), new).otherwise(r)))
+        .otherwise(F.filter("replicas", lambda r: ~is_it(r)))
+    )
+    voters = lambda c: F.size(F.filter(c, lambda r: r["role"] == "VOTER"))
+    nodes = F.transform("_after", lambda r: r["node_id"])
+    fault = (
+        F.when(F.col("expected_generation") != F.col("generation"), "expected generation")
+        .when(~F.col("op").isin("add", "promote", "remove"), "unknown change")
+        .when((F.col("op") == "add") & known, "exists already")
+        .when(F.col("op").isin("promote", "remove") & ~known, "not found")
+        .when((F.col("op") == "promote") & ~learner, "not a learner")
+        .when((F.col("op") == "remove") & (F.col("leaseholder") == new["replica_id"]), "holds the lease")
+        .when((F.col("op") == "remove") & (voters("_after") == 0), "no voters left")
+        .when(F.size(F.array_distinct(nodes)) < F.size(nodes), "two on a node")
+    )
+    judged = ranges.withColumn("_after", after).withColumn("fault", fault)
+    fine = F.col("fault").isNull()
+    return judged.withColumns({"replicas": F.when(fine, F.col("_after")).otherwise(F.col("replicas")), "generation": F.col("generation") + fine.cast("int")}).drop("_after", "op", "replica", "expected_generation")
 
 
 class Admission:

@@ -35,19 +35,35 @@ def follower_gate(known_sequence: Column, sequence: Column, applied: Column, rea
 
 
 def routed(reads: DataFrame) -> DataFrame:
-    """Where a historical read goes.
+    """Where a historical read goes, and why.
 
     reads: read_id, local_replica, leaseholder, local_region, leaseholder_region, preferred
-    (regions), known_sequence, lease_seq, applied, read_ts, closed (null: none known).
+    (regions, the first favoured; null or empty: no placement), known_sequence, lease_seq, applied, read_ts and
+    closed (null: none known), the last three hybrid timestamps.  The follower itself answers if
+    its gate lets it, unless placement prefers the leaseholder's region and not its own.
     """
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    local, holder = plain("local_region"), plain("leaseholder_region")
+    regions = F.coalesce(F.transform("preferred", lambda r: F.lower(F.trim(r))), F.array().cast("array<string>"))
     gate = F.when(F.col("closed").isNull(), "no_closed").otherwise(follower_gate(F.col("known_sequence"), F.col("lease_seq"), F.col("applied"), F.col("read_ts"), F.col("closed")))
-    local = F.coalesce(F.array_contains("preferred", F.col("local_region")), F.lit(False))
-    holder = F.coalesce(F.array_contains("preferred", F.col("leaseholder_region")), F.lit(False))
-    follower = (F.col("gate") == "ok") & ~(holder & ~local)
-    missing = F.when(F.col("closed").isNull() | (F.col("gate") == "ok"), 0).otherwise(F.greatest(F.col("read_ts") - F.least("closed", "applied"), F.lit(0)))
-    return reads.withColumn("gate", gate).select(
-        "read_id", "gate", F.when(follower, "follower").otherwise("leaseholder").alias("mode"),
-        F.when(follower, F.col("local_replica")).otherwise(F.col("leaseholder")).alias("target"), missing.cast("long").alias("freshness_gap"),
+    placed = F.size(regions) > 0
+    rows = reads.withColumns({"gate": gate, "_local": local, "_holder": holder, "_placed": placed, "_local_in": (local != "") & F.array_contains(regions, local), "_holder_in": (holder != "") & F.array_contains(regions, holder)})
+    ok, own = F.col("gate") == "ok", F.col("local_replica") == F.col("leaseholder")
+    drawn = F.col("_placed") & (F.col("_local") != "") & (F.col("_holder") != "") & (F.col("_local") != F.col("_holder")) & ~F.col("_local_in") & F.col("_holder_in")
+    follower = ok & ~drawn
+    gap = F.when(F.col("gate").isin("no_closed", "ok"), hlc.stamp(F.lit(0), F.lit(0))).otherwise(hlc.gap(F.col("read_ts"), F.least("closed", "applied")))
+    mode = F.when(follower, "follower").when(own, "local_leaseholder").otherwise("leaseholder")
+    reason = (
+        F.when(follower & F.col("_placed") & F.col("_local_in"), "safe, in a preferred region").when(follower, "safe")
+        .when(ok, "safe, but placement prefers the leaseholder's region")
+        .when(own & F.col("_placed") & F.col("_holder_in"), "local leaseholder in a preferred region").when(own, "local leaseholder")
+        .when(F.col("gate") == "lease_mismatch", "closed under another lease").when(F.col("gate") == "not_applied", "closed time not applied here")
+        .when(F.col("_placed") & F.col("_holder_in"), "not safe yet, to the preferred leaseholder").otherwise("not safe yet")
+    )
+    rows = rows.withColumn("_gap", gap)
+    return rows.select(
+        "read_id", "gate", mode.alias("mode"), F.when(follower, F.col("local_replica")).otherwise(F.col("leaseholder")).alias("target"),
+        F.when(follower, F.col("_local")).otherwise(F.col("_holder")).alias("target_region"), F.col("_gap.wall").alias("gap_wall"), F.col("_gap.logical").alias("gap_logical"), reason.alias("reason"),
     )
 
 

@@ -55,10 +55,6 @@ def hosted_ranges(ranges: DataFrame, node: int) -> DataFrame:
     return ranges.where(F.exists("replicas", lambda r: r["node_id"] == node))
 
 
-def located(keys: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
-    return locate(keys, key, ranges)
-
-
 def table_counts(rows: DataFrame, key: str, table: str, ranges: DataFrame) -> DataFrame:
     """Visible rows by range and table."""
     return locate(rows.select(key, table), key, ranges).groupBy("range_id", table).agg(F.count("*").alias("row_count"))

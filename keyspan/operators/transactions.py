@@ -79,60 +79,92 @@ def wound_wait(requests: DataFrame) -> DataFrame:
     return asks.join(blocked, ["key", "asker"], "left").select("key", "asker", F.coalesce("blockers", F.lit(0)).alias("blockers"), decision.alias("decision"))
 
 
-LOCK_LOG = "key string, seq long, txn_id string, decision string, victims string"
+LOCK_LOG = "key string, seq long, txn_id string, decision string, others string"
+
+
+class KeyLocks:
+    """Holders and waiters of one key.  A request has txn_id, read_ts, epoch and strength."""
+
+    def __init__(self):
+        self.holders: list[dict] = []
+        self.waiters: list[dict] = []
+
+    @staticmethod
+    def age(request: dict) -> tuple:
+        return request["read_ts"], request["txn_id"]
+
+    def blockers(self, request: dict) -> list[dict]:
+        """Holders that cannot hold beside a request: others, unless both share."""
+        return [h for h in self.holders if h["txn_id"] != request["txn_id"] and not h["strength"] == request["strength"] == "SHARED"]
+
+    @staticmethod
+    def put(entries: list[dict], request: dict) -> None:
+        """Add a request, in the place of an earlier one of the same transaction if there is one."""
+        for k, e in enumerate(entries):
+            if e["txn_id"] == request["txn_id"]:
+                entries[k] = request
+                return
+        entries.append(request)
+
+    @staticmethod
+    def without(entries: list[dict], txns: set) -> list[dict]:
+        return [e for e in entries if e["txn_id"] not in txns]
+
+    def acquire(self, request: dict) -> tuple[str, list[dict]]:
+        """granted, wound (with the victims) or wait (with whom it waits for)."""
+        late = lambda e: e["txn_id"] == request["txn_id"] and e["epoch"] < request["epoch"]
+        self.holders = [h for h in self.holders if not late(h)]
+        self.waiters = [w for w in self.waiters if not late(w)]
+        blockers = self.blockers(request)
+        if not blockers:
+            self.put(self.holders, request)
+            self.waiters = self.without(self.waiters, {request["txn_id"]})
+            return "granted", []
+        if all(self.age(request) < self.age(b) for b in blockers):
+            victims = {b["txn_id"] for b in blockers}
+            self.holders, self.waiters = self.without(self.holders, victims), self.without(self.waiters, victims)
+            self.put(self.holders, request)
+            return "wound", blockers
+        self.put(self.waiters, request)
+        self.waiters.sort(key=self.age)
+        return "wait", blockers
+
+    def release(self, txn_id) -> list[dict]:
+        """Waiters that hold now, in age order; a transaction that waits stays in the queue."""
+        self.holders = self.without(self.holders, {txn_id})
+        granted = []
+        while (waiter := next((w for w in self.waiters if not self.blockers(w)), None)) is not None:
+            self.waiters = self.without(self.waiters, {waiter["txn_id"]})
+            self.put(self.holders, waiter)
+            granted.append(waiter)
+        return granted
 
 
 def lock_table(log: DataFrame) -> DataFrame:
     """The decisions of a lock table over an ordered log of acquire and release (key, seq, op, txn_id, read_ts, epoch, strength).
 
-    A key's state depends on the order of its requests, so each key is folded in order, one row
-    at a time from sorted batches; only the holders and waiters of one key are held in memory.
+    `others` are the victims of a wound or the holders a wait is for.  Each request's decision
+    depends on all earlier ones of its key, so each key is folded in order, one row at a time
+    from sorted batches; only the holders and waiters of one key are held in memory.
     """
     import pyarrow as pa
 
     def fold(batches) -> Iterator[pa.RecordBatch]:
-        key, holders, waiting = None, [], []
-
-        def fits(request, others):
-            return [h for h in others if h["txn_id"] != request["txn_id"] and not (h["strength"] == request["strength"] == "SHARED")]
-
+        key, locks = None, KeyLocks()
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 if row["key"] != key:
-                    key, holders, waiting = row["key"], [], []
-                age = lambda r: (r["read_ts"], r["txn_id"])
+                    key, locks = row["key"], KeyLocks()
                 if row["op"] == "release":
-                    holders = [h for h in holders if h["txn_id"] != row["txn_id"]]
-                    waiting = [w for w in waiting if w["txn_id"] != row["txn_id"]]
                     out.append((key, row["seq"], row["txn_id"], "released", ""))
-                    for w in sorted(waiting, key=age):
-                        if not fits(w, holders):
-                            holders.append(w)
-                            waiting.remove(w)
-                            out.append((key, row["seq"], w["txn_id"], "granted", ""))
-                    continue
-                # a later epoch of the same transaction takes the place of its earlier requests
-                holders = [h for h in holders if not (h["txn_id"] == row["txn_id"] and h["epoch"] < row["epoch"])]
-                waiting = [w for w in waiting if w["txn_id"] != row["txn_id"]]
-                blockers = fits(row, holders)
-                if not blockers:
-                    own = [h for h in holders if h["txn_id"] == row["txn_id"]]
-                    if own and row["strength"] == "EXCLUSIVE":
-                        own[0]["strength"] = "EXCLUSIVE"
-                    elif not own:
-                        holders.append(row)
-                    out.append((key, row["seq"], row["txn_id"], "granted", ""))
-                elif all(age(row) < age(b) for b in blockers):
-                    gone = {b["txn_id"] for b in blockers}
-                    holders = [h for h in holders if h["txn_id"] not in gone] + [row]
-                    out.append((key, row["seq"], row["txn_id"], "wound", ",".join(sorted(gone))))
+                    out += [(key, row["seq"], w["txn_id"], "granted", "") for w in locks.release(row["txn_id"])]
                 else:
-                    waiting.append(row)
-                    out.append((key, row["seq"], row["txn_id"], "wait", ""))
+                    decision, others = locks.acquire(row)
+                    out.append((key, row["seq"], row["txn_id"], decision, ",".join(sorted(o["txn_id"] for o in others))))
             if out:
                 k, s, t, d, v = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(s, pa.int64()), pa.array(t, pa.string()), pa.array(d, pa.string()), pa.array(v, pa.string())], names=["key", "seq", "txn_id", "decision", "victims"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(s, pa.int64()), pa.array(t, pa.string()), pa.array(d, pa.string()), pa.array(v, pa.string())], names=["key", "seq", "txn_id", "decision", "others"])
 
     return log.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(fold, LOCK_LOG)
 

@@ -26,6 +26,12 @@ def error_class(sqlstate: Column, message: Column) -> Column:
     return F.when(F.length(sqlstate) >= 2, F.substring(sqlstate, 1, 2)).when(F.lower(message).contains("timeout") | F.lower(message).contains("deadline"), "timeout").otherwise("client")
 
 
+def tag_classes(samples: DataFrame) -> DataFrame:
+    """Of each operation and tag, how many went well (class ok) and how many failed in each class (op, tag, ok, sqlstate, message)."""
+    kind = F.when(F.col("ok"), "ok").otherwise(error_class(F.coalesce("sqlstate", F.lit("")), F.coalesce("message", F.lit(""))))
+    return samples.groupBy("op", F.coalesce("tag", F.lit("")).alias("tag"), kind.alias("class")).agg(F.count("*").alias("n"))
+
+
 def histogram(samples: DataFrame, value: str, buckets: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:
     """Cumulative counts at or below each bound, with sum and count, as a metrics collector keeps them."""
     bound = [F.count_if(F.col(value) <= b).alias(f"le_{k}") for k, b in enumerate(buckets)]

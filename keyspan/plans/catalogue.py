@@ -62,9 +62,10 @@ def point_lookup(t):
     return relational.point_lookup(t.orders, "o_orderkey", 7).select(*ORDER_COLUMNS)
 
 
-@query("select o_orderkey, o_custkey, o_orderpriority from orders where o_orderkey = -1")
+@query("select k as o_orderkey, (select count(*) from orders where o_orderkey = k) as n from (values (-1), (7)) as w(k)")
 def point_lookup_miss(t):
-    return relational.point_lookup(t.orders, "o_orderkey", -1).select(*ORDER_COLUMNS)
+    """How many rows two lookups find, one of a key that is not there."""
+    return relational.point_lookup(t.orders, "o_orderkey", -1).agg(F.lit(-1).alias("o_orderkey"), F.count("*").alias("n")).union(relational.point_lookup(t.orders, "o_orderkey", 7).agg(F.lit(7), F.count("*")))
 
 
 @query("select o_orderkey, o_custkey, o_orderpriority from orders where o_orderkey >= 100 and o_orderkey < 200")
@@ -208,9 +209,9 @@ def join_projection_alias(t):
     return relational.equi_join(t.supplier, t.nation, ("s_nationkey", "n_nationkey"), {"supplier": ("l", "s_name"), "country": ("r", "n_name")})
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def required_minus_observed(t):
-    return relational.missing_from(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return relational.missing_from(t.customer.select("c_custkey"), t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 # Indexes and constraints
@@ -226,9 +227,15 @@ def index_view_nonunique(t):
     return dml.index_view(t.customer.select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"), "c_custkey"), ["seg"], ["c_custkey"])
 
 
-@query("select k as name_key, n from (select c_custkey % 1000 as k, count(*) as n from customer group by 1) where n > 1")
+@query("""with added as (select c_custkey + 5 as k, c_name as name from customer where c_custkey % 3 = 0 union all select c_custkey + 2000000, 'twin-' || (c_custkey // 4) from customer where c_custkey % 2 = 0),
+      replaced as (select k from added where k % 2 = 0)
+    select distinct a.name as c_name from added a join added b on a.name = b.name and a.k <> b.k
+    union select a.name from added a join customer c on a.name = c.c_name and a.k <> c.c_custkey where c.c_custkey not in (select k from replaced)""")
 def unique_violations(t):
-    return dml.duplicates(t.customer.select((F.col("c_custkey") % 1000).alias("name_key")), ["name_key"])
+    """Names that added rows share with each other or with customers of another key that no added row replaces."""
+    k = F.col("c_custkey")
+    added = t.customer.where(k % 3 == 0).select((k + 5).alias("c_custkey"), "c_name").union(t.customer.where(k % 2 == 0).select(k + 2_000_000, F.concat(F.lit("twin-"), F.floor(k / 4).cast("string"))))
+    return dml.violations(added, t.customer, ["c_custkey"], ["c_name"], replaced=added.where(k % 2 == 0))
 
 
 @query("""select segment, c_custkey, 'del' as op from (select c_mktsegment as segment, c_custkey from customer) where c_custkey < 50 and segment <> 'MACHINERY'
@@ -287,9 +294,27 @@ def read_your_writes_overlay(t):
     return mvcc.overlay(base, pending, ["c_custkey"])
 
 
-@query(f"select user_id, ts, event_id, event_type, tombstone from ({NEWEST} {VERSIONS} where event_id <= 4000) where rn = 1 and not tombstone")
+HISTORICAL = """(select e.event_id as read_id, e.user_id, e.event_id - case when e.event_id % 4 = 0 then 1 else 0 end as want, e.event_id % 3 as known, c.lease_seq, c.closed
+    from events e left join (select user_id % 20 as range_id, 1 as lease_seq, max(event_id) - 500 as closed from events where user_id % 20 <> 7 group by 1) c on c.range_id = e.user_id % 20)"""
+
+
+@query(f"""select read_id, gate, case when gate <> 'ok' then null when v.event_type is null then 'missing' when v.event_type = 'error' then 'deleted' else 'live' end as status
+    from (select *, case when closed is null then 'no_closed' when known <> lease_seq then 'lease_mismatch' when want > closed then 'too_fresh' else 'ok' end as gate from {HISTORICAL}) r
+    left join events v on v.user_id = r.user_id and v.event_id = r.want""")
 def follower_historical_read(t):
-    return mvcc.latest(versions(t).where("event_id <= 4000"), ["user_id"], ["ts", "event_id"]).where(F.lit(4000) <= F.lit(4500))
+    """Exact versions at followers, gated by each range's lease sequence and closed time; range 7 has published none."""
+    e, i = t.events, F.col("event_id")
+    closed = e.where("user_id % 20 <> 7").groupBy((F.col("user_id") % 20).alias("range_id")).agg(F.lit(1).alias("lease_seq"), (F.max("event_id") - 500).alias("closed"))
+    wanted = e.select(i.alias("read_id"), (F.col("user_id") % 20).alias("range_id"), "user_id", (i - (i % 4 == 0).cast("int")).alias("event_id"), (i % 3).alias("known_sequence"))
+    return mvcc.gated_read(versions(t), wanted, closed, ["user_id"], "event_id").select("read_id", "gate", "status")
+
+
+@query("""with w as (select user_id, event_id - case when event_id % 4 = 0 then 1 else 0 end as event_id from events where event_id % 5 = 0)
+    select w.user_id, w.event_id, case when e.event_id is null then 'missing' when e.event_type = 'error' then 'deleted' else 'live' end as status from w left join events e on e.user_id = w.user_id and e.event_id = w.event_id""")
+def mvcc_point_get(t):
+    """Exact versions of a few keys: the log is reduced to the wanted keys before it is looked at."""
+    wanted = t.events.where("event_id % 5 = 0").select("user_id", (F.col("event_id") - (F.col("event_id") % 4 == 0).cast("int")).alias("event_id"))
+    return mvcc.exact(versions(t), wanted, ["user_id"], ["event_id"])
 
 
 # Changes
@@ -413,10 +438,10 @@ def intent_resolution(t):
 
 def lock_requests(t) -> DataFrame:
     return t.events.select(
-        (F.col("event_id") % 400).alias("key"), F.col("user_id").alias("txn_id"), F.col("ts").alias("read_ts"), F.when(F.col("event_type") == "view", "SHARED").otherwise("EXCLUSIVE").alias("strength"), (F.col("event_type") == "purchase").alias("held"))
+        F.floor(F.col("event_id") / 40).alias("key"), F.col("user_id").alias("txn_id"), F.col("ts").alias("read_ts"), F.when(F.col("event_type") == "view", "SHARED").otherwise("EXCLUSIVE").alias("strength"), (F.col("event_type") == "purchase").alias("held"))
 
 
-LOCKS = "(select event_id % 400 as key, user_id as txn_id, ts as read_ts, case when event_type = 'view' then 'SHARED' else 'EXCLUSIVE' end as strength, event_type = 'purchase' as held from events where event_id < 3000)"
+LOCKS = "(select event_id // 40 as key, user_id as txn_id, ts as read_ts, case when event_type = 'view' then 'SHARED' else 'EXCLUSIVE' end as strength, event_type = 'purchase' as held from events)"
 PAIRS = f"(select h.key, h.txn_id as holder, h.read_ts as holder_ts, a.txn_id as asker, a.read_ts as asker_ts from {LOCKS} h join {LOCKS} a on h.key = a.key and h.held and not a.held and h.txn_id <> a.txn_id and not (h.strength = 'SHARED' and a.strength = 'SHARED'))"
 
 
@@ -434,12 +459,12 @@ def wound_wait_decision(t):
 
 @query()
 def lock_table_fold(t):
-    log = t.events.select((F.col("event_id") % 400).cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "release").otherwise("acquire").alias("op"), F.col("user_id").cast("string").alias("txn_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("read_ts"), F.lit(0).alias("epoch"), F.when(F.col("event_type") == "view", "SHARED").otherwise("EXCLUSIVE").alias("strength"))
+    log = t.events.select(F.floor(F.col("event_id") / 40).cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "release").otherwise("acquire").alias("op"), F.col("user_id").cast("string").alias("txn_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("read_ts"), F.lit(0).alias("epoch"), F.when(F.col("event_type") == "view", "SHARED").otherwise("EXCLUSIVE").alias("strength"))
     return transactions.lock_table(log)
 
 
 @query("""select cast(c_custkey as varchar) as txn_id from customer where exists (
-    select 1 from (select o_orderkey as key, o_custkey as commit_ts from orders where o_orderkey < 2000) w
+    select 1 from (select o_orderkey as key, o_custkey as commit_ts from orders) w
     where w.key >= c_custkey and w.key < c_custkey + 5 and w.commit_ts > c_custkey and w.commit_ts <= c_custkey + 40)""")
 def refresh_conflicts(t):
     spans = t.customer.select(F.col("c_custkey").cast("string").alias("txn_id"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + 5).alias("end"), F.col("c_custkey").alias("read_ts"), (F.col("c_custkey") + 40).alias("refresh_ts"))
@@ -464,18 +489,18 @@ def oldest_intent(t):
 
 @query("""with c as (
       select user_id as range_id, event_id % 2 as lease_seq, event_id as step, event_id % 13 = 0 as bad,
-        least(event_id * 10, case when event_id * 10 + 3 <= 5 then 0 else event_id * 10 + 3 - 5 end, case when event_type = 'error' then event_id * 10 - 400 - 1 end) as wall
-      from events where event_id > 100),
+        least(event_id * 10, case when event_id * 10 + 3 <= 5 then 0 else event_id * 10 + 3 - 5 end, case when event_type = 'error' then case when event_id > 45 then event_id * 10 - 400 else event_id * 10 + 2 end - 1 end) as wall
+      from events),
     d as (select *, case when not bad and wall > 0 then wall end as c from c),
     e as (select *, max(c) over w as closed, max(c) over (partition by range_id, lease_seq order by step rows between unbounded preceding and 1 preceding) as before from d
       window w as (partition by range_id, lease_seq order by step))
     select range_id, lease_seq, step, coalesce(closed, 0) as closed_wall, c is not null and (before is null or c > before) as published from e""")
 def closed_timestamp_publish(t):
     zero = F.lit(0).cast("long")
-    e = t.events.where("event_id > 100")
-    inputs = e.select(
+    early = F.when(F.col("event_id") > 45, F.col("event_id") * 10 - 400).otherwise(F.col("event_id") * 10 + 2)
+    inputs = t.events.select(
         F.col("user_id").alias("range_id"), (F.col("event_id") % 2).alias("lease_seq"), F.col("event_id").alias("step"), hlc.stamp(F.col("event_id") * 10, zero).alias("applied"), hlc.stamp(F.col("event_id") * 10 + 3, zero).alias("now"),
-        F.lit(5).cast("long").alias("max_offset"), F.when(F.col("event_type") == "error", hlc.stamp(F.col("event_id") * 10 - 400, zero)).alias("oldest_intent"), (F.col("event_id") % 13 == 0).alias("clock_bad"))
+        F.lit(5).cast("long").alias("max_offset"), F.when(F.col("event_type") == "error", hlc.stamp(early, zero)).alias("oldest_intent"), (F.col("event_id") % 13 == 0).alias("clock_bad"))
     return timeline.published(inputs).select("range_id", "lease_seq", "step", F.coalesce("closed.wall", F.lit(0).cast("long")).alias("closed_wall"), "published")
 
 
@@ -497,11 +522,23 @@ def follower_read_gate(t):
     return reads(t).select("read_id", gate.alias("gate"))
 
 
-@query(f"""select read_id, gate, case when f then 'follower' else 'leaseholder' end as mode, case when f then local_replica else leaseholder end as target,
-    case when closed is null or gate = 'ok' then 0 else greatest(read_ts - least(closed, applied), 0) end as freshness_gap
-    from (select *, gate = 'ok' and not (leaseholder_region in ('r0', 'r3') and local_region not in ('r0', 'r3')) as f from (select *, {GATE} as gate from {READS}))""")
+@query(f"""select read_id, gate, case when f then 'follower' when local_replica = leaseholder then 'local_leaseholder' else 'leaseholder' end as mode, case when f then local_replica else leaseholder end as target,
+      case when f then local_region else leaseholder_region end as target_region,
+      case when gate in ('no_closed', 'ok') or read_ts <= b then 0 else read_ts - b end as gap_wall,
+      case when gate in ('no_closed', 'ok') or read_ts <> b or read_id % 5 <= 2 then 0 else read_id % 5 - 2 end as gap_logical,
+      case when f and placed and local_in then 'safe, in a preferred region' when f then 'safe' when gate = 'ok' then 'safe, but placement prefers the leaseholder''s region'
+        when local_replica = leaseholder and placed and holder_in then 'local leaseholder in a preferred region' when local_replica = leaseholder then 'local leaseholder'
+        when gate = 'lease_mismatch' then 'closed under another lease' when gate = 'not_applied' then 'closed time not applied here'
+        when placed and holder_in then 'not safe yet, to the preferred leaseholder' else 'not safe yet' end as reason
+    from (select *, gate = 'ok' and not (placed and local_region <> leaseholder_region and holder_in and not local_in) as f from (
+      select *, least(closed, applied) as b, read_id % 6 <> 0 as placed, read_id % 6 <> 0 and leaseholder_region in ('r0', 'r3') as holder_in, read_id % 6 <> 0 and local_region in ('r0', 'r3') as local_in,
+        case when closed is null then 'no_closed' when known_sequence <> lease_seq then 'lease_mismatch' when applied < closed then 'not_applied' when read_ts > closed or (read_ts = closed and read_id % 5 > 2) then 'too_fresh' else 'ok' end as gate from {READS}))""")
 def read_routing(t):
-    return timeline.routed(reads(t))
+    """Reads with hybrid times: the read's logical part is read_id % 5, closed and applied ones have 2."""
+    i, two = F.col("read_id"), F.lit(2)
+    rows = reads(t).withColumn("preferred", F.when(i % 6 != 0, F.col("preferred")))
+    rows = rows.withColumns({"read_ts": hlc.stamp(F.col("read_ts"), i % 5), "applied": hlc.stamp(F.col("applied"), two), "closed": F.when(F.col("closed").isNotNull(), hlc.stamp(F.col("closed"), two))})
+    return timeline.routed(rows)
 
 
 @query("select user_id as range_id, event_id as log_index, event_id * 31 % 997 as commit_ts, max(event_id * 31 % 997) over (partition by user_id order by event_id) as frontier from events")
@@ -536,7 +573,7 @@ def hundreds(t, rows: DataFrame, key: str) -> DataFrame:
     return t._spark.range(0 if greatest is None else greatest // 100 + 1).select(F.col("id").alias("range_id"), (F.col("id") * 100).alias("start_key"), (F.col("id") * 100 + 100).alias("end_key"))
 
 
-@query("select o_orderkey, r.range_id, r.start_key, r.end_key from orders join (select range as range_id, range * 100 as start_key, range * 100 + 100 as end_key from range(100)) r on o_orderkey >= r.start_key and o_orderkey < r.end_key")
+@query("select o_orderkey, r.range_id, r.start_key, r.end_key from orders join (select distinct o_orderkey // 100 as range_id, o_orderkey // 100 * 100 as start_key, o_orderkey // 100 * 100 + 100 as end_key from orders) r on o_orderkey >= r.start_key and o_orderkey < r.end_key")
 def range_locate(t):
     return relational.locate(t.orders.select("o_orderkey"), "o_orderkey", hundreds(t, t.orders, "o_orderkey"))
 
@@ -589,7 +626,7 @@ def leaseholder_select(t):
           - case when leaseholder then 0.05 else 0 end, 9) as score,
         (select count(distinct case when o.replica_id = r.replica_id then t.region else coalesce(x.region, 'unknown') end) from r o left join n x on x.node_id = o.node_id where o.range_id = r.range_id and o.role = 'VOTER') as regions
       from r join n s on s.node_id = r.node_id join n t on not t.draining and s.load > t.load
-      where not exists (select 1 from r h where h.range_id = r.range_id and h.node_id = t.node_id) and r.range_id < 300)
+      where not exists (select 1 from r h where h.range_id = r.range_id and h.node_id = t.node_id))
     select range_id, replica_id, source, target, score from (select *, row_number() over (partition by range_id order by score desc, ordinal, target_ordinal) as rn from m where regions >= 3) where rn = 1""")
 def rebalance_choice(t):
     policy = placement.compiled(placement.Policy("GLOBAL", preferred=["asia", "europe", "america"], lease_preferences=["asia"]))
@@ -603,11 +640,19 @@ def node_load_score(t):
     return found.withColumn("load", F.col("load").cast("double"))
 
 
-@query("select c_custkey as policy_id, case when v then case when s = 'ZONE_FAILURE' then 3 else 5 end else 0 end as replicas, case when v then case when s = 'ZONE_FAILURE' then 1 else 3 end else 0 end as least_regions from (select *, case when m = 'REGIONAL' then s = 'ZONE_FAILURE' and n = 1 else s = 'REGION_FAILURE' and n >= 3 end as v from (select c_custkey, case when c_custkey % 3 = 0 then 'REGIONAL' else 'GLOBAL' end as m, c_custkey % 5 + 1 as n, case when c_custkey % 4 = 0 then 'ZONE_FAILURE' when c_custkey % 3 = 0 then 'ZONE_FAILURE' else 'REGION_FAILURE' end as s from customer))")
+@query("""with p as (select c_custkey as policy_id, ['REGIONAL', 'HOME_REGION', 'GLOBAL', 'NOPE'][c_custkey % 4 + 1] as mode, case when c_custkey % 7 = 0 then 'ZONE_FAILURE' when c_custkey % 11 = 0 then 'REGION_FAILURE' when c_custkey % 13 = 0 then 'HOPE' end as survival,
+      c_custkey % 5 as n, case when c_custkey % 3 = 0 then 'r0' when c_custkey % 3 = 1 then 'home' else '' end as home from customer),
+    q as (select policy_id, mode, home, n + case when mode = 'HOME_REGION' and (home = 'home' or home = 'r0' and n = 0) then 1 else 0 end as n, coalesce(survival, case when mode = 'REGIONAL' then 'ZONE_FAILURE' else 'REGION_FAILURE' end) as s from p),
+    f as (select *, case when mode = 'NOPE' then 'mode' when mode = 'REGIONAL' and n <> 1 then 'one region' when mode = 'REGIONAL' and home <> '' then 'no home region' when mode = 'HOME_REGION' and home = '' then 'home region' when mode = 'GLOBAL' and n = 0 then 'regions'
+      when s = 'HOPE' then 'survival' when (s = 'ZONE_FAILURE') <> (mode = 'REGIONAL') then 'survival of mode' when s = 'REGION_FAILURE' and n < 3 then 'three regions' end as fault from q)
+    select policy_id, fault, case when fault is null then case when s = 'ZONE_FAILURE' then 3 else 5 end end as replicas, case when fault is null then case when s = 'ZONE_FAILURE' then 1 else 3 end end as least_regions from f""")
 def placement_compile(t):
     k = F.col("c_custkey")
-    p = t.customer.select(k.alias("policy_id"), F.when(k % 3 == 0, "REGIONAL").otherwise("GLOBAL").alias("mode"), F.when(k % 4 == 0, "ZONE_FAILURE").alias("survival"), F.transform(F.sequence(F.lit(0), k % 5), lambda x: x.cast("string")).alias("preferred"))
-    return placement.policy_numbers(p).na.fill(0)
+    mode = F.element_at(F.array(*map(F.lit, ("REGIONAL", "HOME_REGION", "GLOBAL", "NOPE"))), (k % 4 + 1).cast("int"))
+    survival = F.when(k % 7 == 0, "ZONE_FAILURE").when(k % 11 == 0, "REGION_FAILURE").when(k % 13 == 0, "HOPE")
+    regions = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda x: F.when(x <= k % 5, F.concat(F.lit(" R"), (x - 1).cast("string"))).otherwise(" "))  # blank ones do not count
+    home = F.when(k % 3 == 0, "R0 ").when(k % 3 == 1, "Home")
+    return placement.policy_numbers(t.customer.select(k.alias("policy_id"), mode.alias("mode"), survival.alias("survival"), regions.alias("preferred"), home.alias("home_region")))
 
 
 @query("""with reports as (select event_id % 300 as range_id, event_id // 3000 as generation, event_id as seen, event_id * 7 % 501 as row_count, event_id % 4 as replica_id, user_id as node_id from events),
@@ -657,9 +702,17 @@ def scenario_live_nodes(t):
 # Workloads, metrics and log checks
 
 
-@query("select event_type, count(*) as n, list_sort(list(value))[1 + cast(floor((count(*) - 1) * 0.5) as bigint)] as p50_ms, list_sort(list(value))[1 + cast(floor((count(*) - 1) * 0.95) as bigint)] as p95_ms, max(value) as max_ms from events group by event_type")
+@query("""select event_type, count(*) as n, count(*) filter (where value < 50) as succeeded, count(*) filter (where not value < 50) as failed, round(avg(value), 6) as mean_ms,
+    list_sort(list(value))[1 + cast(floor((count(*) - 1) * 0.5) as bigint)] as p50_ms, list_sort(list(value))[1 + cast(floor((count(*) - 1) * 0.95) as bigint)] as p95_ms, max(value) as max_ms from events group by event_type""")
 def latency_summary_percentiles(t):
-    return workload.summary(t.events.withColumn("ok", F.col("value") < 50), "event_type", "value").select("event_type", "n", "p50_ms", "p95_ms", "max_ms")
+    return workload.summary(t.events.withColumn("ok", F.col("value") < 50), "event_type", "value").withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("""select event_type, 't' || (event_id % 3) as tag, case when value < 50 then 'ok' when event_id % 4 = 0 then '40' when event_id % 4 = 1 then 'timeout' else 'client' end as class, count(*) as n from events group by all""")
+def latency_tags_and_classes(t):
+    i = F.col("event_id")
+    samples = t.events.select(F.col("event_type").alias("op"), F.concat(F.lit("t"), (i % 3).cast("string")).alias("tag"), (F.col("value") < 50).alias("ok"), F.when(i % 4 == 0, "40001").alias("sqlstate"), F.when(i % 4 == 1, "Deadline passed").otherwise("gone").alias("message"))
+    return workload.tag_classes(samples).withColumnRenamed("op", "event_type")
 
 
 @query("select class, count(*) as n from (select case when event_type = 'error' then '40' when event_type = 'view' then 'timeout' else 'client' end as class from events) group by 1")
@@ -729,9 +782,10 @@ def hlc_prev_tick(t):
     return t.events.select("event_id", hlc.previous_tick(hlc.stamp(i % 3, i % 2)).alias("p")).select("event_id", "p.wall", "p.logical")
 
 
-@query("select o_orderkey, upper(lpad(to_hex(o_orderkey), 16, '0')) as plain_hex from orders")
+@query("select o_orderkey, upper(lpad(to_hex(cast((cast(o_orderkey as hugeint) - 500) * 1000003 + 9223372036854775808 as ubigint)), 16, '0')) as key_hex from orders")
 def ordered_int_key(t):
-    return t.orders.select("o_orderkey", F.concat(F.lit("0"), F.substring(keys.ordered_int_key(F.col("o_orderkey")), 2, 15)).alias("plain_hex")).where(F.col("plain_hex").isNotNull())
+    """Keys of numbers of both signs."""
+    return t.orders.select("o_orderkey", keys.ordered_int_key((F.col("o_orderkey") - 500) * 1_000_003).alias("key_hex"))
 
 
 @query("select n_nationkey, case when trim(x) = '' then 'unknown' else lower(trim(x)) end as region from (select n_nationkey, case when n_nationkey % 3 = 0 then '  ' else ' ' || n_name || ' ' end as x from nation)")
@@ -798,12 +852,22 @@ def doubled_observations(t):
     return transactions.doubled_observations(t.events.select(F.col("user_id").cast("string").alias("txn_id"), (F.col("event_id") % 40).cast("string").alias("key"), (F.col("event_id") % 3).alias("range_id")))
 
 
-@query("select o_orderkey, case when o_orderkey % 6 = 0 then 'equal ids' when o_orderkey % 5 = 0 then 'generation does not rise' when o_orderkey % 4 = 0 then 'halves do not meet' when o_orderkey % 7 = 0 then 'outside' end as rule from orders where o_orderkey % 6 = 0 or o_orderkey % 5 = 0 or o_orderkey % 4 = 0 or o_orderkey % 7 = 0")
+SPLIT_RULES = ["expected generation", "left keeps its id", "equal ids", "left start", "no split key", "halves do not meet", "right end", "generation does not rise", "left replicas", "right replicas", "left leaseholder", "right leaseholder", "outside"]
+
+
+@query("select o_orderkey, [" + ", ".join(f"'{r}'" for r in SPLIT_RULES) + "][o_orderkey % 16 + 1] as rule from orders where o_orderkey % 16 < 13")
 def split_validation(t):
-    k, at = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, 10).otherwise(50)
-    s = t.orders.select(
-        k, F.lit(1).alias("old_id"), F.lit(1).alias("left_id"), F.when(k % 6 == 0, 1).otherwise(2).alias("right_id"), F.lit(4).alias("old_generation"), F.lit(5).alias("left_generation"), F.when(k % 5 == 0, 4).otherwise(5).alias("right_generation"),
-        F.lit(10).alias("old_start"), F.lit(10).alias("left_start"), F.lit(90).alias("old_end"), F.lit(90).alias("right_end"), at.alias("split_key"), at.alias("left_end"), F.when(k % 4 == 0, 51).otherwise(at).alias("right_start"))
+    """Of sixteen kinds of splits thirteen break a rule each."""
+    kind = F.col("o_orderkey") % 16
+    broken = lambda rule, bad, good: F.when(kind == SPLIT_RULES.index(rule), bad).otherwise(good)
+    replicas = lambda *ids: F.array(*(F.struct(F.lit(i).alias("replica_id"), F.lit(i).alias("node_id"), F.lit("VOTER").alias("role")) for i in ids))
+    at = broken("outside", 95, 50)
+    part = lambda i, generation, start, end, own, holder: F.struct(i.alias("range_id"), generation.alias("generation"), start.alias("start_key"), end.alias("end_key"), own.alias("replicas"), holder.alias("leaseholder"))
+    one, own = F.lit(1), replicas(1, 2, 3)
+    old = part(one, F.lit(4), F.lit(10), F.lit(90), own, one)
+    left = part(broken("left keeps its id", 3, 1), broken("generation does not rise", 4, 5), broken("left start", 11, 10), F.when(kind != SPLIT_RULES.index("no split key"), at), broken("left replicas", replicas(1, 2), replicas(3, 1, 2)), broken("left leaseholder", 2, 1))
+    right = part(broken("equal ids", 1, 2), F.lit(1), broken("halves do not meet", 51, at), broken("right end", 91, 90), broken("right replicas", replicas(1, 2, 4), own), broken("right leaseholder", 3, 1))
+    s = t.orders.select("o_orderkey", old.alias("old"), left.alias("left"), right.alias("right"), broken("expected generation", 3, 4).alias("expected_generation"))
     return placement.split_faults(s).select("o_orderkey", "rule")
 
 
@@ -849,12 +913,19 @@ def cluster_totals(t):
     return topology.totals(r, nodes(t)).select("nodes", "ranges", "replicas", "rows")
 
 
-@query("select c_custkey as range_id, case when c_custkey % 2 = 0 then 3 else 2 end as n_replicas, case when c_custkey % 2 = 0 then 8 else 7 end as generation from customer")
-def replica_change_add(t):
+@query("""with c as (select c_custkey as range_id, case when c_custkey % 13 = 0 then 6 else 7 end as expected, ['add', 'promote', 'remove', 'swap'][c_custkey % 4 + 1] as op, c_custkey % 6 as id from customer),
+    f as (select *, case when expected <> 7 then 'expected generation' when op = 'swap' then 'unknown change' when op = 'add' and id in (1, 2, 3) then 'exists already' when op in ('promote', 'remove') and id not in (1, 2, 3) then 'not found'
+      when op = 'promote' and id <> 3 then 'not a learner' when op = 'remove' and id = 1 then 'holds the lease' when op = 'add' and id = 5 then 'two on a node' end as fault from c)
+    select range_id, case when fault is null then 8 else 7 end as generation, fault, 3 + case when fault is null and op = 'add' then 1 when fault is null and op = 'remove' then -1 else 0 end as n_replicas,
+      2 + case when fault is null and op = 'promote' then 1 when fault is null and op = 'remove' and id = 2 then -1 else 0 end as voters from f""")
+def replica_change(t):
     k = F.col("c_custkey")
-    r = t.customer.select(k.alias("range_id"), F.lit(7).alias("generation"), F.lit(1).alias("leaseholder"), F.array(*(F.struct(F.lit(i).alias("replica_id"), F.lit(i).alias("node_id"), F.lit("VOTER").alias("role")) for i in (1, 2))).alias("replicas"))
-    new = F.struct(F.lit(9).alias("replica_id"), F.when(F.col("range_id") % 2 == 0, 9).otherwise(2).alias("node_id"))
-    return placement.changed_replicas(r, "add", new).select("range_id", F.size("replicas").alias("n_replicas"), "generation")
+    replica = lambda i, node, role: F.struct(i.alias("replica_id"), node.alias("node_id"), role.alias("role"))
+    there = F.array(*(replica(F.lit(i), F.lit(i), F.lit("VOTER" if i < 3 else "LEARNER")) for i in (1, 2, 3)))
+    op, i = F.element_at(F.array(*map(F.lit, ("add", "promote", "remove", "swap"))), (k % 4 + 1).cast("int")), (k % 6).cast("int")
+    change = replica(i, F.when(i == 5, 2).otherwise(i), F.when(op == "add", "LEARNER").otherwise("VOTER"))
+    r = t.customer.select(k.alias("range_id"), F.lit(7).alias("generation"), F.lit(1).alias("leaseholder"), there.alias("replicas"), op.alias("op"), change.alias("replica"), F.when(k % 13 == 0, 6).otherwise(7).alias("expected_generation"))
+    return placement.changed_replicas(r).select("range_id", "generation", "fault", F.size("replicas").alias("n_replicas"), F.size(F.filter("replicas", lambda x: x["role"] == "VOTER")).alias("voters"))
 
 
 @query("select event_id % 300 as range_id, event_id, value from (select *, row_number() over (partition by event_id % 300 order by ts desc, event_id desc) as rn from events) where rn = 1")
@@ -862,7 +933,7 @@ def latest_of_each(t):
     return mvcc.latest(t.events.select((F.col("event_id") % 300).alias("range_id"), "ts", "event_id", "value", F.lit(False).alias("tombstone")), ["range_id"], ["ts", "event_id"]).select("range_id", "event_id", "value")
 
 
-@query("select a.c_custkey as left_key, b.c_custkey as right_key, greatest(a.c_custkey, b.c_custkey) as start_key, least(a.c_custkey + 3, b.c_custkey + 3) as end_key from customer a join customer b on a.c_custkey < b.c_custkey + 3 and b.c_custkey < a.c_custkey + 3 where a.c_custkey < 200 and b.c_custkey < 200")
+@query("select a.c_custkey as left_key, b.c_custkey as right_key, greatest(a.c_custkey, b.c_custkey) as start_key, least(a.c_custkey + 3, b.c_custkey + 3) as end_key from customer a join customer b on a.c_custkey < b.c_custkey + 3 and b.c_custkey < a.c_custkey + 3")
 def span_overlap(t):
     # spans meet in bins of keys, and each pair in the bin where its intersection begins
     bins = lambda df, start, end: df.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / 64), F.floor((F.col(end) - 1) / 64))))

@@ -45,6 +45,12 @@ def test_changes_check_before_they_write(spark):
     current = spark.createDataFrame([(1, "a@x"), (2, None)], "id int, email string")
     with pytest.raises(UniqueViolation):
         dml.update(current, F.col("id") == 2, {"email": "a@x"}, ["id"], {"email_key": ["email"]})
+    with pytest.raises(UniqueViolation):
+        dml.insert(current, spark.createDataFrame([(8, "z"), (9, "z")], "id int, email string"), ["id"], {"email_key": ["email"]})
+    swapped = spark.createDataFrame([(1, "c@x"), (2, "a@x")], "id int, email string")
+    assert rows(dml.upsert(current, swapped, ["id"], {"email_key": ["email"]}).returning) == rows(swapped)
+    with pytest.raises(UniqueViolation):
+        dml.upsert(current, swapped.where("id = 2"), ["id"], {"email_key": ["email"]})
     assert rows(dml.update(current, F.col("id") == 1, {"email": "b@x"}, ["id"], {"email_key": ["email"]}).returning) == [(1, "b@x")]
     new = spark.createDataFrame([(3, None), (4, "a@x")], "id int, email string")
     assert rows(dml.on_conflict_do_nothing(current, new, ["email"], ["id"]).returning) == [(3, None)]
@@ -55,9 +61,36 @@ def test_locate_finds_each_keys_range(spark):
     ranges = spark.createDataFrame([(1, "", "g"), (2, "g", "p"), (3, "t", None)], "range_id int, start_key string, end_key string")
     key_rows = spark.createDataFrame([(k,) for k in ("a", "g", "o", "p", "t", "zz")], "key string")
     assert {r["key"]: r["range_id"] for r in relational.locate(key_rows, "key", ranges).collect()} == {"a": 1, "g": 2, "o": 2, "t": 3, "zz": 3}
-    numbers = spark.range(5000).select(F.col("id").alias("k")).repartition(8)
-    spans = spark.range(100).select((F.col("id") * 50).alias("start_key"), (F.col("id") * 50 + 25).alias("end_key"), F.col("id").alias("range_id"))
-    assert relational.locate(numbers, "k", spans).where("k >= start_key and k < end_key and range_id = k div 50").count() == 2500
+    assert relational.locate_one("o", ranges).first()["range_id"] == 2
+    for missing in ("p", "q"):
+        with pytest.raises(LookupError):
+            relational.locate_one(missing, ranges)
+
+
+@pytest.mark.parametrize("settings", [{"spark.sql.adaptive.enabled": "false"}, {}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}])
+@pytest.mark.parametrize("slices", [1, 16, 61])
+def test_locate_with_many_slices(spark, settings, slices):
+    """Ranges longer than a slice, gaps, open ends, repeated and null keys; whatever adaptive execution does."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        numbers = spark.range(-20000, 20000).select(F.when(F.col("id") % 3 == 0, 777).otherwise(F.col("id")).alias("k"), F.col("id").alias("row")).union(spark.createDataFrame([(None, 0)], "k long, row long")).repartition(8)
+        spans = [(None, -15000, 0), (-15000, -14990, 1), (-5000, 5000, 2), (5000, 5001, 3), (6000, 6001, 4), (9000, None, 5)]
+        ranges = spark.createDataFrame(spans, "start_key long, end_key long, range_id int")
+        want = {}
+        for r in numbers.where("k is not null").collect():
+            for low, high, i in spans:
+                if (low is None or low <= r["k"]) and (high is None or r["k"] < high):
+                    want[r["row"]] = i
+        got = relational.locate(numbers, "k", ranges, slices=slices).collect()
+        assert len(got) == len(want) and {r["row"]: r["range_id"] for r in got} == want
+        even = spark.range(400).select((F.col("id") * 50).alias("start_key"), (F.col("id") * 50 + 25).alias("end_key"), F.col("id").alias("range_id"))
+        points = spark.range(20000).select(F.col("id").alias("k")).repartition(8)
+        assert relational.locate(points, "k", even, slices=slices).where("k >= start_key and k < end_key and range_id = k div 50").count() == 10000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_staging_recovery(spark):
@@ -73,11 +106,59 @@ def test_staging_recovery(spark):
 
 def test_lock_table(spark):
     log = [("k", 1, "acquire", "old", 1, 0, "EXCLUSIVE"), ("k", 2, "acquire", "young", 5, 0, "EXCLUSIVE"), ("k", 3, "release", "old", 1, 0, ""), ("k", 4, "acquire", "old", 1, 0, "EXCLUSIVE"),
-           ("s", 1, "acquire", "a", 1, 0, "SHARED"), ("s", 2, "acquire", "b", 2, 0, "SHARED"), ("e", 1, "acquire", "t", 1, 0, "SHARED"), ("e", 2, "acquire", "t", 1, 1, "EXCLUSIVE")]
+           ("s", 1, "acquire", "a", 1, 0, "SHARED"), ("s", 2, "acquire", "b", 2, 0, "SHARED"), ("e", 1, "acquire", "t", 1, 0, "SHARED"), ("e", 2, "acquire", "t", 1, 1, "EXCLUSIVE"),
+           ("w", 1, "acquire", "x", 1, 0, "EXCLUSIVE"), ("w", 2, "acquire", "x", 1, 0, "SHARED"), ("w", 3, "acquire", "y", 2, 0, "SHARED")]
     got = transactions.lock_table(spark.createDataFrame(log, "key string, seq long, op string, txn_id string, read_ts long, epoch int, strength string"))
-    assert [(r["key"], r["seq"], r["txn_id"], r["decision"], r["victims"]) for r in got.orderBy("key", "seq").collect() if r["key"] == "k"] == [
-        ("k", 1, "old", "granted", ""), ("k", 2, "young", "wait", ""), ("k", 3, "old", "released", ""), ("k", 3, "young", "granted", ""), ("k", 4, "old", "wound", "young")]
-    assert {r["decision"] for r in got.where("key <> 'k'").collect()} == {"granted"}
+    assert [(r["key"], r["seq"], r["txn_id"], r["decision"], r["others"]) for r in got.orderBy("key", "seq").collect() if r["key"] == "k"] == [
+        ("k", 1, "old", "granted", ""), ("k", 2, "young", "wait", "old"), ("k", 3, "old", "released", ""), ("k", 3, "young", "granted", ""), ("k", 4, "old", "wound", "young")]
+    assert {r["decision"] for r in got.where("key <> 'k'").collect()} == {"granted"}  # also y: x holds as SHARED by then
+
+
+def replayed(log):
+    """Decisions by plain sets of holders and waiters, looked through anew for each request."""
+    out, holding, queue = [], {}, {}
+    for key, seq, op, txn, ts, epoch, strength in sorted(log):
+        held, waits = holding.setdefault(key, {}), queue.setdefault(key, {})
+        clash = lambda who, kind: sorted(h for h, (_, _, s) in held.items() if h != who and "EXCLUSIVE" in (s, kind))  # noqa: B023, E731
+        if op == "release":
+            held.pop(txn, None)
+            out.append((key, seq, txn, "released", ""))
+            while True:
+                free = [(t, w) for w, (t, _, s) in waits.items() if not clash(w, s)]
+                if not free:
+                    break
+                w = min(free)[1]
+                held[w] = waits.pop(w)
+                out.append((key, seq, w, "granted", ""))
+            continue
+        for table in (held, waits):
+            if txn in table and table[txn][1] < epoch:
+                del table[txn]
+        against = clash(txn, strength)
+        if not against:
+            held[txn] = (ts, epoch, strength)
+            waits.pop(txn, None)
+            out.append((key, seq, txn, "granted", ""))
+        elif all((ts, txn) < (held[h][0], h) for h in against):
+            for h in against:
+                del held[h]
+                waits.pop(h, None)
+            held[txn] = (ts, epoch, strength)
+            out.append((key, seq, txn, "wound", ",".join(against)))
+        else:
+            waits[txn] = (ts, epoch, strength)
+            out.append((key, seq, txn, "wait", ",".join(against)))
+    return out
+
+
+def test_lock_table_against_a_replay(spark):
+    random.seed(11)
+    ages = [random.randrange(6) for _ in range(12)]
+    log = [(f"k{random.randrange(9)}", n, random.choice(["acquire"] * 3 + ["release"]), f"t{(who := random.randrange(12))}", ages[who], n // 300, random.choice(["SHARED", "EXCLUSIVE"])) for n in range(900)]
+    got = transactions.lock_table(spark.createDataFrame(log, "key string, seq long, op string, txn_id string, read_ts long, epoch int, strength string").repartition(5))
+    want = replayed(log)
+    assert {d for *_, d, _ in want} == {"granted", "released", "wait", "wound"}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_refresh_and_one_phase(spark):
@@ -101,10 +182,14 @@ def test_closed_timestamps(spark):
 
 
 def test_routing(spark):
-    reads = [(1, 2, 1, "eu", "us", ["eu"], 3, 3, 60, 50, 50), (2, 2, 1, "as", "us", ["us"], 3, 3, 60, 50, 50), (3, 2, 1, "eu", "us", ["eu"], 3, 3, 60, 60, 50), (4, 2, 1, "eu", "us", ["eu"], 2, 3, 60, 40, 50), (5, 2, 1, "eu", "us", ["eu"], 3, 3, 40, 40, 50), (6, 2, 1, "eu", "us", ["eu"], 3, 3, 40, 40, None)]
+    reads = [(1, 2, 1, "eu", "us", ["eu"], 3, 3, 60, 50, 50), (2, 2, 1, "as", "us", ["us"], 3, 3, 60, 50, 50), (3, 2, 1, "eu", "us", ["eu"], 3, 3, 60, 60, 50), (4, 2, 1, "eu", "us", ["us"], 2, 3, 60, 40, 50), (5, 2, 1, "eu", "us", ["eu"], 3, 3, 40, 45, 50),
+             (6, 2, 1, "eu", "us", ["us "], 3, 3, 40, 40, None), (7, 1, 1, "us", "us", ["US"], 3, 3, 40, 60, 50), (8, 2, 1, " EU", "eu", ["eu"], 3, 3, 60, 50, 50), (9, 2, 1, "as", "us", None, 3, 3, 60, 50, 50)]
     df = spark.createDataFrame(reads, "read_id int, local_replica int, leaseholder int, local_region string, leaseholder_region string, preferred array<string>, known_sequence int, lease_seq int, applied long, read_ts long, closed long")
-    assert {r["read_id"]: (r["gate"], r["mode"], r["freshness_gap"]) for r in timeline.routed(df).collect()} == {
-        1: ("ok", "follower", 0), 2: ("ok", "leaseholder", 0), 3: ("too_fresh", "leaseholder", 10), 4: ("lease_mismatch", "leaseholder", 0), 5: ("not_applied", "leaseholder", 0), 6: ("no_closed", "leaseholder", 0)}
+    timed = df.withColumns({"applied": hlc.stamp("applied", 0), "read_ts": hlc.stamp(F.col("read_ts"), F.when(F.col("read_id") == 5, 3).otherwise(0)), "closed": F.when(F.col("closed").isNotNull(), hlc.stamp("closed", 0))})
+    assert {r["read_id"]: (r["gate"], r["mode"], r["target"], r["gap_wall"], r["reason"]) for r in timeline.routed(timed).collect()} == {
+        1: ("ok", "follower", 2, 0, "safe, in a preferred region"), 2: ("ok", "leaseholder", 1, 0, "safe, but placement prefers the leaseholder's region"), 3: ("too_fresh", "leaseholder", 1, 10, "not safe yet"),
+        4: ("lease_mismatch", "leaseholder", 1, 0, "closed under another lease"), 5: ("not_applied", "leaseholder", 1, 5, "closed time not applied here"), 6: ("no_closed", "leaseholder", 1, 0, "not safe yet, to the preferred leaseholder"),
+        7: ("not_applied", "local_leaseholder", 1, 20, "local leaseholder in a preferred region"), 8: ("ok", "follower", 2, 0, "safe, in a preferred region"), 9: ("ok", "follower", 2, 0, "safe")}
 
 
 def test_policies():
@@ -135,11 +220,18 @@ def test_splits_and_replica_changes(spark):
     at = spark.createDataFrame([(1, 33)], "range_id long, split_key int")
     assert rows(placement.split(ranges, at, F.lit(3))) == [(1, 5, 0, 33), (2, 1, 100, 200), (3, 5, 33, None)]
     r = spark.createDataFrame([(1, 1, 1, [(1, 1, "VOTER"), (2, 2, "VOTER")])], "range_id int, generation int, leaseholder int, replicas array<struct<replica_id:int,node_id:int,role:string>>")
-    one = lambda i, n: F.struct(F.lit(i).alias("replica_id"), F.lit(n).alias("node_id"))
-    added = placement.changed_replicas(r, "add", one(3, 3))
-    assert added.first()["generation"] == 2 and added.first()["replicas"][2]["role"] == "LEARNER"
-    assert placement.changed_replicas(added, "promote", one(3, 3)).first()["replicas"][2]["role"] == "VOTER"
-    assert len(placement.changed_replicas(r, "remove", one(1, 1)).first()["replicas"]) == 2 and len(placement.changed_replicas(r, "remove", one(2, 2)).first()["replicas"]) == 1
+
+    def after(df, op, i, node, role):
+        change = F.struct(F.lit(i).alias("replica_id"), F.lit(node).alias("node_id"), F.lit(role).alias("role"))
+        return placement.changed_replicas(df.withColumns({"op": F.lit(op), "replica": change, "expected_generation": F.col("generation")})).drop("fault" if df is not r else "none")
+
+    added = after(r, "add", 3, 3, "LEARNER")
+    assert added.first()["generation"] == 2 and added.first()["replicas"][2]["role"] == "LEARNER" and added.first()["fault"] is None
+    assert after(added.drop("fault"), "promote", 3, 3, "VOTER").first()["replicas"][2]["role"] == "VOTER"
+    refused = after(r, "remove", 1, 1, "VOTER").first()
+    assert refused["fault"] == "holds the lease" and refused["generation"] == 1 and len(refused["replicas"]) == 2
+    assert len(after(r, "remove", 2, 2, "VOTER").first()["replicas"]) == 1
+    assert after(r, "promote", 2, 2, "VOTER").first()["fault"] == "not a learner"
 
 
 def test_admission_and_compaction(spark):

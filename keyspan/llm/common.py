@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
-         "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+         "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 #: Rows that are turned into Python objects at once; Arrow batches may be larger.
 SLICE = 256
@@ -131,6 +132,32 @@ def word_hasher() -> Callable[[list[bytes]], np.ndarray]:
     return hashes
 
 
+def numbered_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the number of each word in its place among them, and how many words each text has.
+
+    Words are runs without ASCII white space; lower: A-Z are lowered first; a null is an empty text.
+    """
+    texts = texts.fill_null("")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    index, edges = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+    edges = edges - edges[0] if len(edges) else np.zeros(1, np.int64)
+    if b"" in distinct:  # before, behind and instead of words
+        k = distinct.index(b"")
+        real = index != k
+        edges = np.append(0, np.cumsum(real))[edges]
+        index = index[real]
+        index -= index > k
+        del distinct[k]
+    return distinct, index, np.diff(edges)
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
 def windows(h: np.ndarray, size: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of each run of `size` consecutive entries of h (unsigned 64-bit, modulo 2**64)."""
     n = len(h) - size + 1

@@ -9,6 +9,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -87,13 +89,57 @@ def test_base_spans_follow_their_definition(spark, sf):
         assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
 
 
-def test_field_learns_secrets_and_their_neighbours(spark, sf):
-    field = secret_scan.trained_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    caught = lambda t: secret_scan.all_spans(t, field)[1]
-    unseen = "some plain words here token = " + "'" + "9f" * 25 + "' and more"
-    assert any(t in "".join(unseen[a:b] for a, _, b in caught(unseen)) for t in ("9f" * 25,))
-    for plain in ("A sentence in 2024 with 3 numbers, 1,000 of them.", "no numbers at all"):
-        assert caught(plain) == []
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Secrets that no fixed pattern finds: what stands before them, their letters and their length.
+PLANTED = {
+    "bearer": ("Authorization: Bearer ", LETTERS + DIGITS, 32), "ghp": ("", LETTERS + DIGITS, 36), "sk": ("", LETTERS + DIGITS, 24), "glpat": ("", LETTERS + DIGITS + "-_", 20), "AIza": ("", LETTERS + DIGITS + "-_", 35),
+    "hf": ("", LETTERS, 34), "line": ("", LETTERS + DIGITS + "+/", 64), "is": ("password is ", LETTERS + DIGITS, 16), "far": ("the password for this account is ", LETTERS + DIGITS + "!#%", 16), "letters": ("", LETTERS, 24), "base64": ("", LETTERS + DIGITS + "+/", 43),
+}
+STARTS = {"ghp": "ghp_", "sk": "sk_live_", "glpat": "glpat-", "AIza": "AIza", "hf": "hf_"}
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return secret_scan.trained_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_field_finds_secrets_that_the_patterns_miss(spark, field):
+    """Planted in texts that the field has not seen; and clean texts stay as they are."""
+    random = np.random.default_rng(3)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()[6000:8000]]
+    for kind, (before, letters, size) in PLANTED.items():
+        planted, places = [], []
+        for k in random.integers(0, len(texts), 100).tolist():
+            words = [m.start() for m in re.finditer(r"[^ \t\n\v\f\r]+", texts[k])] or [0]
+            at = int(random.choice(words))
+            value = STARTS.get(kind, "") + "".join(random.choice(list(letters), size))
+            planted.append(f"{texts[k][:at]}{before}{value} {texts[k][at:]}")
+            places.append((at + len(before), at + len(before) + len(value)))
+            assert not any(a < places[-1][1] and b > places[-1][0] for a, _, b in secret_scan.base_spans(planted[-1])) or kind == "line"
+        found = secret_scan.scan(pa.array(planted, pa.string()), field)
+        caught = sum(any(a <= start + 1 and b >= end - 3 for a, _, b in spans) for (_, spans), (start, end) in zip(found, places))
+        assert caught >= 90, (kind, caught)
+    clean = [(base, spans) for base, spans in secret_scan.scan(pa.array(texts, pa.string()), field) if not base]
+    assert sum(spans == [] for _, spans in clean) >= 0.99 * len(clean)
+    for plain in ("A sentence in 2024 with 3 numbers, 1,000 of them.", "no numbers at all", "write to anna.smith@example.org or see https://www.example.org/some/page-2024.html",
+                  "The password must contain at least eight characters; the token of appreciation is a secret recipe."):
+        assert secret_scan.all_spans(plain, field)[1] == []
+
+
+def test_tags_are_those_of_plain_viterbi(spark, field):
+    """Decoding by parts against Viterbi over whole texts, also with weights under which little is surely outside."""
+    random = np.random.default_rng(4)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()[:60]] + ["", "token = abcDEF123456xyz and ghp_" + "aB3" * 12]
+    for scale in (1.0, 0.05):
+        noisy = secret_scan.Field(field.weights * scale + random.normal(0, 0.05 if scale == 1 else 0.5, field.weights.shape), field.moves + np.where(field.moves < -10, 0, random.normal(0, 0.5, (3, 3))), field.shapes)
+        tokens = secret_scan.Tokens(noisy.shapes, pa.array(texts, pa.string()))
+        got, e, m = noisy.tags(tokens), noisy.emissions(tokens).astype(float), noisy.moves
+        score = lambda e, path: m[0, path[0]] + m[path[-1], 0] + e[range(len(path)), path].sum() + sum(m[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        for start, end in zip(tokens.starts.tolist(), tokens.ends.tolist()):
+            if start < end:
+                best = secret_scan.best_paths(e[None, start:end], m)[0]
+                assert abs(score(e[start:end], best.tolist()) - score(e[start:end], got[start:end].tolist())) < 1e-3
+        assert scale == 1.0 or (got != 0).any()
 
 
 def test_unicode_letters_do_not_match_keywords_and_failed_matches_are_consumed():
@@ -105,8 +151,13 @@ def test_unicode_letters_do_not_match_keywords_and_failed_matches_are_consumed()
 
 
 def test_secret_edges(spark, edge, none):
-    assert len(secret_scan.scanned(edge).collect()) == len(edge_rows())
+    clashing = edge.selectExpr("*", "1 as n_assign", "'x' as spans", "2 as base_sha256", "3 as n_tagged", "4 as row")
+    got = secret_scan.scanned(clashing).collect()
+    assert len(got) == len(edge_rows()) and sum(r["doc_id"] is None for r in got) == 2
+    assert all((r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) == (0, 0, 0, "") for r in got if r["doc_id"] in (3, 4, 5))
     assert secret_scan.scanned(none).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000 + "token=" + "a1" * 10)], "doc_id long, text string")
+    assert secret_scan.scanned(long).first()["spans"] == f"assign:{5 * 300_000}:{5 * 300_000 + 26}"
     kept = secret_scan.redacted(edge)
     assert kept.columns == edge.columns and kept.count() == len(edge_rows())
     assert secret_scan.redacted(none).count() == 0

@@ -1,17 +1,26 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree, forgivingly: unclosed blocks are closed by what follows them, cut
-off pages end where they end.  What is never part of an article (scripts, forms, menus, and
-elements whose class, id or role names such a thing) is left out.  Each node then has a
-density: characters per tag, lowered by the share of characters and tags that belong to links.
-The subtree with the largest sum of its children's densities is the core; the least density on
-its path to body is the threshold, and beside the path every subtree that reaches it is kept
-too.  Inline elements are tags of their block, not subtrees.  A core inside an article or main
-element is widened to that element, which is kept whole.
-
-Defined results: a null or empty page gives an empty text; pages are read whole; repeated rows
-are judged alike; of equal sums the first node in page order wins; an empty table gives no
-rows; other columns are not read.
+A page is parsed into a tree, forgivingly and in linear time: unclosed blocks are closed by what
+follows them, cut off pages end where they end.  What a page's authors mark as no part of an
+article (scripts, menus, forms' controls, and elements whose class, id or role names such a
+thing) is no part of the tree; this is a filter ahead of the densities, and a page that it would
+leave empty is read without regard to names.
+
+Each node then has a density: characters per tag, lowered by the share of characters and tags
+that belong to links.  Inline elements are tags of their block, not subtrees.  The subtree with
+the largest sum of its children's densities is the core; it grows to its parent as long as the
+parent is the denser one.  The least density on its path below body is the threshold: of all
+subtrees beside the path those that reach it (a single block: the mean of the core's blocks) are
+kept too, and headings just above the core.
+Within what is kept, blocks that are mostly links go (LINKS): their density falls to next to
+nothing against the threshold.  No element is the article by its name.
+
+A form is kept if it holds most of the page's text, and is left out otherwise.  The only h1 of
+a page, if it stands in a header and holds no link, is the article's.
+
+Defined results: a null or empty page gives an empty text; pages are read whole, however long;
+repeated rows are judged alike; of equal sums the first node in page order wins; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +40,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS_P = BLOCK - frozenset("body head html tbody td tfoot th thead tr caption".split())
-LEFT_OUT = frozenset("nav footer aside form menu button dialog head header search fieldset".split())
-#: An open element that such a start tag closes, and the elements beyond which it is not looked for.
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+LEFT_OUT = frozenset("nav footer aside menu button dialog head search fieldset label legend datalist output".split())
+#: Raw elements that swallow the page if they are not closed; others are then no more than their start tag.
+SWALLOWS = frozenset("script style xmp iframe".split())
+#: Elements whose start tags close open ones, by family: the element above which none is looked for, and what closes what.
+FAMILIES = (("ul ol menu", {"li": "li"}), ("dl", {"dt": "dt dd", "dd": "dt dd"}), ("table", {"tr": "tr td th", "td": "td th", "th": "td th"}))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a block's characters in links from which it is a list of links.
+LINKS = 0.6
 #: Words in a class, id or role that mark what is not the article.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-links|comments?|comment\w*|cookies?|consent|copyright|disqus|footer|gdpr|hidden|login|masthead|"
@@ -51,13 +65,75 @@ TOKEN = re.compile(
 MARKUP = re.compile(r"<([a-zA-Z][^\s/>]*)")
 
 
+_FAMILY = {tag: k for k, (stops, closes) in enumerate(FAMILIES) for tag in (*stops.split(), *closes)}
+_CLOSES = {tag: (k, frozenset(names.split())) for k, (_, closes) in enumerate(FAMILIES) for tag, names in closes.items()}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "order")
+    """An element; block: the nearest block at or above it; near: the nearest member of each family; inside: whether it is in an article or main."""
+
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "order", "block", "near", "inside", "gone", "inline")
 
     def __init__(self, tag: str, parent):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and texts
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        near = parent.near if parent else (None,) * len(FAMILIES)
+        k = _FAMILY.get(tag)
+        self.near = near if k is None else (*near[:k], self, *near[k + 1 :])
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.gone = False
+        self.inline: dict[str, int] = {}  # of a block: its open inline elements
+
+
+class Tree:
+    """Open elements while a page is read; each is looked for in constant time and closed once."""
+
+    def __init__(self):
+        self.root = self.at = Node("body", None)
+        self.open: dict[str, int] = {}
+
+    def start(self, tag: str) -> Node:
+        node = Node(tag, self.at)
+        self.at.children.append(node)
+        self.at = node
+        counts = self.open if tag in BLOCK else node.block.inline
+        counts[tag] = counts.get(tag, 0) + 1
+        return node
+
+    def close(self, node: Node) -> None:
+        """Close an open element and all within it."""
+        while True:
+            at = self.at
+            counts = self.open if at.tag in BLOCK else at.block.inline
+            counts[at.tag] -= 1
+            self.at = at.parent
+            if at is node:
+                return
+
+    def end(self, tag: str) -> None:
+        """An end tag: it closes the nearest such element; of inline ones only one within the same block."""
+        if tag in BLOCK:
+            if self.open.get(tag):
+                node = self.at
+                while node.tag != tag:
+                    node = node.parent
+                self.close(node)
+        elif self.at.block.inline.get(tag):
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self.close(node)
+
+    def before(self, tag: str) -> None:
+        """What a start tag closes."""
+        if tag in ENDS_P and self.at.block.tag == "p" and self.at.block is not self.root:
+            self.close(self.at.block)
+        if tag in _CLOSES:
+            k, names = _CLOSES[tag]
+            while (node := self.at.near[k]) is not None and node.tag in names:
+                self.close(node)
 
 
 def noisy(tag: str, attributes: str) -> bool:
@@ -70,30 +146,17 @@ def noisy(tag: str, attributes: str) -> bool:
 
 def parsed(page: str, by_name: bool = True) -> Node:
     """The tree below body, without what is left out; by_name: also for a class, id or role."""
-    root = at = Node("body", None)
+    tree = Tree()
     skipping, depth, position = "", 0, 0  # inside an element that is left out
-
-    def text(data: str) -> None:
-        if data and not skipping:
-            at.children.append(data)
-
-    def close(names, stops=()) -> None:
-        nonlocal at
-        node = at
-        while node is not root and node.tag not in names:
-            if node.tag in stops:
-                return
-            node = node.parent
-        if node is not root:
-            at = node.parent
-
-    size = len(page)
+    size, ends = len(page), {}
     while position < size:
         m = TOKEN.search(page, position)
         if m is None:
-            text(page[position:])
+            if not skipping:
+                tree.at.children.append(page[position:])
             break
-        text(page[position : m.start()])
+        if m.start() > position and not skipping:
+            tree.at.children.append(page[position : m.start()])
         position = m.end()
         end, start = m[1], m[2]
         if start is None and end is None and (late := MARKUP.match(m[0])) and m[0].endswith(">"):
@@ -101,37 +164,34 @@ def parsed(page: str, by_name: bool = True) -> Node:
         if start:
             tag, attributes = start.lower(), m[3] or ""
             if tag in RAW:
-                if attributes.endswith("/") and tag in ("svg", "math"):
+                if attributes.endswith("/") and tag in ("svg", "math") or ends.get(tag, position) < 0:
                     continue
                 stop = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, position)
-                position = stop.end() if stop else size
+                if stop:
+                    position = stop.end()
+                elif tag in SWALLOWS:
+                    position = size
+                else:
+                    ends[tag] = -1  # not looked for again
             elif skipping:
                 if tag == skipping and tag not in VOID:
                     depth += 1
             elif tag in VOID:
-                at.children.append(" ")
                 if tag == "hr":
-                    close(("p",), ("table",))
+                    tree.before(tag)
                 elif tag != "wbr":
-                    at.tags += 1
-                if tag == "wbr":
-                    at.children.pop()
+                    tree.at.tags += 1
+                if tag != "wbr":
+                    tree.at.children.append(" ")
             else:
-                if tag in ENDS_P:
-                    close(("p",), BLOCK - {"p"})
-                if tag in CLOSES:
-                    names, stops = CLOSES[tag]
-                    for _ in names.split():
-                        close(names.split(), stops.split())
+                tree.before(tag)
                 if tag in ("html", "body"):
                     continue
-                if noisy(tag, attributes if by_name else "") and not (tag == "header" and within_article(at)):
+                if noisy(tag, attributes if by_name else "") and not (tag == "header" and tree.at.inside):
                     skipping, depth = tag, 1
-                    at.children.append(Node("gap", at))
+                    tree.at.children.append(Node("gap", tree.at))
                     continue
-                node = Node(tag, at)
-                at.children.append(node)
-                at = node
+                tree.start(tag)
         elif end:
             tag = end.lower()
             if skipping:
@@ -142,40 +202,75 @@ def parsed(page: str, by_name: bool = True) -> Node:
                 elif skipping == "head" and tag == "html":
                     skipping = ""
             elif tag not in ("html", "body") and tag not in VOID:
-                close((tag,), () if tag in BLOCK else BLOCK)
+                tree.end(tag)
         if skipping == "head" and start and start.lower() == "body":
             skipping, depth = "", 0
-    return root
+    return tree.root
 
 
-def within_article(node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def measure(root: Node) -> list[Node]:
-    """Counts and densities of all nodes; the nodes in page order."""
+def in_order(root: Node) -> list[Node]:
+    """All nodes that are not left out, in page order."""
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.order = len(nodes)
         nodes.append(node)
-        todo += [c for c in reversed(node.children) if type(c) is Node and c.tag != "gap"]
+        todo += [c for c in reversed(node.children) if type(c) is Node and c.tag != "gap" and not c.gone]
+    return nodes
+
+
+def count(nodes: list[Node]) -> None:
+    """Characters and tags of each node, and of its links."""
+    for k, node in enumerate(nodes):
+        node.order = k
     for node in reversed(nodes):
         node.tags += 1
         for c in node.children:
             if type(c) is str:
                 node.chars += len("".join(html.unescape(c).split()))
-            elif c.tag != "gap":
+            elif c.tag != "gap" and not c.gone:
                 node.chars += c.chars
                 node.tags += c.tags
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
+
+
+def settled(root: Node) -> list[Node]:
+    """Nodes in page order, counted, after forms and page headers have been judged."""
+    nodes = in_order(root)
+    if any(n.tag in ("form", "header") for n in nodes):
+        voids = [n.tags for n in nodes]
+        count(nodes)
+        most = root.chars / 2
+        titles = [n for n in nodes if n.tag == "h1"]
+        title = titles[0] if len(titles) == 1 and not titles[0].link_chars else None
+        for n in nodes:
+            if n.tag == "form" and n.chars <= most:
+                n.gone = True
+            elif n.tag == "header" and not n.inside:
+                if title is not None and _holds(n, title):
+                    n.children = [title]
+                    title.parent = n
+                else:
+                    n.gone = True
+        for n, tags in zip(nodes, voids):
+            n.chars = n.link_chars = n.link_tags = 0
+            n.tags = tags
+        nodes = in_order(root)
+    count(nodes)
+    return nodes
+
+
+def _holds(node: Node, other: Node) -> bool:
+    while other is not None and other is not node:
+        other = other.parent
+    return other is node
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts and densities of all nodes; the nodes in page order."""
+    nodes = settled(root)
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
         c, t, lc, lt = node.chars, node.tags, max(node.link_chars, 1), max(node.link_tags, 1)
@@ -185,40 +280,40 @@ def measure(root: Node) -> list[Node]:
             node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)), 1e-6) / base
     for node in nodes:
         if node.tag in BLOCK:  # inline elements count as tags of the block around them, not as subtrees
-            node.total = sum(k.density for k in node.children if type(k) is Node and k.tag in BLOCK)
+            node.total = sum(k.density for k in blocks_below(node))
     return nodes
 
 
-def kept_nodes(root: Node) -> set[int]:
-    """Orders of the subtrees that make the main text."""
+def blocks_below(node: Node) -> list[Node]:
+    return [k for k in node.children if type(k) is Node and k.tag in BLOCK and not k.gone]
+
+
+def kept_nodes(root: Node) -> tuple[set[int], set[int]]:
+    """Orders of the subtrees that make the main text, and of those within them that do not."""
     nodes = measure(root)
-    best = max(nodes, key=lambda n: (n.total, -n.order))
-    if best.total <= 0:
-        return {0}
-    threshold, node, core = best.density, best, best
-    while node.parent is not None:
-        threshold = min(threshold, node.density)
-        if node.tag in ("article", "main"):
-            core = node  # an element that is the article by its name is kept whole
+    core = max(nodes, key=lambda n: (n.total, -n.order))
+    if core.total <= 0:
+        return {0}, set()
+    while core.parent is not None and core.parent.block.density >= core.density:
+        core = core.parent.block
+    path, node = [core], core.parent
+    while node is not None:
+        path.append(node)
         node = node.parent
-    kept, todo = {core.order}, [root]
-    while todo:
-        node = todo.pop()
-        if node is core:
-            continue
-        if _above(node, core):
-            todo += [k for k in node.children if type(k) is Node and k.tag in BLOCK]
-        elif node.density >= threshold and core.tag not in ("article", "main"):
-            kept.add(node.order)
-    return kept
+    threshold, kept = min([core.density, *(n.density for n in path[1:-1] if n.tag in BLOCK)]), {core.order}
+    usual = max(threshold, core.total / max(len(blocks_below(core)), 1))
+    for below, node in zip(path, path[1:]):
+        children = blocks_below(node)
+        place = children.index(below) if below in children else len(children)
+        # a block without blocks is held against those of the core
+        kept |= {k.order for i, k in enumerate(children) if k is not below and (k.density >= (threshold if blocks_below(k) else usual) or k.tag in HEADINGS and i < place and mostly_text(k))}
+        kept |= {k.children[0].order for k in children[:place] if k.tag == "header"}
+    lists = {n.order for n in nodes if n.tag in BLOCK and n not in path and not mostly_text(n) and n.density < threshold}
+    return kept, lists
 
 
-def _above(node: Node, other: Node) -> bool:
-    while other is not None:
-        if other is node:
-            return True
-        other = other.parent
-    return False
+def mostly_text(node: Node) -> bool:
+    return node.link_chars < LINKS * node.chars or not node.chars
 
 
 def main_text(page: str) -> str:
@@ -230,7 +325,7 @@ def main_text(page: str) -> str:
 
 
 def text_of(root: Node) -> str:
-    kept = kept_nodes(root)
+    kept, lists = kept_nodes(root)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -246,10 +341,10 @@ def text_of(root: Node) -> str:
             if inside:
                 line.append(html.unescape(item))
             continue
-        if item is None or item.tag == "gap":
+        if item is None or item.tag == "gap" or item.gone:
             flush()
             continue
-        inside = inside or item.order in kept
+        inside = (inside or item.order in kept) and item.order not in lists
         if item.tag in BLOCK:
             flush()
             todo.append((None, False))

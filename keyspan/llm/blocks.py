@@ -62,7 +62,7 @@ def in_blocks(docs: DataFrame, docs_most: int = BLOCK_DOCS, bytes_most: int = BL
     schema = arrow_schema(COLUMNS)
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         first, count = TaskContext.get().partitionId() << 32, 0
         ids, texts, size = [], [], 0
 
@@ -93,6 +93,12 @@ def opened(ids: bytes, sizes: bytes, texts: bytes) -> tuple[np.ndarray, list[byt
     return np.frombuffer(ids, np.int64), [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def texts_of(sizes: bytes, texts: bytes) -> pa.Array:
+    """The texts of a block as one Arrow array."""
+    offsets = np.append(0, np.cumsum(np.frombuffer(sizes, np.int64)))
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(unpacked(texts)))
+
+
 def parts_for(blocks: DataFrame, words: int = PART_WORDS) -> int:
     """How many parts the hash space needs, so that each has a bounded share of all words."""
     total = blocks.agg(F.sum("words")).first()[0] or 0
@@ -122,6 +128,20 @@ def over_blocks(blocks: DataFrame, make: Callable, columns: list[tuple[str, str]
     return blocks.select("block", "ids", "sizes", "texts", *more).mapInArrow(run, ddl(columns))
 
 
+def over_rows(rows: DataFrame, make: Callable, columns: list[tuple[str, str]]) -> DataFrame:
+    """Rows (tuples in the order of columns) that make()(*values) yields for each row."""
+    schema = arrow_schema(columns)
+
+    def run(batches):
+        work = make()
+        for part in slices(batches, 1):
+            out = list(work(*(c[0].as_py() for c in part.columns)))
+            for at in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[at : at + 1000]), schema)], schema=schema)
+
+    return rows.mapInArrow(run, ddl(columns))
+
+
 def answered(asked: DataFrame, parts: int, answer: Callable, columns: list[tuple[str, str]] | None = None) -> DataFrame:
     """answer(part, blocks, bodies) for each part, over all blocks that asked it; yields rows, by default (block, part, answer)."""
     columns = columns or [("block", "long"), ("part", "long"), ("answer", "binary")]

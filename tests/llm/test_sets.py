@@ -241,36 +241,156 @@ def chat_unescape(text):
 # Language model
 
 
-def test_scores_are_probabilities(spark):
-    """In a context, the model's probabilities of all words, the end and one unknown add up to one."""
-    train = [(k, text) for k, text in zip((i for i in range(1000) if zlib.crc32(str(i).encode()) % 10), ["a b a c", "a b b", "c a b d", "", None, "d d d a b"] * 5)]
-    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0]
+def held_ids(start, end):
+    return [i for i in range(start, end) if zlib.crc32(str(i).encode()) % 10 == 0]
+
+
+TRAIN = ["a b a c", "a b b", "c a b d", "", None, "d d d a b"] * 5
+
+
+def small_corpus(spark, vocabulary):
+    """Training texts; and as held-out texts every pair of words, every word, and the empty text."""
+    train = list(zip((i for i in range(1000) if zlib.crc32(str(i).encode()) % 10), TRAIN))
+    probes = dict(zip(held_ids(1000, 3000), [f"{u} {w}" for u in vocabulary for w in vocabulary] + vocabulary + [""]))
+    return train, probes, spark.createDataFrame(train + list(probes.items()), "doc_id long, text string").selectExpr("*", "0 as score", "false as held_out")
+
+
+def seating_probabilities(texts, vocabulary, sweeps=1500, seed=5):
+    """P(w | u) of the two-level model, by plain Gibbs sampling of customers at tables, averaged over sweeps."""
+    random, d, s, d0, s0 = np.random.default_rng(seed), 0.8, 1.0, 0.6, 10.0
+    tokens = [(u, w) for t in texts for u, w in zip(["<end>", *(t or "").split()], [*(t or "").split(), "<end>"])]
+    uniform = 1 / (len({w for _, w in tokens}) + 1)
+    rooms, above = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+
+    def pick(weights):
+        return int(np.searchsorted(np.cumsum(weights), random.random() * sum(weights)))
+
+    def add(tables, discount, fresh):
+        k = pick([n - discount for n in tables] + [fresh])
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def remove(tables):
+        k = pick(tables)
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def parent(w):
+        n, t = sum(map(sum, above.values())), sum(map(len, above.values()))
+        return (sum(above[w]) - d0 * len(above[w]) + (s0 + d0 * t) * uniform) / (s0 + n)
+
+    def share(u, w):
+        n, t = sum(map(sum, rooms[u].values())), sum(map(len, rooms[u].values()))
+        return (sum(rooms[u][w]) - d * len(rooms[u][w]) + (s + d * t) * parent(w)) / (s + n)
+
+    def enter(u, w):
+        if add(rooms[u][w], d, (s + d * sum(map(len, rooms[u].values()))) * parent(w)):
+            add(above[w], d0, (s0 + d0 * sum(map(len, above.values()))) * uniform)
+
+    for u, w in tokens:
+        enter(u, w)
+    total = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in tokens:
+            if remove(rooms[u][w]):
+                remove(above[w])
+            enter(u, w)
+        if sweep >= 100:
+            for u in [*vocabulary, "<end>"]:
+                for w in [*vocabulary, "<end>"]:
+                    total[u, w] += share(u, w) / (sweeps - 100)
+    return total
+
+
+def test_scores_are_those_of_plain_seating(spark, monkeypatch):
+    """Scores, over a few chains, against plain seating, customer by customer; the probabilities of all words in a context add up to one; whatever the partitions."""
     vocabulary = ["a", "b", "c", "d", "unseen"]
-    probes = dict(zip(held, [f"{u} {w}" for u in vocabulary for w in vocabulary] + vocabulary + [""]))
-    df = spark.createDataFrame(train + list(probes.items()), "doc_id long, text string").selectExpr("*", "0 as score", "false as held_out")
+    train, probes, df = small_corpus(spark, vocabulary)
+    want = seating_probabilities([t for _, t in train], vocabulary)
     got = {r["doc_id"]: r for r in language_model.scored(df).collect()}
-    score = {text: 10 ** got[i]["score"] for i, text in probes.items()}
-    ends = {w: None for w in vocabulary}
-    # P(u w end) = P(u) P(w | u) P(end | w); P(u end) = P(u) P(end | u)
-    first = score[""]
+    shares = {}  # P(w | u), from the scores of texts that differ in one transition
+    score = {text: got[i]["score"] for i, text in probes.items()}
+    chains = [{i: r["score"] for i, r in got.items()}]
+    for seed in (12, 13, 14):
+        monkeypatch.setattr(language_model, "SEED", seed)
+        chains.append({r["doc_id"]: r["score"] for r in language_model.scored(df).collect()})
+    monkeypatch.undo()
+    for i, text in probes.items():
+        words = ["<end>", *text.split(), "<end>"]
+        plain = sum(math.log10(want[u, w]) for u, w in zip(words, words[1:]))
+        mean = np.mean([c[i] for c in chains])
+        assert abs(mean - plain) < 0.12 * (len(words) - 1), (text, mean, plain)
+    # a text "u w" is P(u | end) P(w | u) P(end | w), a text "w" is P(w | end) P(end | w)
+    shares["<end>", "<end>"] = 10 ** score[""]
+    rest = 1 - shares["<end>", "<end>"]
+    # P(end | w) from w w against w: P(w w) / P(w) = P(w | w); all P(w | u) / P(w | end) are known, and P(. | u) adds up to one with P(end | u)
     for u in vocabulary:
-        known = {}
+        ratios = {w: 10 ** (score[f"{u} {w}"] - score[w]) for w in vocabulary}  # = P(u | end) P(w | u) / P(w | end)
+        assert all(v > 0 for v in ratios.values())
         for w in vocabulary:
-            known[w] = score[f"{u} {w}"] / score[w]  # = P(u) P(w | u) / P(w | start)
-        assert all(v > 0 for v in known.values())
-        ends[u] = score[u]
-    assert 0 < first < 1
+            shares[u, w] = ratios[w]
+    # with x(w) = P(w | end): sum over w of ratios(u, w) x(w) = P(u | end) (1 - P(end | u)) = x(u) - P(u)
+    matrix = np.array([[shares[u, w] - (u == w) for w in vocabulary] for u in vocabulary])
+    x = np.linalg.solve(matrix, [-(10 ** score[u]) for u in vocabulary])
+    assert math.isclose(x.sum(), rest, rel_tol=1e-6) and (x > 0).all()
     counts = collections.Counter(w for _, t in train for w in [*(t or "").split(), "<end>"])
     n, v = sum(counts.values()), len(counts)
     row = got[next(i for i, t in probes.items() if t == "a unseen")]
     assert row["train_tokens"] == n and row["n_tokens"] == 3 and row["n_known"] == 2 and row["held_out"]
     assert math.isclose(row["base_score"], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ("a", "unseen", "<end>")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        again = {r["doc_id"]: r["score"] for r in language_model.scored(df.repartition(9)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert again == {i: r["score"] for i, r in got.items()}
 
 
-def test_seating_gives_means_between_one_and_all():
-    count = np.array([0, 1, 2, 50, 3000])
-    tables = language_model.mean_tables(count, np.zeros(5, np.int64), np.array([0.1, 0.1, 0.1, 0.3, 0.4]), 1, 0.8, 1.0)
-    assert tables[0] == 0 and tables[1] == 1 and 1 <= tables[2] <= 2 and 1 < tables[3] < 50 and tables[3] < tables[4] < 3000
+def test_alternating_steps_are_those_of_plain_seating():
+    """The steps of parent and contexts, taken many times in one part, against plain seating."""
+    vocabulary = ["a", "b", "c", "d", "unseen"]
+    want = seating_probabilities(TRAIN, vocabulary, seed=9)
+    names = [*vocabulary, "<end>"]
+    pairs = collections.Counter((u, w) for t in TRAIN for u, w in zip(["<end>", *(t or "").split()], [*(t or "").split(), "<end>"]))
+    own = np.arange(len(names))
+    keys = [(names.index(u), names.index(w), n) for (u, w), n in pairs.items()]
+    context, word, count = (np.array(x) for x in zip(*keys))
+    state = language_model.State.of(own, np.zeros(len(own), bool), context, word, count)
+    random, uniform, above, total = np.random.default_rng(1), 1 / 6, 5.0, np.zeros((6, 6))
+    full = np.zeros((6, 6))
+    full[context, word] = count
+    for turn in range(3000):
+        words = np.zeros(6, np.int64)
+        words[state.words] = state.of_words()[0]
+        tables, mass = language_model.parent_step(words, random.gamma(10.0 / 0.6 + above), uniform, random)
+        above = tables.sum()
+        base = language_model.parent_shares(mass, above, words.sum(), uniform)
+        state.tables = [language_model.seated(state.count, state.context, base[state.words][state.word], state.tables[0], 6, state.single, np.zeros(6), 1, random)]
+        if turn >= 200:
+            t = (full == 1).astype(float)
+            t[state.context, state.words[state.word]] = state.tables[0]
+            words = t.sum(0)
+            tables = language_model.parent_tables(words.astype(np.int64), random.gamma(10.0 / 0.6 + above), uniform, random)
+            share = (words - 0.6 * tables + (10 + 0.6 * tables.sum()) * uniform) / (10 + words.sum())
+            total += (full - 0.8 * t + (1 + 0.8 * t.sum(1))[:, None] * share[None]) / (1 + full.sum(1))[:, None] / 2800
+    got = {(u, w): total[i, j] for i, u in enumerate(names) for j, w in enumerate(names)}
+    assert all(math.isclose(got[k], want[k], rel_tol=0.06) for k in want if k[0] != "unseen"), {k: (got[k], want[k]) for k in want}
+
+
+def test_more_turns_do_not_move_held_out_scores(spark, monkeypatch):
+    total = lambda: language_model.scored(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("held_out").selectExpr("sum(score)").first()[0]
+    usual = total()
+    monkeypatch.setattr(language_model, "ROUNDS", 2 * language_model.ROUNDS)
+    monkeypatch.setattr(language_model, "SWEEPS", 2 * language_model.SWEEPS)
+    monkeypatch.setattr(language_model, "BETWEEN", 2 * language_model.BETWEEN)
+    assert abs(total() / usual - 1) < 0.001
 
 
 def exact_tables(count, base, discount, strength):
@@ -295,8 +415,12 @@ def exact_tables(count, base, discount, strength):
 def test_tables_are_those_of_the_model(discount, strength):
     count, base = [1, 2, 5, 40, 300, 1500], [0.05, 0.1, 0.02, 0.1, 0.3, 0.2]
     want = exact_tables(count, base, discount, strength)
-    got = np.mean([language_model.mean_tables(np.array(count), np.zeros(6, np.int64), np.array(base), 1, discount, strength, seed=s) for s in range(200)], 0)
-    assert np.allclose(got, want, rtol=0.08), (got, want)
+    n = len(count)
+    random, t, mean = np.random.default_rng(2), np.ones(n), np.zeros(n)
+    for _ in range(1500):
+        t = language_model.seated(np.array(count), np.zeros(n, np.int64), np.array(base), t, 1, np.zeros(1), np.zeros(1), 1, random, discount, strength)
+        mean += t / 1500
+    assert np.allclose(mean, want, rtol=0.08), (mean, want)
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):

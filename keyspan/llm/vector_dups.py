@@ -10,12 +10,15 @@ Pairs are looked for among vectors that agree in a group of code bits; the numbe
 with the logarithm of the number of vectors, and there are as many groups (tables) as it takes
 for a pair at the threshold to agree in none of them with a probability of at most MISSED.  A
 pair counts in the first table in which it agrees.  Equal vectors are one row from the start,
-with their number.  A bucket with more than CHUNK rows is parted, and its parts meet in pairs,
-each a task of bounded size; only counts and one link for each row leave a task.
+with their number.  Only buckets and ids are sent until buckets of one vector are gone; then
+codes are fetched.  A bucket with more than CHUNK rows is parted, and its parts meet in pairs,
+each a task of bounded size; only counts and one link for each row leave a task.  Where bounds
+admit a pair, its rows' vectors are fetched, and the pairs that the bounds admit are computed.
 
 Defined results: a vector that is null, empty, zero or holds a null or a component that is not
 finite, or has no label, is linked with nothing and is its own component; vectors of different
-length are never alike; repeated rows are linked; rows that share a vec_id each give a row; a
+length are never alike; a cosine of exactly the threshold links; repeated rows are linked, a
+cluster of any number of them too; rows that share a vec_id each give a row; a
 null vec_id gives a null component; an empty table gives no rows; other columns are not read.
 """
 
@@ -40,7 +43,7 @@ CONFIDENCE = 3.0
 CHUNK = 2048
 SEED = 20240517
 
-ROWS = [("bucket", "long"), ("turn", "int"), ("rep", "long"), ("keys", "binary"), ("code", "binary"), ("factor", "float"), ("turned", "binary"), ("scale", "float")]
+CODES = [("rep", "long"), ("buckets", "array<long>"), ("keys", "binary"), ("code", "binary"), ("factor", "float"), ("turned", "binary"), ("scale", "float")]
 
 
 def rotations(size: int, number: int) -> np.ndarray:
@@ -71,7 +74,7 @@ class Coder:
         first = y[:, :size]
         factor = np.abs(first).sum(1) / math.sqrt(size)
         scale = np.abs(first).max(1) / 127
-        return keys, first > 0, factor, np.rint(first / scale[:, None]).astype(np.int8), scale
+        return keys, signs, first > 0, factor, np.rint(first / scale[:, None]).astype(np.int8), scale
 
 
 def upper_bounds(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -125,43 +128,53 @@ def matrix(rows: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
-def pair_filter(group: dict):
+def pair_filter(group: dict, bits: int):
     """What a pair of rows must meet to count here: from different parts, if two meet, and in no earlier table together."""
-    keys, turn = matrix(group["keys"], np.int64), group["turn"][0]
+    turn = group["turn"][0]
+    signs = np.unpackbits(matrix(group["keys"], np.uint8), axis=1)[:, : turn * bits].reshape(len(group["keys"]), turn, bits)
+    keys = signs @ (1 << np.arange(bits, dtype=np.int64))
     part, crossing = np.array(group["part"]), group["i"][0] != group["j"][0]
 
     def counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        fits = ~(keys[a, :turn] == keys[b, :turn]).any(1)
+        fits = ~(keys[a] == keys[b]).any(1)
         return fits & (part[a] != part[b]) if crossing else fits
 
     return counts
 
 
-def hits(threshold: float):
+def admitted(group: dict, threshold: float, counts):
+    """Pairs of rows, a block at a time, whose bound reaches the threshold and that count here."""
+    n, size = len(group["rep"]), len(group["turned"][0])
+    code = np.unpackbits(matrix(group["code"], np.uint8), axis=1)[:, :size].astype(bool)
+    factor, turned, scale = np.array(group["factor"]), matrix(group["turned"], np.int8), np.array(group["scale"])
+    for start in range(0, n, 512):
+        own = slice(start, start + 512)
+        bound = np.maximum(upper_bounds(code[own], factor[own], turned, scale), upper_bounds(code, factor, turned[own], scale[own]).T)
+        a, b = np.nonzero(bound >= threshold)
+        a += start
+        a, b = a[a < b], b[a < b]
+        fits = counts(a, b)
+        yield a[fits], b[fits]
+
+
+def hits(threshold: float, bits: int):
     def work(group: dict):
         """The rows that have a pair whose bound reaches the threshold."""
         n = len(group["rep"])
         if n < 2:
             return []
-        size = len(group["turned"][0])
-        code = np.unpackbits(matrix(group["code"], np.uint8), axis=1)[:, :size].astype(bool)
-        factor, turned, scale = np.array(group["factor"]), matrix(group["turned"], np.int8), np.array(group["scale"])
-        counts, found = pair_filter(group), np.zeros(n, bool)
-        for start in range(0, n, 512):
-            own = slice(start, start + 512)
-            bound = np.maximum(upper_bounds(code[own], factor[own], turned, scale), upper_bounds(code, factor, turned[own], scale[own]).T)
-            a, b = np.nonzero(bound >= threshold)
-            a += start
-            a, b = a[a < b], b[a < b]
-            fits = counts(a, b)
-            found[a[fits]] = found[b[fits]] = True
-        k = np.flatnonzero(found).tolist()
-        return [(group["bucket"][0], group["i"][0], group["j"][0], group["rep"][x], group["turn"][0], group["part"][x], group["keys"][x]) for x in k]
+        found = np.zeros(n, bool)
+        for a, b in admitted(group, threshold, pair_filter(group, bits)):
+            found[a] = found[b] = True
+        return [tuple(group[c][x] for c in HITS) for x in np.flatnonzero(found).tolist()]
 
     return work
 
 
-def linked(threshold: float):
+HITS = ["bucket", "i", "j", "rep", "turn", "part", "keys", "code", "factor", "turned", "scale"]
+
+
+def linked(threshold: float, bits: int):
     def work(group: dict):
         """For each row that has a link here: the copies of what it is linked with, and the smallest vector it reaches here."""
         n = len(group["rep"])
@@ -169,18 +182,17 @@ def linked(threshold: float):
             return []
         x = np.array(group["embedding"], np.float64)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        rep, copies, counts = np.array(group["rep"]), np.array(group["copies"]), pair_filter(group)
+        rep, copies = np.array(group["rep"]), np.array(group["copies"])
         links, left, right = np.zeros(n, np.int64), [], []
-        for start in range(0, n, 512):
-            a, b = np.nonzero(x[start : start + 512] @ x.T >= threshold)
-            a += start
-            a, b = a[a < b], b[a < b]
-            fits = counts(a, b)
-            left.append(a[fits].astype(np.int32))
-            right.append(b[fits].astype(np.int32))
-            np.add.at(links, left[-1], copies[right[-1]])
-            np.add.at(links, right[-1], copies[left[-1]])
-        a, b = np.concatenate(left), np.concatenate(right)
+        for a, b in admitted(group, threshold, pair_filter(group, bits)):
+            for at in range(0, len(a), 1 << 16):
+                i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+                left.append(i[near].astype(np.int32))
+                right.append(j[near].astype(np.int32))
+                np.add.at(links, left[-1], copies[right[-1]])
+                np.add.at(links, right[-1], copies[left[-1]])
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int32) for v in (left, right))
         reach = np.arange(n)  # rows are sorted by rep
         while len(a):
             before = reach.copy()
@@ -202,7 +214,7 @@ def near_equal(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = keyed.where("k0 is not null").groupBy("k0", "k1").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("r"), F.count("*").alias("copies"))
     reps = cut(same.select("k0", "k1", F.col("r.vec_id").alias("rep"), F.col("r.label").alias("label"), F.col("r.embedding").alias("embedding"), "copies"))
     bits, tables = tables_for(reps.count(), threshold)
-    schema = arrow_schema(ROWS)
+    schema = arrow_schema(CODES)
 
     def run(batches):
         import xxhash
@@ -212,31 +224,29 @@ def near_equal(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 ids, labels, rows = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
+                out = []
                 for size in {len(r) for r in rows}:
                     own = [k for k, r in enumerate(rows) if len(r) == size]
                     x = np.array([rows[k] for k in own], np.float64)
                     x /= np.abs(x).max(1)[:, None]
                     x /= np.linalg.norm(x, axis=1)[:, None]
-                    keys, code, factor, turned, scale = coder(x)
-                    out = []
+                    keys, signs, code, factor, turned, scale = coder(x)
                     for n, k in enumerate(own):
-                        rest = (ids[k], keys[n].tobytes(), np.packbits(code[n]).tobytes(), float(factor[n]), turned[n].tobytes(), float(scale[n]))
-                        for t in range(tables):
-                            bucket = xxhash.xxh3_64_intdigest(f"{labels[k]} {size} {t} {keys[n, t]}") - (1 << 63)
-                            out.append((bucket, t, *rest))
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
-
-    rows = reps.select("rep", "label", "embedding").mapInArrow(run, ddl(ROWS))
-    rows = cut(rows)
-    crowded = rows.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
-    parted = rows.join(crowded, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+                        buckets = [xxhash.xxh3_64_intdigest(f"{labels[k]} {size} {t} {key}") - (1 << 63) for t, key in enumerate(keys[n].tolist())]
+                        out.append((ids[k], buckets, np.packbits(signs[n]).tobytes(), np.packbits(code[n]).tobytes(), float(factor[n]), turned[n].tobytes(), float(scale[n])))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
+
+    codes = cut(reps.select("rep", "label", "embedding").mapInArrow(run, ddl(CODES)))
+    places = codes.select("rep", F.posexplode("buckets").alias("turn", "bucket"))
+    crowded = places.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
+    parted = places.join(crowded, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).join(codes.drop("buckets"), "rep")
     meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "part").cast("int").alias("i"), F.greatest(x, "part").cast("int").alias("j"))))
     dealt = parted.select("*", meeting.alias("m")).select("*", "m.i", "m.j")
-    hit_columns = [("bucket", "long"), ("i", "int"), ("j", "int"), ("rep", "long"), ("turn", "int"), ("part", "int"), ("keys", "binary")]
-    names = ["bucket", "i", "j", "turn", "rep", "keys", "code", "factor", "turned", "scale", "part"]
-    hit = grouped(dealt, names, hits(threshold), hit_columns)
+    hit_columns = [("bucket", "long"), ("i", "int"), ("j", "int"), ("rep", "long"), ("turn", "int"), ("part", "int"), *CODES[2:]]
+    names = ["bucket", "i", "j", "turn", "rep", *(c for c, _ in CODES[2:]), "part"]
+    hit = grouped(dealt, names, hits(threshold, bits), hit_columns)
     exact = hit.join(reps.select("rep", "embedding", "copies"), "rep")
-    found = cut(grouped(exact, ["bucket", "i", "j", "turn", "rep", "keys", "part", "embedding", "copies"], linked(threshold), [("rep", "long"), ("links", "long"), ("least", "long")]))
+    found = cut(grouped(exact, [*names, "embedding", "copies"], linked(threshold, bits), [("rep", "long"), ("links", "long"), ("least", "long")]))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     ends = reps.select("k0", "k1", "rep", "copies").join(links, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")

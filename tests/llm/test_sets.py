@@ -148,7 +148,8 @@ def test_prefixes_of_unequal_sets_meet(spark):
     found = ngram_join.B.in_blocks(spark.createDataFrame(docs, "doc_id long, text string")).cache()
     profiled = ngram_join.profiles(found, 4).cache()
     reps = profiled.where("kind = 0").selectExpr("doc", "block", "doc as class")
-    got = {(r["a"], r["b"]) for r in ngram_join.prefix_pairs(found, reps, ngram_join.sketch(profiled), 4, 85).collect()}
+    number = {r["doc"]: r["id"] for r in profiled.where("kind = 0").select("doc", "id").collect()}
+    got = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in ngram_join.prefix_pairs(found, reps, ngram_join.sketch(profiled), 4, 85).collect()}
     grams = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in docs)}
     want = {(a, b) for a in grams for b in grams if a < b and 100 * len(grams[a] & grams[b]) >= 85 * len(grams[a] | grams[b])}
     assert len(want) > 24 and want <= got
@@ -191,12 +192,36 @@ def test_vector_estimates_are_unbiased_within_their_bounds():
     y = x + random.standard_normal((300, 64)) * 0.02
     y /= np.linalg.norm(y, axis=1)[:, None]
     coder = vector_dups.Coder(8, 8)
-    _, code, factor, _, _ = coder(x)
-    _, _, _, turned, scale = coder(y)
+    _, _, code, factor, _, _ = coder(x)
+    _, _, _, _, turned, scale = coder(y)
     bound = vector_dups.upper_bounds(code, factor, turned, scale)
     assert (bound >= x @ y.T).mean() > 0.998 and (np.diag(bound) >= np.sum(x * y, 1)).all()
 
 
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_all_links_are_found(spark, size):
+    """Recall at two sizes, against all pairs of a label, with near copies about the threshold put in."""
+    df = spark.read.parquet(f"/root/testdata/sf{size}/embeddings.parquet").select("vec_id", "label", "embedding")
+    random, copies = np.random.default_rng(6), []
+    for r in df.where("vec_id % 3 = 0 and size(embedding) > 0").collect():
+        e = np.array([0.0 if v is None else v for v in r["embedding"]])
+        noise = random.standard_normal(len(e)) * np.linalg.norm(e) / np.sqrt(len(e)) * random.uniform(0.1, 0.3)
+        copies.append((r["vec_id"] + 1_000_000, r["label"], [float(np.float32(v)) for v in e + noise]))
+    df = df.unionByName(spark.createDataFrame(copies, df.schema))
+    rows = [(r["vec_id"], r["label"], np.array(r["embedding"], float)) for r in df.where("label is not null and size(embedding) > 0").collect() if r["embedding"] and None not in r["embedding"]]
+    rows = [(i, k, e / n) for i, k, e in rows if np.isfinite(e).all() and (n := np.linalg.norm(e)) > 0]
+    want = collections.Counter()
+    for label in {k for _, k, _ in rows}:
+        ids, x = zip(*((i, e) for i, k, e in rows if k == label))
+        x = np.stack(x)
+        for start in range(0, len(x), 1000):
+            near = (x[start : start + 1000] @ x.T >= 0.98).sum(1) - 1
+            want.update(dict(zip(ids[start : start + 1000], near.tolist())))
+    got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_equal(df).collect()}
+    assert sum(want.values()) > 0 and all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.9999 * sum(want.values())
+
+
 def test_hot_buckets_are_parted(spark, monkeypatch):
     monkeypatch.setattr(vector_dups, "CHUNK", 16)
     random = np.random.default_rng(4)

@@ -86,13 +86,6 @@ def in_blocks(docs: DataFrame, docs_most: int = BLOCK_DOCS, bytes_most: int = BL
     return docs.select("doc_id", "text").mapInArrow(run, ddl(COLUMNS))
 
 
-def opened(ids: bytes, sizes: bytes, texts: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Document ids and texts of a block."""
-    data = unpacked(texts)
-    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-    return np.frombuffer(ids, np.int64), [data[a:b] for a, b in zip([0, *ends], ends)]
-
-
 def texts_of(sizes: bytes, texts: bytes) -> pa.Array:
     """The texts of a block as one Arrow array."""
     offsets = np.append(0, np.cumsum(np.frombuffer(sizes, np.int64)))
@@ -114,18 +107,13 @@ def split_by(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def over_blocks(blocks: DataFrame, make: Callable, columns: list[tuple[str, str]], *more: str) -> DataFrame:
-    """Rows (tuples in the order of columns) that make()(block, ids, texts, *more) yields for each block."""
-    schema = arrow_schema(columns)
+    """Rows (tuples in the order of columns) that make()(block, ids, texts, *more) yields for each block; texts as an Arrow array."""
 
-    def run(batches):
+    def opened():
         work = make()
-        for part in slices(batches, 1):
-            values = [c[0].as_py() for c in part.columns]
-            rows = list(work(values[0], *opened(*values[1:4]), *values[4:]))
-            for at in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows[at : at + 1000]), schema)], schema=schema)
+        return lambda block, ids, sizes, texts, *rest: work(block, np.frombuffer(ids, np.int64), texts_of(sizes, texts), *rest)
 
-    return blocks.select("block", "ids", "sizes", "texts", *more).mapInArrow(run, ddl(columns))
+    return over_rows(blocks.select("block", "ids", "sizes", "texts", *more), opened, columns)
 
 
 def over_rows(rows: DataFrame, make: Callable, columns: list[tuple[str, str]]) -> DataFrame:

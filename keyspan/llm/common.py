@@ -15,8 +15,6 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double":
 
 #: Rows that are turned into Python objects at once; Arrow batches may be larger.
 SLICE = 256
-#: Entries after which a task empties its cache of word hashes, so that it stays bounded.
-CACHE = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,55 +81,6 @@ def map_texts(docs: DataFrame, make: Callable, columns: list[tuple[str, str]], k
     return map_batches(docs, make_batch, columns, key, text)
 
 
-class Numbered(dict):
-    """Numbers for words, given as they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
-def word_hasher() -> Callable[[list[bytes]], np.ndarray]:
-    """A function from words to an array of shape (words, 2): 128-bit hashes as two unsigned halves."""
-    numbers, table, filled = Numbered(), np.empty((1 << 16, 2), np.uint64), 0
-
-    def places(words: list[bytes]) -> np.ndarray:
-        nonlocal numbers, table, filled
-        if len(numbers) > CACHE:
-            numbers, filled = Numbered(), 0
-        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        if new := numbers.new:
-            while len(table) < filled + len(new):
-                table = np.concatenate([table, np.empty_like(table)])
-            table[filled : filled + len(new)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), np.uint64).reshape(-1, 2)[:, ::-1]
-            filled += len(new)
-            new.clear()
-        return at
-
-    def hashes(words: list[bytes]) -> np.ndarray:
-        at = places(words)  # may replace the table
-        return table[at]
-
-    def distinct(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct 64-bit hashes, and for each word its place among them; only the distinct ones are sorted."""
-        at = places(words)
-        seen = np.zeros(filled, bool)
-        seen[at] = True
-        own = np.flatnonzero(seen)
-        order = np.argsort(table[own, 0])
-        rank = np.empty(filled, np.int64)
-        rank[own[order]] = np.arange(len(own))
-        return table[own[order], 0], rank[at]
-
-    hashes.distinct = distinct
-    return hashes
-
-
 def numbered_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words of some texts, the number of each word in its place among them, and how many words each text has.
 
@@ -158,6 +107,11 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
+def hashed_twice(words: list[bytes]) -> np.ndarray:
+    """128-bit hashes, as rows of two halves."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
 def windows(h: np.ndarray, size: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of each run of `size` consecutive entries of h (unsigned 64-bit, modulo 2**64)."""
     n = len(h) - size + 1

@@ -22,13 +22,16 @@ group of near copies, whose members are in one class by then, gives no pairs.  N
 by this, as any two members of a class are connected already.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text
-of fewer than `size` words has its whole sequence as its only n-gram; rows that share a doc_id
-each give a row; rows with a null doc_id are linked with nothing and have no component; an
-empty table gives no rows; other columns are not read.
+of fewer than `size` words has its whole sequence as its only n-gram; texts are read whole, however
+long; equal texts are in one class; rows that share a doc_id are rows of their own, each linked by
+its own text; rows with a null doc_id are linked with nothing and have no component; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import arrow_schema, ddl, map_texts, mixed, raw, windows, word_hasher
+from .common import arrow_schema, ddl, hashed, map_texts, mixed, numbered_words, windows
 from .components import connected
 
 SIZE, PERCENT = 4, 85
@@ -52,19 +55,18 @@ KEYS, ROUNDS = 4, 2
 SALTED = 500
 SEEDS = [0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(2 * KEYS)]
 
-PROFILE = [("kind", "int"), ("doc", "long"), ("block", "long"), ("n", "long"), ("s0", "long"), ("s1", "long"), ("keys", "array<long>"), ("body", "binary")]
+PROFILE = [("kind", "int"), ("doc", "long"), ("id", "long"), ("text_key", "string"), ("block", "long"), ("n", "long"), ("s0", "long"), ("s1", "long"), ("keys", "array<long>"), ("body", "binary")]
 
 
 class Sets:
     """Sorted distinct n-gram hashes of the documents of a block, one after the other."""
 
-    def __init__(self, hashes, texts: list[bytes], size: int):
-        words = [t.lower().split() for t in texts]
-        h = hashes([w for ws in words for w in ws])[:, 0]
+    def __init__(self, texts: pa.Array, size: int):
+        distinct, index, sizes = numbered_words(texts, lower=True)
+        h = hashed(distinct)[index]
         grams = windows(h, size)
         at, found = 0, []
-        for ws in words:
-            n = len(ws)
+        for n in sizes.tolist():
             if n >= size:
                 found.append(np.unique(grams[at : at + n - size + 1]))
             elif n:
@@ -84,28 +86,32 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def profiles(found: DataFrame, size: int) -> DataFrame:
-    """Kind 0: a document with its set's size, 128-bit hash and minimal-hash keys; kind 1: a piece of the task's sketch."""
+#: Documents of a block, at most; a row's number is its block's times this, plus its place.
+PLACES = B.BLOCK_DOCS
+
+
+def profiles(found: DataFrame, size: int, text_keys: bool = False) -> DataFrame:
+    """Kind 0: a row with its set's size, 128-bit hash and minimal-hash keys, and its text's hash if that is wanted; kind 1: a piece of the task's sketch."""
     schema = arrow_schema(PROFILE)
 
     def run(batches):
-        hashes, cells = word_hasher(), np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for k in range(batch.num_rows):
-                block, *rest = (c[k].as_py() for c in batch.columns)
-                ids, texts = B.opened(*rest)
-                rows = []
-                sets = Sets(hashes, texts, size).sets
-                for doc, s in zip(ids.tolist(), sets):
+                block, ids, *rest = (c[k].as_py() for c in batch.columns)
+                texts, rows = B.texts_of(*rest), []
+                sets = Sets(texts, size).sets
+                text_key = [md5(t, usedforsecurity=False).hexdigest() for t in texts.cast(pa.binary()).to_numpy(zero_copy_only=False)] if text_keys else [None] * len(sets)
+                for place, (doc, s) in enumerate(zip(np.frombuffer(ids, np.int64).tolist(), sets)):
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     keys = []
                     if len(s):
                         low = [int(mixed(s ^ np.uint64(seed)).min()) for seed in SEEDS]
                         keys = [signed(xxhash.xxh3_64_intdigest(f"{j} {low[2 * j]} {low[2 * j + 1]}")) for j in range(KEYS)]
-                    rows.append((0, doc, block, len(s), signed(whole & (1 << 64) - 1), signed(whole >> 64), keys, None))
+                    rows.append((0, block * PLACES + place, doc, text_key[place], block, len(s), signed(whole & (1 << 64) - 1), signed(whole >> 64), keys, None))
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
-        rows = [(1, k, None, None, None, None, None, B.packed(piece.tobytes())) for k, piece in enumerate(np.split(cells, PIECES))]
+        rows = [(1, k, None, None, None, None, None, None, None, B.packed(piece.tobytes())) for k, piece in enumerate(np.split(cells, PIECES))]
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
     return found.select("block", "ids", "sizes", "texts").mapInArrow(run, ddl(PROFILE))
@@ -146,12 +152,11 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        hashes = word_hasher()
         centre = None
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                sets = Sets(hashes, [B.unpacked(x) for x in raw(part.column(3))], size).sets
+                sets = Sets(pa.array([B.unpacked(x) for x in part.column(3).to_pylist()], pa.binary()).cast(pa.string()), size).sets
                 rows = []
                 for b, a, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets):
                     if a is None:
@@ -173,24 +178,34 @@ def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def make():
         def work(block, ids, texts, docs):
-            wanted = set(docs)
-            for doc, text in zip(ids.tolist(), texts):
-                if doc in wanted:
-                    wanted.discard(doc)
-                    yield doc, B.packed(text)
+            for doc in docs:
+                yield doc, B.packed(texts[doc % PLACES].as_py().encode())
 
         return work
 
     return B.over_blocks(found.join(listed, "block"), make, [("doc", "long"), ("text", "binary")], "wanted")
 
 
+def spread_join(rows: DataFrame, small: DataFrame, on: list[str], many: str) -> DataFrame:
+    """rows (with a column doc) left joined with `small`, whose keys are unique and whose column `many` tells how many rows have each.
+
+    Rows of a key with more than SALTED of them are dealt over all tasks, and the key's one row is copied to each.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = small.where(F.col(many) > SALTED).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    both = rows.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(tasks)).cast("int")).join(hot, [*on, "_salt"], "left")
+    met = both.where(F.col(many).isNotNull()).drop("_salt")
+    rest = both.where(F.col(many).isNull()).select(*rows.columns).join(small.where(F.col(many) <= SALTED), on, "left")
+    return met.unionByName(rest)
+
+
 def key_pairs(reps: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
     """Each representative with the first one of each of its keys (first by a hash that differs between rounds), if they are of different classes."""
     now = reps if classes is None else reps.join(classes, reps.doc == classes.node, "left").drop("node")
     now = now.select("doc", "n", (F.col("doc") if classes is None else F.coalesce("component", "doc")).alias("class"), F.explode("keys").alias("key"))
     order = F.struct((F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")).alias("o"), "doc", "n", "class")
-    first = now.groupBy("key").agg(F.min(order).alias("c"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("key", F.col("c.doc").alias("b"), F.col("c.n").alias("bn"), F.col("c.class").alias("bc"))
-    return now.join(first, "key").where("class <> bc").select(F.col("doc").alias("a"), "b", "n", "bn").distinct()
+    first = now.groupBy("key").agg(F.min(order).alias("c"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("many")).where("c0 <> c1").select("key", "many", F.col("c.doc").alias("b"), F.col("c.n").alias("bn"), F.col("c.class").alias("bc"))
+    return spread_join(now, first, ["key"], "many").where("class <> bc").select(F.col("doc").alias("a"), "b", "n", "bn").distinct()
 
 
 def needed_overlap(m, n, percent: int):
@@ -208,12 +223,12 @@ def prefixes(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int,
     usual = float(np.median(counters))
 
     def make():
-        hashes, cells = word_hasher(), shared.value
+        cells = shared.value
 
         def work(block, ids, texts, reps):
             classes = {r["doc"]: r["class"] for r in reps}
             docs, tokens = [], []
-            for doc, s in zip(ids.tolist(), Sets(hashes, texts, size).sets):
+            for doc, s in enumerate(Sets(texts, size).sets, block * PLACES):
                 if not len(s) or doc not in classes:
                     continue
                 n, least = len(s), least_overlap(len(s), percent)
@@ -394,12 +409,13 @@ def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed:
         at = to
 
 
-def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc, n and component for each row of docs (doc_id, text) with an id."""
-    found = B.cut(B.in_blocks(docs.where("doc_id is not null")))
-    profiled = B.cut(profiles(found, size))
-    documents = profiled.where("kind = 0").drop("kind", "body")
-    same = documents.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("doc", "block", "n", "keys")).alias("r"))
+def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text_keys: bool = False) -> DataFrame:
+    """For each row of docs (doc_id, text): its number doc, its id, n, text_key; component, the smallest id of its class, and first, the number of the class's first row (by id, a null id last)."""
+    found = B.cut(B.in_blocks(docs))
+    profiled = B.cut(profiles(found, size, text_keys))
+    documents = profiled.where("kind = 0").drop("kind", "body", "keys", "block")
+    least = F.min(F.struct((F.col("id") == B.NULL_ID).alias("none"), "id", "doc")).alias("least")
+    same = profiled.where("kind = 0 and n > 0").groupBy("s0", "s1").agg(F.min(F.struct("doc", "block", "n", "keys")).alias("r"), F.count("*").alias("copies"), least)
     reps = same.select("r.doc", "r.block", "r.n", "r.keys")
     links, classes = None, None
     fits = F.col("bn") * 100 >= F.col("n") * percent
@@ -407,7 +423,7 @@ def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = B.cut(pairs)
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct().join(reps.select("doc", "block"), "doc")
+        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct().select("doc", F.floor(F.col("doc") / PLACES).alias("block"))
         return B.cut(verified(pairs, B.cut(texts_of(found, wanted)), size, percent))
 
     for turn in range(ROUNDS):
@@ -417,22 +433,38 @@ def classes_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     with_class = reps.join(classes, reps.doc == classes.node, "left").select("doc", "block", F.coalesce("component", "doc").alias("class"))
     links = links.union(alike(prefix_pairs(found, with_class, sketch(profiled), size, percent)))
     final = connected(links)
-    members = documents.join(same.select("s0", "s1", F.col("r.doc").alias("rep")), ["s0", "s1"], "left")
-    return members.join(final, members.rep == final.node, "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
+    # each set's class, and of each class the first row
+    rooted = same.select("s0", "s1", "copies", "least", F.col("r.doc").alias("doc")).join(final, F.col("doc") == F.col("node"), "left").select("s0", "s1", "copies", "least", "doc", F.coalesce("component", "doc").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("sets"))
+    known = B.cut(spread_join(rooted, firsts, ["root"], "sets").select("s0", "s1", "copies", "first"))
+    members = spread_join(documents, known, ["s0", "s1"], "copies")
+    return members.select("doc", "id", "n", "text_key", F.coalesce("first.id", "id").alias("component"), F.coalesce("first.doc", "doc").alias("first"))
 
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    compared = classes_of(docs, size, percent).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    compared = classes_of(docs.where("doc_id is not null"), size, percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
     def make():
-        hashes = word_hasher()
-        return lambda _, text: (len(Sets(hashes, [text], size).sets[0]), None)
+        return lambda _, text: (len(Sets(pa.array([text], pa.binary()).cast(pa.string()), size).sets[0]), None)
 
     return compared.unionByName(map_texts(docs.where("doc_id is null"), make, [("doc_id", "long"), ("n_shingles", "long"), ("component_id", "long")]))
 
 
 def one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """docs without those that another document with a smaller doc_id stands for; rows without an id stay."""
-    gone = classes_of(docs, size, percent).where("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class: the first by doc_id, rows without an id last; of rows that are equal in doc_id and text one.
+
+    Rows with an empty set are in a class of their own.  Rows are told apart by doc_id and text.
+    """
+    rows = classes_of(docs, size, percent, text_keys=True)
+    by_text = rows.groupBy("id", "text_key").agg(F.max((F.col("doc") == F.col("first"))).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1")
+    marked = B.cut(by_text.select(F.nullif("id", F.lit(B.NULL_ID)).alias("_id"), F.col("text_key").alias("_key"), "stays"))
+    keyed = docs.withColumn("_text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+    def those(mark: DataFrame, how: str) -> DataFrame:
+        m = mark.select("_id", "_key")
+        return keyed.join(m, keyed["doc_id"].eqNullSafe(m["_id"]) & (keyed["_text_key"] == m["_key"]), how)
+
+    once = those(marked, "left_anti")
+    repeated = those(marked.where("stays"), "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return once.unionByName(repeated).select(*docs.columns)

@@ -20,14 +20,16 @@ keep their words; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import map_texts, windows, word_hasher
+from .common import hashed_twice, map_texts, mixed, numbered_words, windows
 
 COLUMNS = [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
 WINDOW = 13
@@ -40,12 +42,11 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 class Words:
     """The words of a block's documents in one row of numbers."""
 
-    def __init__(self, hashes, texts: list[bytes]):
-        words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
+    def __init__(self, texts: pa.Array):
+        distinct, index, self.sizes = numbered_words(texts)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(words)), self.sizes)
-        self.hash = hashes([w for ws in words for w in ws])
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.hash = hashed_twice(distinct)[index]
         self.place = np.arange(len(self.doc)) - self.starts[self.doc]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +68,17 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each anchor, by all its bits; of these only 48 are sent, so that two anchors of a part may be taken for one, which only adds candidates."""
+    return (mixed(keys) % np.uint64(parts)).astype(np.int64)
+
+
 def shared_anchors(found: DataFrame, parts: int) -> DataFrame:
     """Per block and part, a bit for each distinct anchor of the block: whether another document has it too."""
 
     def make():
-        hashes = word_hasher()
-
         def work(block, ids, texts):
-            words = Words(hashes, texts)
+            words = Words(texts)
             at, anchor = words.anchors()
             keys, inverse = distinct(anchor)
             docs = ids[words.doc[at]]
@@ -82,7 +86,7 @@ def shared_anchors(found: DataFrame, parts: int) -> DataFrame:
             np.minimum.at(least, inverse, docs)
             np.maximum.at(most, inverse, docs)
             many = least < most
-            for p, k in B.split_by((keys >> np.uint64(48)).astype(np.int64) % parts, parts):
+            for p, k in B.split_by(part_of(keys, parts), parts):
                 yield p, block, len(k).to_bytes(8, "little") + B.six_bytes(keys[k]) + np.packbits(many[k]).tobytes()
 
         return work
@@ -105,7 +109,7 @@ def candidate_windows(words: Words, answers: list, parts: int) -> np.ndarray:
     at, anchor = words.anchors()
     keys, inverse = distinct(anchor)
     shared = np.zeros(len(keys), bool)
-    for (_, k), bits in zip(B.split_by((keys >> np.uint64(48)).astype(np.int64) % parts, parts), B.in_order(answers)):
+    for (_, k), bits in zip(B.split_by(part_of(keys, parts), parts), B.in_order(answers)):
         shared[k] = B.bits_of(bits, len(k))
     return words.around(at[shared[inverse]])
 
@@ -126,10 +130,8 @@ def with_windows(found: DataFrame, parts: int) -> DataFrame:
     with_anchors = B.with_answers(found, B.cut(shared_anchors(found, parts)), "anchors")
 
     def make():
-        hashes = word_hasher()
-
         def work(block, ids, texts, answers):
-            words = Words(hashes, texts)
+            words = Words(texts)
             at = candidate_windows(words, answers, parts)
             keys, inverse = window_keys(words, at)
             least = np.full(len(keys), np.iinfo(np.int64).max)
@@ -174,35 +176,44 @@ def removed_words(words: Words, ids: np.ndarray, anchors: list, answers: list, p
 
 
 def kept_rows(docs: DataFrame, columns: list[tuple[str, str]], make) -> DataFrame:
-    """make()(doc_id, text, for each word whether it goes) for each document with an id."""
+    """What make()(text, its words joined by a space, their number, for each word whether it goes or None) gives, if it is not None, for each document with an id."""
     found = B.cut(B.in_blocks(docs.where("doc_id is not null")))
     parts = B.parts_for(found)
 
     def make_block():
-        hashes, work = word_hasher(), make()
+        work = make()
 
         def rows(block, ids, texts, anchors, answers):
-            words = Words(hashes, texts)
+            words = Words(texts)
             gone = removed_words(words, ids, anchors, answers, parts)
-            for doc, text, start, size in zip(ids.tolist(), texts, words.starts.tolist(), words.sizes.tolist()):
-                yield doc, *work(text, gone[start : start + size])
+            touched = np.bincount(words.doc, gone, len(ids)) > 0
+            joined = pc.binary_join(pc.ascii_split_whitespace(texts), " ").cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            texts = texts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            for doc, text, own, start, size, any_ in zip(ids.tolist(), texts, joined, words.starts.tolist(), words.sizes.tolist(), touched.tolist()):
+                if (row := work(text, own.strip(b" "), size, gone[start : start + size] if any_ else None)) is not None:
+                    yield doc, *row
 
         return rows
 
     return B.over_blocks(with_windows(found, parts), make_block, columns, "anchors", "windows")
 
 
-def digest(text: bytes, gone: np.ndarray) -> tuple[int, int, str]:
+def digest(text: bytes, joined: bytes, size: int, gone: np.ndarray | None) -> tuple[int, int, str]:
+    if gone is None:
+        return size, 0, sha256(joined).hexdigest()
+    kept = [w for w, g in zip(joined.split(b" "), gone.tolist()) if not g]
+    return size, size - len(kept), sha256(b" ".join(kept)).hexdigest()
+
+
+def alone(text: bytes) -> tuple[int, int, str]:
     words = text.split()
-    kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
-    return len(words), len(words) - len(kept), sha256(b" ".join(kept)).hexdigest()
+    return len(words), 0, sha256(b" ".join(words)).hexdigest()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text)."""
     compared = kept_rows(docs, COLUMNS, lambda: digest)
-    alone = map_texts(docs.where("doc_id is null"), lambda: lambda _, t: digest(t, np.zeros(0, bool)), COLUMNS)
-    return compared.unionByName(alone)
+    return compared.unionByName(map_texts(docs.where("doc_id is null"), lambda: lambda _, t: alone(t), COLUMNS))
 
 
 def without_passages(text: bytes, gone: np.ndarray) -> bytes | None:
@@ -221,14 +232,22 @@ def without_passages(text: bytes, gone: np.ndarray) -> bytes | None:
     return b"".join([*out, text[at:]]).rstrip()
 
 
+def changed_text(text: bytes, joined: bytes, size: int, gone: np.ndarray | None) -> tuple[str, str | None] | None:
+    """For a text that changes: its hash, and what is left."""
+    if gone is None:
+        return None
+    new = without_passages(text, gone)
+    return md5(text, usedforsecurity=False).hexdigest(), None if new is None else new.decode()
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without repeated passages, and without documents that are nothing else; the columns stay.
 
+    Rows are told apart by doc_id and text, so that rows that share a doc_id keep their own texts.
     n_chars, where it exists, is counted again for texts that changed.
     """
-    changed = kept_rows(docs, [("doc_id", "long"), ("new_text", "string"), ("change", "int")], lambda: lambda t, g: ((new := without_passages(t, g)) and new.decode(), int(g.any())))
-    changed = changed.where("change = 1").groupBy(F.col("doc_id").alias("changed_id")).agg(F.min("new_text").alias("new_text"))
-    joined = docs.join(changed, docs.doc_id == changed.changed_id, "left")
+    changed = kept_rows(docs, [("changed_id", "long"), ("old_text", "string"), ("new_text", "string")], lambda: changed_text).distinct()
+    joined = docs.join(changed, (docs.doc_id == changed.changed_id) & (F.md5(docs.text.cast("binary")) == changed.old_text), "left")
     touched, text = changed["changed_id"].isNotNull(), changed["new_text"]  # by table, as docs may have such columns
     kept = joined.where(~touched | text.isNotNull())
     values = {"text": F.when(touched, text).otherwise(docs.text)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keyspan.functions import hlc, keys
 from keyspan.operators import assertions, dml, mvcc, placement, relational, timeline, topology, transactions, workload
-from keyspan.streaming import feeds
+from keyspan.streaming import feeds, replica_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -822,6 +822,69 @@ def replica_log_fold(t):
     return feeds.applied_log(log)
 
 
+COMMANDS = """(select user_id % 40 as range_id, event_id as log_index, ['put', 'put_intent', 'delete_intent', 'set_txn', 'set_lease', 'set_closed', 'delete', 'set_closed'][event_id % 8 + 1] as op, cast(event_id % 30 as varchar) as key,
+    cast(user_id as varchar) as txn_id, event_id % 3 as epoch, event_type as status, event_id * 7 % 1009 as ts, event_id // 4000 as lease_seq, event_id % 5 as holder, event_id // 10 + event_id % 7 as closed from events)"""
+
+
+def commands(t) -> DataFrame:
+    i = F.col("event_id")
+    op = F.element_at(F.array(*map(F.lit, ("put", "put_intent", "delete_intent", "set_txn", "set_lease", "set_closed", "delete", "set_closed"))), (i % 8 + 1).cast("int"))
+    return t.events.select(
+        (F.col("user_id") % 40).alias("range_id"), i.alias("log_index"), op.alias("op"), (i % 30).cast("string").alias("key"), F.col("user_id").cast("string").alias("txn_id"), (i % 3).alias("epoch"), F.lit("EXCLUSIVE").alias("strength"),
+        F.col("event_type").alias("status"), (i * 7 % 1009).alias("ts"), F.floor(i / 4000).alias("lease_seq"), (i % 5).alias("holder"), (F.floor(i / 10) + i % 7).alias("closed"))
+
+
+@query(f"select range_id, key, arg_max(txn_id, log_index) as txn_id, arg_max(epoch, log_index) as epoch from {COMMANDS} where op in ('put_intent', 'delete_intent') group by 1, 2 having arg_max(op, log_index) = 'put_intent'")
+def replica_log_intents(t):
+    return replica_log.open_intents(commands(t)).drop("strength")
+
+
+@query(f"select range_id, txn_id, arg_max(status, log_index) as status, arg_max(epoch, log_index) as epoch from {COMMANDS} where op = 'set_txn' group by 1, 2")
+def replica_log_records(t):
+    return replica_log.txn_records(commands(t))
+
+
+@query(f"""select range_id, max(log_index) as applied_index, max(ts) filter (where op in ('put', 'delete')) as frontier, arg_max(lease_seq, log_index) filter (where op = 'set_lease') as lease_seq,
+    arg_max(holder, log_index) filter (where op = 'set_lease') as holder from {COMMANDS} group by 1""")
+def replica_log_state(t):
+    return replica_log.range_state(commands(t))
+
+
+@query(f"""with c as (select * from {COMMANDS} where op in ('set_lease', 'set_closed')),
+    h as (select *, last_value(case when op = 'set_lease' then lease_seq end ignore nulls) over (partition by range_id order by log_index) as lease from c),
+    b as (select *, max(case when op = 'set_closed' and lease_seq = lease then lease_seq * 1000000000 + closed end) over (partition by range_id order by log_index rows between unbounded preceding and 1 preceding) as before from h)
+    select range_id, log_index, lease_seq, closed, case when lease is null then 'no lease' when lease_seq <> lease then 'lease sequence' when lease_seq * 1000000000 + closed < before then 'regressed' end as fault from b where op = 'set_closed'""")
+def replica_log_closed(t):
+    return replica_log.closed_updates(commands(t))
+
+
+@query("select n_nationkey, lower(trim(' ' || n_name || '  ')) as name, lower(to_hex(n_name)) as key_hex, to_hex(n_name) || '0001' as escaped from nation")
+def names_and_keys(t):
+    name = F.concat(F.lit(" "), F.col("n_name"), F.lit("  "))
+    return t.nation.select("n_nationkey", keys.canonical_name(name).alias("name"), keys.hex_key(F.encode("n_name", "UTF-8")).alias("key_hex"), keys.escaped_key(F.encode("n_name", "UTF-8")).alias("escaped"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then w + 1 else w end as wall, case when event_id % 3 = 0 then 0 else event_id % 5 + 1 end as logical,
+    case when w <= 4 then 0 else w - 4 end as less_wall, case when w <= 4 then 0 when event_id % 3 = 0 then 4294967295 else event_id % 5 end as less_logical from (select event_id, event_id % 9 as w from events)""")
+def hlc_next_tick(t):
+    i = F.col("event_id")
+    at = hlc.stamp(i % 9, F.when(i % 3 == 0, hlc.LAST_LOGICAL).otherwise(i % 5))
+    found = t.events.select("event_id", hlc.next_tick(at).alias("n"), hlc.minus_wall(at, F.lit(4)).alias("m"))
+    return found.select("event_id", "n.wall", "n.logical", F.col("m.wall").alias("less_wall"), F.col("m.logical").alias("less_logical"))
+
+
+@query("select user_id % 50 as node_id, arg_max(event_type, event_id) as status, max(event_id) as seen from events group by 1")
+def snapshot_merge_nodes(t):
+    return topology.merged_nodes(t.events.select((F.col("user_id") % 50).alias("node_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seen")))
+
+
+@query("select c_custkey, list_sort(list_distinct([c_custkey % 5, 3, c_custkey % 3, c_custkey % 7])) as touched, c_custkey % 90 >= 40 as renewable from customer")
+def record_touched_ranges(t):
+    k = F.col("c_custkey")
+    r = t.customer.select(k, F.array(k % 5, F.lit(3).cast(t.customer.schema["c_custkey"].dataType)).alias("touched"), F.array(k % 3, k % 7).alias("new_ranges"), F.lit(40).alias("start_ts"))
+    return transactions.touched_once(r).select("c_custkey", "touched", timeline.renewable(r, k % 90).alias("renewable"))
+
+
 # Further decisions
 
 

@@ -11,7 +11,7 @@ from keyspan.errors import SqlError, UniqueViolation, transaction_error
 from keyspan.functions import hlc, keys
 from keyspan.operators import assertions, dml, mvcc, placement, relational, timeline, topology, transactions, workload
 from keyspan.sources import documents
-from keyspan.streaming import feeds
+from keyspan.streaming import feeds, replica_log
 
 
 def rows(df):
@@ -306,3 +306,27 @@ def test_json_sources(spark, tmp_path):
 def test_transaction_errors():
     assert [transaction_error(k, "").sqlstate for k in ("retry", "write_too_old", "contention", "aborted", "other")] == ["40001", "40001", "40001", "25P02", "XX000"]
     assert transaction_error("contention", "").retry_after_ms == 25
+
+
+def test_descriptors_follow_their_commands(spark):
+    """Each command is refused or taken by the descriptor as it is by then; a snapshot of an older generation is refused."""
+    def d(generation, start="a", end="z", ids=(1, 2, 3), range_id=7):
+        return (range_id, generation, start, end, 1, [(i, i, "VOTER") for i in ids])
+
+    none, learner = None, (9, 9, "LEARNER")
+    log = [
+        (7, 1, "install", 0, d(3), none, none), (7, 2, "update", 2, d(4), none, none), (7, 3, "update", 3, d(4), none, none), (7, 4, "add", 4, none, none, learner), (7, 5, "add", 5, none, none, learner), (7, 6, "promote", 5, none, none, (9, 9, "VOTER")),
+        (7, 7, "promote", 6, none, none, (9, 9, "VOTER")), (7, 8, "remove", 6, none, none, (1, 1, "VOTER")), (7, 9, "remove", 6, none, none, (2, 2, "VOTER")), (7, 10, "add", 7, none, none, (4, 3, "LEARNER")),
+        (7, 11, "split", 7, d(7, end="m"), d(1, start="m", range_id=8), none), (7, 12, "split", 7, d(8, end="m"), d(1, start="n", range_id=8), none), (7, 13, "split", 7, d(8, end="m"), d(1, start="m", range_id=8), none),
+        (7, 14, "install", 0, d(5), none, none), (7, 15, "install", 0, d(9, ids=(1,)), none, none), (8, 1, "remove", 0, none, none, (1, 1, "VOTER")), (7, 16, "remove", 9, none, none, (2, 2, "VOTER")),
+    ]
+    replica = "struct<replica_id:int,node_id:int,role:string>"
+    descriptor = f"struct<range_id:long,generation:long,start_key:string,end_key:string,leaseholder:int,replicas:array<{replica}>>"
+    random.seed(2)
+    random.shuffle(log)
+    df = spark.createDataFrame(log, f"range_id long, log_index long, op string, expected_generation long, descriptor {descriptor}, other {descriptor}, replica {replica}").repartition(3)
+    got = {(r["range_id"], r["log_index"]): (r["fault"], r["generation"], r["end_key"], r["replicas"]) for r in replica_log.descriptor_steps(df).collect()}
+    assert got == {
+        (7, 1): (None, 3, "z", 3), (7, 2): ("expected generation", 3, "z", 3), (7, 3): (None, 4, "z", 3), (7, 4): (None, 5, "z", 4), (7, 5): ("exists already", 5, "z", 4), (7, 6): (None, 6, "z", 4), (7, 7): ("not a learner", 6, "z", 4),
+        (7, 8): ("holds the lease", 6, "z", 4), (7, 9): (None, 7, "z", 3), (7, 10): ("two on a node", 7, "z", 3), (7, 11): ("generation does not rise", 7, "z", 3), (7, 12): ("halves do not meet", 7, "z", 3), (7, 13): (None, 8, "m", 3),
+        (7, 14): ("stale", 8, "m", 3), (7, 15): (None, 9, "z", 1), (8, 1): ("no range", None, None, 0), (7, 16): ("not found", 9, "z", 1)}

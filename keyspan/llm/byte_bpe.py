@@ -7,7 +7,8 @@ is the order of the ranks.  A pre-token that is itself an entry has that entry's
 reference library of rank files.  Decoding maps ids to the bytes of their entries.
 
 Defined results: a null or empty text has no ids; texts of any length are encoded whole; equal
-texts give equal results; an empty table gives no rows; other columns are not read.
+texts give equal results, each row its own; of equally ranked pairs the leftmost is merged; a null doc_id
+stays null; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from __future__ import annotations
 import base64
 import struct
 from hashlib import sha256
-from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_batches
 
 COLUMNS = [("doc_id", "long"), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
 #: Pre-tokens whose ids a task remembers.
@@ -77,28 +77,33 @@ class Codec:
         self.rank = {entry: i for i, entry in enumerate(vocabulary)}
         self.split = regex.compile(pattern).findall
         self.pieces = SentencePieceProcessor(model_proto=serialised(vocabulary))
-        self.cache: dict[str, list[int]] = {}
+        self.listed: dict[str, str] = {}  # decimal ids of pre-tokens, and the bytes that these decode to
+        self.decoded: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(len(vocabulary))]
         self.table = [chr(256 + b) for b in range(256)]
 
-    def encode(self, text: str) -> list[int]:
-        tokens, cache = self.split(text), self.cache
-        if len(cache) > PRETOKENS:
-            cache.clear()
-        new = []
-        for t in set(tokens):
-            if t not in cache:
-                data = t.encode()
-                if (whole := self.rank.get(data)) is not None:
-                    cache[t] = [whole]
-                else:
-                    new.append((t, "".join(map(self.table.__getitem__, data))))
-        if new:
-            for (t, _), ids in zip(new, self.pieces.encode([m for _, m in new], out_type=int, num_threads=1)):
-                cache[t] = ids
-        return list(chain.from_iterable(map(cache.__getitem__, tokens)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+    def learn(self, tokens: set[str]) -> None:
+        """Encode and decode pre-tokens that are not known yet."""
+        if len(self.listed) > PRETOKENS:
+            self.listed.clear()
+            self.decoded.clear()
+        whole, parted = [], []
+        for t in tokens.difference(self.listed):
+            data = t.encode()
+            if (rank := self.rank.get(data)) is not None:
+                whole.append((t, [rank]))
+            else:
+                parted.append((t, "".join(map(self.table.__getitem__, data))))
+        found = zip((t for t, _ in parted), self.pieces.encode([m for _, m in parted], out_type=int, num_threads=1)) if parted else ()
+        for t, ids in (*whole, *found):
+            self.listed[t] = ",".join(map(self.decimal.__getitem__, ids))
+            self.decoded[t] = b"".join(map(self.vocabulary.__getitem__, ids))
+
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Of each text its ids, as decimals joined by commas, and what they decode to."""
+        tokens = list(map(self.split, texts))
+        self.learn(set().union(*tokens))
+        return [(",".join(map(self.listed.__getitem__, ts)), b"".join(map(self.decoded.__getitem__, ts))) for ts in tokens]
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -106,14 +111,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = Fal
 
     def make():
         codec = Codec(load_ranks(ranks_path), pattern)
-        decimal = [str(i) for i in range(len(codec.vocabulary))]
 
-        def work(_, data: bytes):
-            ids = codec.encode(data.decode())
-            listed = ",".join(map(decimal.__getitem__, ids))
-            out = (len(ids), sha256(listed.encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest())
-            return (*out, ids) if keep_ids else out
+        def work(keys, texts):
+            for key, (listed, decoded) in zip(keys, codec.encode([t.decode() for t in texts])):
+                out = (key, listed.count(",") + bool(listed), sha256(listed.encode()).hexdigest(), sha256(decoded).hexdigest())
+                yield (*out, [int(i) for i in listed.split(",") if i]) if keep_ids else out
 
         return work
 
-    return map_texts(docs, make, COLUMNS + [("ids", "array<long>")] * keep_ids)
+    return map_batches(docs, make, COLUMNS + [("ids", "array<long>")] * keep_ids, size=64)

@@ -261,7 +261,13 @@ def test_byte_bpe_is_the_rank_files_encoding(spark, sf, edge):
     for (doc, text), n in texts.items():
         ids = reference.encode_ordinary(text)
         want[doc, len(ids), sha(",".join(map(str, ids))), sha(text)] += n
-    assert by_rows(byte_bpe.encoded(docs, queries.BYTE_RANKS, public_tokenizers.PATTERN)) == want
+    clashing = docs.selectExpr("*", "1 as n_tokens", "'x' as ids_sha256", "2 as ids")
+    assert by_rows(byte_bpe.encoded(clashing, queries.BYTE_RANKS, public_tokenizers.PATTERN)) == want
+    with_ids = {r["doc_id"]: r["ids"] for r in byte_bpe.encoded(odd, queries.BYTE_RANKS, public_tokenizers.PATTERN, keep_ids=True).collect()}
+    assert with_ids == {r["doc_id"]: reference.encode_ordinary(r["text"]) for r in odd.collect()}
+    none = byte_bpe.encoded(edge.where("doc_id is null"), queries.BYTE_RANKS, public_tokenizers.PATTERN).collect()
+    assert len(none) == 2 and {r["doc_id"] for r in none} == {None} and 0 in {r["n_tokens"] for r in none}
+    assert byte_bpe.encoded(docs.where("false"), queries.BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 ODD = ["Ünï aaa aaaa aaaaa bbbbbbb  zz.. a'S it's 'tis don't. x y ẛ̣ İstanbul ǅ ª º µ ß ΑΣ, Σίσυφος ﬁ 12345 ½ ２ a1b2 <|startoftext|> <|EndOfText|> x<|endoftext|>y é́ é",

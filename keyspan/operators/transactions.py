@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def staging_recovery(required: DataFrame, observed: DataFrame) -> DataFrame:
-    """Outcome of each staging transaction.
+    """Outcome of each staging transaction, with the keys that are missing and those that are contended.
 
     required: txn_id, range_id, key, strength, epoch.  observed: txn_id, range_id, key,
     intent_txn, epoch, strength, present, contested.  Committed only if every required intent is
@@ -19,9 +19,10 @@ def staging_recovery(required: DataFrame, observed: DataFrame) -> DataFrame:
     both = required.join(o, ["txn_id", "range_id", "key"], "left")
     own = F.coalesce(F.col("present") & (F.col("_txn") == F.col("txn_id")) & (F.col("_epoch") == F.col("epoch")) & (F.col("_strength") == F.col("strength")), F.lit(False))
     contested = F.coalesce("contested", F.lit(False))
-    counted = both.groupBy("txn_id").agg(F.count("*").alias("required"), F.count_if(~own).alias("missing"), F.count_if(own & contested).alias("contended"))
+    counted = both.groupBy("txn_id").agg(F.count("*").alias("required"), F.count_if(~own).alias("missing"), F.count_if(own & contested).alias("contended"),
+        F.array_sort(F.collect_list(F.when(~own, F.col("key")))).alias("missing_keys"), F.array_sort(F.collect_list(F.when(own & contested, F.col("key")))).alias("contended_keys"))
     status = F.when((F.col("missing") == 0) & (F.col("contended") == 0), "COMMITTED").otherwise("ABORTED")
-    return counted.select("txn_id", "required", "missing", "contended", status.alias("status"))
+    return counted.select("txn_id", "required", "missing", "contended", status.alias("status"), "missing_keys", "contended_keys")
 
 
 def doubled_observations(observed: DataFrame) -> DataFrame:
@@ -55,6 +56,18 @@ def resolve(intents: DataFrame, records: DataFrame) -> DataFrame:
     return intents.join(r, "txn_id").where((F.col("status") == "COMMITTED") & (F.col("epoch") == F.col("_epoch"))).select("key", F.col("commit_ts").alias("ts"), "tombstone", "value")
 
 
+def cleanups(intents: DataFrame, records: DataFrame) -> DataFrame:
+    """What becomes of each intent and its lock: those of finished transactions, or of an epoch that is over, are deleted and released.
+
+    `action` is apply (committed: the value is written first), drop, or keep, `release` whether
+    the lock goes.  An intent without a record is kept: its transaction may be about to begin.
+    """
+    r = records.select("txn_id", F.col("epoch").alias("_epoch"), "status")
+    stale = F.col("epoch") < F.col("_epoch")
+    action = F.when(F.col("status").isNull(), "keep").when(stale, "drop").when(F.col("status") == "COMMITTED", "apply").when(F.col("status") == "ABORTED", "drop").otherwise("keep")
+    return intents.join(r, "txn_id", "left").withColumn("action", action).select("txn_id", "key", "epoch", "action", (F.col("action") != "keep").alias("release"))
+
+
 def conflicts(requests: DataFrame) -> DataFrame:
     """Pairs of lock requests on one key that cannot hold together: holder and asker differ and one is exclusive.
 

@@ -401,9 +401,13 @@ OUTCOMES = """(select cast(user_id as varchar) as txn_id, count(*) as required,
     from events where event_type in ('purchase', 'click') group by user_id)"""
 
 
-@query(f"select * from {OUTCOMES}")
+@query(f"""select o.*, coalesce(missing_keys, '') as missing_keys, coalesce(contended_keys, '') as contended_keys from {OUTCOMES} o left join (
+      select cast(user_id as varchar) as txn_id, string_agg(cast(event_id as varchar), ',' order by cast(event_id as varchar)) filter (where event_id % 50 = 0) as missing_keys,
+        string_agg(cast(event_id as varchar), ',' order by cast(event_id as varchar)) filter (where event_id % 50 <> 0 and event_id % 77 = 0) as contended_keys
+      from events where event_type in ('purchase', 'click') group by 1) k using (txn_id)""")
 def staging_recovery(t):
-    return transactions.staging_recovery(required(t), observed(t))
+    found = transactions.staging_recovery(required(t), observed(t))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("missing_keys", "contended_keys")})
 
 
 @query(f"""select txn_id, event_id % 10 as range_id, cast(event_id as varchar) as key, case when status = 'COMMITTED' then 'commit' else 'abort' end as action
@@ -436,6 +440,14 @@ def intent_resolution(t):
     return transactions.resolve(intents, records(t))
 
 
+@query(f"""select cast(user_id as varchar) as txn_id, cast(event_id as varchar) as key, event_id % 3 as epoch, a as action, a <> 'keep' as release from (
+    select user_id, event_id, case when r.status is null then 'keep' when event_id % 3 < epoch then 'drop' when r.status = 'COMMITTED' then 'apply' when r.status = 'ABORTED' then 'drop' else 'keep' end as a
+    from events left join {RECORDS} r on cast(user_id as varchar) = txn_id)""")
+def intent_cleanup(t):
+    intents = t.events.select(F.col("user_id").cast("string").alias("txn_id"), F.col("event_id").cast("string").alias("key"), (F.col("event_id") % 3).alias("epoch"))
+    return transactions.cleanups(intents, records(t))
+
+
 def lock_requests(t) -> DataFrame:
     return t.events.select(
         F.floor(F.col("event_id") / 40).alias("key"), F.col("user_id").alias("txn_id"), F.col("ts").alias("read_ts"), F.when(F.col("event_type") == "view", "SHARED").otherwise("EXCLUSIVE").alias("strength"), (F.col("event_type") == "purchase").alias("held"))

@@ -235,6 +235,42 @@ def test_forest_finds_bad_documents_and_spares_good_ones(spark):
     assert share[1] > 0.99 and share[0] < 0.2
 
 
+def test_quality_query_against_plain_rules_and_walks(spark, sf):
+    """All columns: the measures from plain definitions, the verdict by walking each tree for each document."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest, threshold = quality.fitted(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rejected = 0
+    for r in queries.op5_quality_rules(spark, sf).collect():
+        text = texts[r["doc_id"]]
+        n, chars, symbols, lines, repeats = plain_measures(text)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeats)
+        assert r["base_failed"] == (n < 10 or 100 * repeats > 20 * n)
+        x, total = quality.features(np.array([quality.measures(text.encode())], float))[0], 0.0
+        for feature, cut, left, path in forest.trees:
+            at = 0
+            while feature[at] >= 0 and path[at] is not None:
+                at = int(left[at]) + int(x[feature[at]] > cut[at])
+            total += path[at]
+        score = 2.0 ** (-total / len(forest.trees) / forest.expected)
+        assert r["kept"] == (not r["base_failed"] and score < threshold)
+        rejected += not r["kept"] and not r["base_failed"]
+    assert rejected
+
+
+def test_forest_on_labels_it_has_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judged(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "kept", "base_failed")
+    shares = got.join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()
+    share = {r["quality"]: r["share"] for r in shares}
+    assert share[1] > 0.98 and share[0] < 0.2
+
+
+def test_repeated_labelled_rows_change_nothing(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert quality.fitted(docs, labels)[1] == quality.fitted(docs.union(docs).union(docs), labels)[1]
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(0, 1), (3, 0), (None, 1), (99, 1), (13, None), (0, 1)], "doc_id long, quality int")
     got = quality.judged(edge, labels).collect()

@@ -15,6 +15,13 @@ Which one ends first is not known beforehand, so a pair goes by the larger bound
 that are both too low for any partner do not meet.  The others do, pairs of different classes are
 counted, and those with enough n-grams are verified by their whole sets.
 
+Prefixes alone say little within a large group whose members are only nearly alike enough: most
+of its pairs share many n-grams of them.  So a document goes with a bitmap of its whole set to
+the parts where it has a crowded n-gram, one of many documents.  Two sets share at most as many
+n-grams as their bitmaps share bits, and as many more as the fuller of them has fallen together;
+pairs that this bound excludes are not formed.  Of the others each is given out once, by the part
+of the least n-gram at which it meets.
+
 What could be quadratic is linked first, linearly.  Equal sets are one class from the start.
 Then documents with equal minimal hashes (four keys of two) are each verified against the
 first document of their key, and linked classes are contracted; this repeats with other firsts.  The prefix join only looks for pairs between different classes, so a large
@@ -47,8 +54,14 @@ SIZE, PERCENT = 4, 85
 CELLS, PIECES = 1 << 20, 128
 #: Longest prefix extension, and what verifying a pair costs in n-grams read.
 MOST_SHARED, VERIFY_COST = 4, 30
-#: Pairs that are counted at once.
-AT_ONCE = 1_000_000
+#: Pairs that are counted at once, bytes of bitmaps that are compared at once, and sets that are kept meanwhile.
+AT_ONCE, BITMAPS_AT_ONCE, KEPT_SETS = 250_000, 8_000_000, 4000
+#: An n-gram is crowded if so many blocks have it in prefixes; a block in which HERE documents have it counts as so many.
+CROWD, HERE = 16, 8
+#: Bits of a set's bitmap for each n-gram, at least.
+MARKS = 4
+#: Words of all documents for each part of the prefixes' n-grams.
+PREFIX_WORDS = 500_000
 #: Keys of minimal hashes; rounds of linking by them.
 KEYS, ROUNDS = 4, 2
 #: Pairs of one representative that a task verifies.
@@ -213,11 +226,39 @@ def needed_overlap(m, n, percent: int):
     return -(-percent * (m + n) // (100 + percent))
 
 
-PREFIXES = [("block", "long"), ("docs", "binary"), ("body", "binary")]
+PREFIXES = [("block", "long"), ("docs", "binary"), ("body", "binary"), ("marks", "binary")]
+
+
+def marks_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmap of a set of n: a power of two."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(n * MARKS / 64, 1))).astype(np.int64))
+
+
+def marks(s: np.ndarray) -> bytes:
+    """The bitmap of a set: of each n-gram the bit that its lowest bits number, so that half the bitmap is the two halves of it, joined by or."""
+    bits = np.zeros(64 * int(marks_words(np.array(len(s)))), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(size: np.ndarray, at: np.ndarray, bitmaps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs (i, j) an upper bound of the n-grams that their sets share; the bitmap of d begins at word at[d], -1: none."""
+    bound, words = np.minimum(size[i], size[j]), marks_words(size)
+    known = np.flatnonzero((at[i] >= 0) & (at[j] >= 0))
+    shape = words[i[known]] * (1 << 32) + words[j[known]]
+    for both in np.unique(shape).tolist():
+        (wide_i, wide_j), rows = divmod(both, 1 << 32), known[shape == both]
+        width, step = min(wide_i, wide_j), max(1, BITMAPS_AT_ONCE // (8 * max(wide_i, wide_j)))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            x, y = (np.bitwise_or.reduce(bitmaps[at[d[part], None] + np.arange(wide)].reshape(len(part), -1, width), axis=1) for d, wide in ((i, wide_i), (j, wide_j)))
+            together = [size[d[part]] - np.bitwise_count(z).sum(axis=1, dtype=np.int64) for d, z in ((i, x), (j, y))]
+            bound[part] = np.minimum(bound[part], np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + np.minimum(*together))
+    return bound
 
 
 def prefixes(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Of each block its documents (rows of id, class, set size, prefix size), and the n-grams of their prefixes by document."""
+    """Of each block its documents (rows of id, class, set size, prefix size), the n-grams of their prefixes by document, and their sets' bitmaps."""
     listed = reps.groupBy("block").agg(F.collect_list(F.struct("doc", "class")).alias("reps"))
     shared = found.sparkSession.sparkContext.broadcast(counters)  # CELLS numbers
     usual = float(np.median(counters))
@@ -227,7 +268,7 @@ def prefixes(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int,
 
         def work(block, ids, texts, reps):
             classes = {r["doc"]: r["class"] for r in reps}
-            docs, tokens = [], []
+            docs, tokens, bitmaps = [], [], []
             for doc, s in enumerate(Sets(texts, size).sets, block * PLACES):
                 if not len(s) or doc not in classes:
                     continue
@@ -241,8 +282,9 @@ def prefixes(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int,
                 best = int(end[np.argmin(end + sums[end - 1] * (1 + VERIFY_COST / shares))])
                 docs.append((doc, classes.pop(doc), n, best))
                 tokens.append(s[order[:best]])
+                bitmaps.append(marks(s))
             if docs:
-                yield block, B.packed(np.array(docs, np.int64).tobytes()), np.concatenate(tokens).tobytes()
+                yield block, B.packed(np.array(docs, np.int64).tobytes()), B.six_bytes(np.concatenate(tokens)), B.packed(b"".join(bitmaps))
 
         return work
 
@@ -254,7 +296,7 @@ class Prefixes:
 
     def __init__(self, docs: bytes, body: bytes, parts: int):
         self.docs = np.frombuffer(B.unpacked(docs), np.int64).reshape(-1, 4)
-        self.tokens = np.frombuffer(body, np.uint64)
+        self.tokens = B.from_six(body)
         self.which = np.repeat(np.arange(len(self.docs)), self.docs[:, 3])
         self.place = np.arange(len(self.which)) - (np.cumsum(self.docs[:, 3]) - self.docs[:, 3])[self.which]
         self.keys, self.inverse = np.unique(self.tokens, return_inverse=True)
@@ -276,7 +318,7 @@ def over_prefixes(stored: DataFrame, work, columns: list[tuple[str, str]], *more
 
 
 def shared_tokens(stored: DataFrame, parts: int) -> DataFrame:
-    """Per block and part, a bit for each distinct n-gram of its prefixes: whether another class has it too."""
+    """Per block and part, bits for each distinct n-gram of its prefixes: whether another class has it too, then whether it is crowded."""
 
     def ask(block, docs, body):
         p = Prefixes(docs, body, parts)
@@ -284,53 +326,59 @@ def shared_tokens(stored: DataFrame, parts: int) -> DataFrame:
         low, high = np.full(len(p.keys), len(classes), np.int64), np.full(len(p.keys), -1)
         np.minimum.at(low, p.inverse, index[p.which])
         np.maximum.at(high, p.inverse, index[p.which])
+        here = np.bincount(p.inverse, minlength=len(p.keys)) >= HERE
         for part, k in p.parts:
             # of an n-gram that two classes of the block have, any class will do
             own, place = np.unique(low[k], return_inverse=True)
-            head = B.packed(classes[own].tobytes() + place.astype(np.uint16).tobytes() + np.packbits(low[k] < high[k]).tobytes())
+            head = B.packed(classes[own].tobytes() + place.astype(np.uint16).tobytes() + np.packbits(np.append(low[k] < high[k], here[k])).tobytes())
             yield part, block, len(k).to_bytes(4, "little") + len(own).to_bytes(4, "little") + B.six_bytes(p.keys[k]) + head
 
     def answer(part, blocks, bodies):
-        keys, classes, many, sizes = [], [], [], []
+        keys, classes, many, here, sizes = [], [], [], [], []
         for body in bodies:
             n, d = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little")
             keys.append(B.from_six(body[8 : 8 + 6 * n]))
             rest = B.unpacked(body[8 + 6 * n :])
             classes.append(np.frombuffer(rest[: 8 * d], np.int64)[np.frombuffer(rest[8 * d : 8 * d + 2 * n], np.uint16)])
-            many.append(np.unpackbits(np.frombuffer(rest[8 * d + 2 * n :], np.uint8))[:n].astype(bool))
+            bits = np.unpackbits(np.frombuffer(rest[8 * d + 2 * n :], np.uint8)).astype(bool)
+            many.append(bits[:n])
+            here.append(bits[n : 2 * n])
             sizes.append(n)
-        keys, classes, many = np.concatenate(keys), np.concatenate(classes), np.concatenate(many)
+        keys, classes, many, here = np.concatenate(keys), np.concatenate(classes), np.concatenate(many), np.concatenate(here)
         distinct, inverse = np.unique(keys, return_inverse=True)
         low, high, shared = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min), np.zeros(len(distinct), bool)
         np.minimum.at(low, inverse, classes)
         np.maximum.at(high, inverse, classes)
         shared[inverse[many]] = True
         shared |= low < high
-        for block, bits in zip(blocks, np.split(shared[inverse], np.cumsum(sizes)[:-1])):
-            yield block, part, B.packed_bits(bits)
+        crowded = shared & (np.bincount(inverse, np.where(here, CROWD, 1)) >= CROWD)
+        edges = np.cumsum(sizes)[:-1]
+        for block, bits, more in zip(blocks, np.split(shared[inverse], edges), np.split(crowded[inverse], edges)):
+            yield block, part, B.packed_bits(np.append(bits, more))
 
     return B.answered(over_prefixes(stored, ask, B.ASKED), parts, answer)
 
 
 def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
     """Pairs of documents of different classes whose prefixes share enough; reps has doc, block, class."""
-    parts = B.parts_for(found)
+    parts = B.parts_for(found, PREFIX_WORDS)
     stored = B.cut(prefixes(found, reps, counters, size, percent))
     answered = B.with_answers(stored, B.cut(shared_tokens(stored, parts)), "shared")
 
-    def send(block, docs, body, answers):
+    def send(block, docs, body, bitmaps, answers):
         p = Prefixes(docs, body, parts)
-        shared = np.zeros(len(p.keys), bool)
+        shared, crowded = np.zeros(len(p.keys), bool), np.zeros(len(p.keys), bool)
         for (_, k), bits in zip(p.parts, B.in_order(answers)):
-            shared[k] = B.bits_of(bits, len(k))
+            shared[k], crowded[k] = np.split(B.bits_of(bits, 2 * len(k)), 2)
         n, prefix = p.docs[:, 2], p.docs[:, 3]
         index_size = prefix - (n - -(-percent * n // 100)) + n - needed_overlap(n, n, percent)
         # what can be in an overlap with a document whose prefix does not end before
         able = n - prefix + np.bincount(p.which, shared[p.inverse], len(n)).astype(np.int64)
         goes = shared[p.inverse]
-        head = np.concatenate([p.docs, able[:, None], index_size[:, None]], axis=1)
         indexed = p.place < index_size[p.which]
+        head = np.concatenate([p.docs, able[:, None], np.bincount(p.which[goes & indexed], minlength=len(n))[:, None]], axis=1)
         lists = [B.six_bytes(x) for x in np.split(p.tokens[goes], np.cumsum(np.bincount(p.which[goes], minlength=len(n)))[:-1])]
+        bitmaps, edges = B.unpacked(bitmaps), np.append(0, np.cumsum(8 * marks_words(n))).tolist()
         for part, k in p.parts:
             inside = np.zeros(len(p.keys), bool)
             inside[k] = True
@@ -339,36 +387,61 @@ def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size:
                 docs_here, index = np.unique(p.which[own], return_inverse=True)
                 whole = [lists[d] for d in docs_here.tolist()]
                 sizes = np.array([len(x) // 6 for x in whole], np.uint32)
-                packed = B.packed(head[docs_here].tobytes() + sizes.tobytes() + index.astype(np.uint16).tobytes() + np.packbits(indexed[own]).tobytes())
-                sizes_of = (len(docs_here), len(own), len(packed))
-                yield part, block, b"".join(x.to_bytes(4, "little") for x in sizes_of) + packed + B.six_bytes(p.tokens[own]) + b"".join(whole)
+                marked = np.bincount(index, crowded[p.inverse[own]]) > 0
+                some = b"".join(bitmaps[edges[d] : edges[d + 1]] for d in docs_here[marked].tolist())
+                packed = B.packed(head[docs_here].tobytes() + sizes.tobytes() + marked.tobytes() + index.astype(np.uint16).tobytes() + np.packbits(indexed[own]).tobytes())
+                sizes_of = (len(docs_here), len(own), len(packed), len(some))
+                yield part, block, b"".join(x.to_bytes(4, "little") for x in sizes_of) + packed + some + B.six_bytes(p.tokens[own]) + b"".join(whole)
 
     def answer(part, blocks, bodies):
-        docs, tokens, index, indexed, whole, n = [], [], [], [], [], 0
+        docs, tokens, index, indexed, whole, sizes, marked, bitmaps, n = [], [], [], [], [], [], [], [], 0
         for body in bodies:
-            d, k, h = (int.from_bytes(body[x : x + 4], "little") for x in (0, 4, 8))
-            rest, at = B.unpacked(body[12 : 12 + h]), 52 * d
+            d, k, h, b = (int.from_bytes(body[x : x + 4], "little") for x in (0, 4, 8, 12))
+            rest, at = B.unpacked(body[16 : 16 + h]), 53 * d
             docs.append(np.frombuffer(rest[: 48 * d], np.int64).reshape(d, 6))
-            sizes = np.frombuffer(rest[48 * d : at], np.uint32)
+            sizes.append(np.frombuffer(rest[48 * d : 52 * d], np.uint32))
+            marked.append(np.frombuffer(rest[52 * d : at], bool))
             index.append(np.frombuffer(rest[at : at + 2 * k], np.uint16).astype(np.int64) + n)
             indexed.append(np.unpackbits(np.frombuffer(rest[at + 2 * k :], np.uint8))[:k].astype(bool))
-            tokens.append(B.from_six(body[12 + h : 12 + h + 6 * k]))
-            whole += np.split(B.from_six(body[12 + h + 6 * k :]), np.cumsum(sizes)[:-1])
+            bitmaps.append(np.frombuffer(body[16 + h : 16 + h + b], np.uint64))
+            at = 16 + h + b
+            tokens.append(B.from_six(body[at : at + 6 * k]))
+            whole.append(body[at + 6 * k :])
             n += d
-        yield from candidates(np.concatenate(docs).T, np.concatenate(tokens), np.concatenate(index), np.concatenate(indexed), whole, percent)
+        docs, marked = np.concatenate(docs).T, np.concatenate(marked)
+        words = np.where(marked, marks_words(docs[2]), 0)
+        at = np.where(marked, np.cumsum(words) - words, -1)
+        yield from candidates(docs, np.concatenate(tokens), np.concatenate(index), np.concatenate(indexed), Lists(b"".join(whole), np.concatenate(sizes)), at, np.concatenate(bitmaps), percent)
 
-    asked = over_prefixes(answered, send, B.ASKED, "shared")
+    asked = over_prefixes(answered, send, B.ASKED, "marks", "shared")
     return B.answered(asked, parts, answer, [("a", "long"), ("b", "long")]).distinct()
 
 
-def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed: np.ndarray, whole: list[np.ndarray], percent: int):
-    """Pairs (a, b) of one part whose shared prefixes have enough n-grams in common.
+class Lists:
+    """Lists of n-grams, as they were sent: six bytes each."""
+
+    def __init__(self, data: bytes, sizes: np.ndarray):
+        self.data, self.edges, self.sets = data, np.append(0, 6 * np.cumsum(sizes, dtype=np.int64)).tolist(), {}
+
+    def of(self, k: int) -> np.ndarray:
+        return B.from_six(self.data[self.edges[k] : self.edges[k + 1]])
+
+    def set_of(self, k: int) -> frozenset:
+        if k not in self.sets:
+            if len(self.sets) >= KEPT_SETS:
+                self.sets.clear()
+            self.sets[k] = frozenset(self.of(k).tolist())
+        return self.sets[k]
+
+
+def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed: np.ndarray, whole: Lists, at_word: np.ndarray, bitmaps: np.ndarray, percent: int):
+    """Pairs (a, b) of one part whose shared prefixes have enough n-grams in common, each at the least n-gram at which it meets.
 
     Entries are sorted by n-gram, then those of documents whose bound suffices for some partner,
     then by class.  Each of these meets those of other classes behind it, the smaller document's
     within its index; what is formed at a time is bounded by AT_ONCE.
     """
-    doc, kind, size, prefix, able, _ = docs
+    doc, kind, size, prefix, able, early = docs
     weak = able * (100 + percent) // percent - size < -(-percent * size // 100)
     order = np.lexsort((kind[index], weak[index], tokens))
     tokens, index, indexed = tokens[order], index[order], indexed[order]
@@ -379,8 +452,6 @@ def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed:
     start, end = run_ends[np.cumsum(run) - 1], group_ends[np.cumsum(group) - 1]
     partners = np.where(weak[index], 0, end - start)
     meets = np.cumsum(partners)
-    sets: dict[int, frozenset] = {}
-    seen: set[int] = set()
     at = 0
     while at < len(tokens):
         to = max(at + 1, int(np.searchsorted(meets, (meets[at - 1] if at else 0) + AT_ONCE, "right")))
@@ -392,20 +463,21 @@ def candidates(docs: np.ndarray, tokens: np.ndarray, index: np.ndarray, indexed:
         turn = (size[i] > size[j]) | ((size[i] == size[j]) & (doc[i] > doc[j]))
         i, j, known = np.where(turn, j, i), np.where(turn, i, j), np.where(turn, indexed[right], indexed[left])
         known &= kind[i] != kind[j]
-        i, j = i[known], j[known]
+        i, j, token = i[known], j[known], tokens[left[known]]
         overlap = needed_overlap(size[i], size[j], percent)
         fits = overlap <= np.minimum(np.maximum(able[i], able[j]), size[i])
-        keys, first = np.unique(i[fits] * len(doc) + j[fits], return_index=True)
-        need = np.maximum(overlap - np.maximum(size[i] - prefix[i], size[j] - prefix[j]), 1)[fits][first]
-        for key, least in zip(keys.tolist(), need.tolist()):
-            if key not in seen:
-                seen.add(key)
-                x, y = divmod(key, len(doc))
-                for k in (x, y):
-                    if k not in sets:
-                        sets[k] = frozenset(whole[k].tolist())
-                if len(sets[x] & sets[y]) >= least:
-                    yield min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))
+        keys, first, inverse = np.unique(i[fits] * len(doc) + j[fits], return_index=True, return_inverse=True)
+        i, j, overlap, token = i[fits][first], j[fits][first], overlap[fits][first], token[fits]
+        need = np.maximum(overlap - np.maximum(size[i] - prefix[i], size[j] - prefix[j]), 1)
+        owner, found = np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
+        for k in np.flatnonzero(most_shared(size, at_word, bitmaps, i, j) >= overlap).tolist():
+            x, y = int(i[k]), int(j[k])
+            both = whole.set_of(x) & whole.set_of(y)
+            if len(both) >= need[k]:
+                found[k], owner[k] = True, min(both.intersection(whole.of(x)[: early[x]].tolist()))
+        for k in inverse[found[inverse] & (owner[inverse] == token)].tolist():
+            x, y = int(doc[i[k]]), int(doc[j[k]])
+            yield min(x, y), max(x, y)
         at = to
 
 

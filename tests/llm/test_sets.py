@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import duckdb
@@ -155,6 +156,53 @@ def test_prefixes_of_unequal_sets_meet(spark):
     assert len(want) > 24 and want <= got
 
 
+def crowd(n=240, words=120):
+    """Copies of one text with two or three changed words: few are alike, all others nearly so."""
+    random.seed(5)
+    base = [f"w{k}" for k in range(words)]
+    docs = []
+    for k in range(n):
+        text = [*base]
+        for at in random.sample(range(words), 2 + k % 2):
+            text[at] = f"c{k}_{at}"
+        docs.append((k, " ".join(text)))
+    return docs
+
+
+def test_large_group_of_nearly_alike_documents(spark):
+    """A group whose pairs share much of their prefixes: the classes are right, and its pairs are not all formed."""
+    docs = crowd()
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = ngram_join.B.in_blocks(rows).cache()
+    profiled = ngram_join.profiles(found, 5).cache()
+    number = {r["doc"]: r["id"] for r in profiled.where("kind = 0").select("doc", "id").collect()}
+    want = plain_classes(docs, 5, 80)
+    # classes as they are known after all links but those between the documents that have none
+    classes = spark.createDataFrame([(k, next(d for d, i in number.items() if i == want[number[k]][1])) for k in number], "doc long, class long")
+    reps = profiled.where("kind = 0").select("doc", "block").join(classes, "doc")
+    pairs = ngram_join.prefix_pairs(found, reps, ngram_join.sketch(profiled), 5, 80).count()
+    lone = sum(1 for i, (_, c) in want.items() if i == c) - 1
+    assert lone > 60 and pairs < 4 * len(docs)
+    every = spark.createDataFrame([(d, d // ngram_join.PLACES, d) for d in number], "doc long, block long, class long")
+    got = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in ngram_join.prefix_pairs(found, every, ngram_join.sketch(profiled), 5, 80).collect()}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in docs)}
+    assert {(a, b) for a in grams for b in grams if a < b and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])} <= got
+
+
+def test_bitmaps_bound_what_sets_share():
+    random.seed(6)
+    sets = [ngram_join.np.unique(ngram_join.mixed(ngram_join.np.arange(a, a + n, dtype=ngram_join.np.uint64))) for a in (0, 7, 30) for n in (1, 15, 16, 17, 40, 300, 1000)]
+    size = ngram_join.np.array([len(s) for s in sets])
+    words = ngram_join.marks_words(size)
+    bitmaps = ngram_join.np.frombuffer(b"".join(map(ngram_join.marks, sets)), ngram_join.np.uint64)
+    i, j = (x.ravel() for x in ngram_join.np.indices((len(sets), len(sets))))
+    bound = ngram_join.most_shared(size, ngram_join.np.cumsum(words) - words, bitmaps, i, j)
+    true = ngram_join.np.array([len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i, j)])
+    assert (bound >= true).all() and (bound < ngram_join.np.minimum(size[i], size[j])).any()
+    none = ngram_join.most_shared(size, ngram_join.np.full(len(sets), -1), bitmaps, i, j)
+    assert (none == ngram_join.np.minimum(size[i], size[j])).all()
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(200)] + [(500, 1000), (1000, 700), (700, 700)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(path, "a long, b long").repartition(7)).collect()}

@@ -271,6 +271,31 @@ def test_repeated_labelled_rows_change_nothing(spark, sf):
     assert quality.fitted(docs, labels)[1] == quality.fitted(docs.union(docs).union(docs), labels)[1]
 
 
+def test_forest_and_threshold_count_every_labelled_row(spark):
+    """The leaves' paths and the threshold from plain counts over all labelled documents, more than any former sample."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(docs.selectExpr("doc_id + 1000000", "concat('More ', text)"))
+    labels = labels.select("doc_id", "quality").union(labels.selectExpr("doc_id + 1000000", "quality"))
+    forest, threshold = quality.fitted(docs, labels)
+    least = {r["doc_id"]: r["q"] for r in labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).collect()}
+    found = {(r["doc_id"], quality.measures((r["text"] or "").encode())) for r in docs.where("doc_id is not null").collect() if r["doc_id"] in least}
+    found = [(m, least[i] > 0) for i, m in found if not quality.failed(m[0], m[4])]
+    x, good = quality.features(np.array([m for m, _ in found], float)), np.array([g for _, g in found])
+    assert len(x) > 4000
+    for feature, cut, left, path in forest.trees[:5]:
+        at, depth = np.zeros(len(x), int), np.zeros(len(x), int)
+        while (feature[at] >= 0).any():
+            inner = feature[at] >= 0
+            depth += inner
+            at = np.where(inner, left[at] + (x[np.arange(len(x)), np.maximum(feature[at], 0)] > cut[at]), at)
+        for node in np.unique(at[good]):
+            n = (at[good] == node).sum()
+            assert path[node] == pytest.approx(depth[at == node][0] + (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n >= 2 else 0))
+    scores = np.floor(forest.scores(x) * quality.STEPS) / quality.STEPS
+    allowed = [s for s in np.unique(scores) if (lost := (scores[good] >= s).sum()) <= 0.001 * good.sum() and (scores[~good] >= s).sum() > lost]
+    assert threshold == min(allowed)
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(0, 1), (3, 0), (None, 1), (99, 1), (13, None), (0, 1)], "doc_id long, quality int")
     got = quality.judged(edge, labels).collect()

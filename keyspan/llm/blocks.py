@@ -9,6 +9,7 @@ and answers are compact arrays instead of rows.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -116,6 +117,13 @@ def over_blocks(blocks: DataFrame, make: Callable, columns: list[tuple[str, str]
     return over_rows(blocks.select("block", "ids", "sizes", "texts", *more), opened, columns)
 
 
+def given_back() -> None:
+    """What a task's buffers took goes back to the system, as the worker lives on beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def over_rows(rows: DataFrame, make: Callable, columns: list[tuple[str, str]]) -> DataFrame:
     """Rows (tuples in the order of columns) that make()(*values) yields for each row."""
     schema = arrow_schema(columns)
@@ -126,6 +134,8 @@ def over_rows(rows: DataFrame, make: Callable, columns: list[tuple[str, str]]) -
             out = list(work(*(c[0].as_py() for c in part.columns)))
             for at in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[at : at + 1000]), schema)], schema=schema)
+        part = out = None
+        given_back()
 
     return rows.mapInArrow(run, ddl(columns))
 
@@ -138,6 +148,8 @@ def answered(asked: DataFrame, parts: int, answer: Callable, columns: list[tuple
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         rows = list(answer(table.column("part")[0].as_py(), table.column("block").to_pylist(), table.column("body").to_pylist()))
+        del table
+        given_back()
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return asked.repartition(parts, "part").groupBy("part").applyInArrow(run, ddl(columns))

@@ -57,11 +57,9 @@ MOST_SHARED, VERIFY_COST = 4, 30
 #: Pairs that are counted at once, bytes of bitmaps that are compared at once, and sets that are kept meanwhile.
 AT_ONCE, BITMAPS_AT_ONCE, KEPT_SETS = 250_000, 8_000_000, 4000
 #: An n-gram is crowded if so many blocks have it in prefixes; a block in which HERE documents have it counts as so many.
-CROWD, HERE = 16, 8
+CROWD, HERE = 64, 8
 #: Bits of a set's bitmap for each n-gram, at least.
 MARKS = 4
-#: Words of all documents for each part of the prefixes' n-grams.
-PREFIX_WORDS = 500_000
 #: Keys of minimal hashes; rounds of linking by them.
 KEYS, ROUNDS = 4, 2
 #: Pairs of one representative that a task verifies.
@@ -361,7 +359,7 @@ def shared_tokens(stored: DataFrame, parts: int) -> DataFrame:
 
 def prefix_pairs(found: DataFrame, reps: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
     """Pairs of documents of different classes whose prefixes share enough; reps has doc, block, class."""
-    parts = B.parts_for(found, PREFIX_WORDS)
+    parts = B.parts_for(found)
     stored = B.cut(prefixes(found, reps, counters, size, percent))
     answered = B.with_answers(stored, B.cut(shared_tokens(stored, parts)), "shared")
 
